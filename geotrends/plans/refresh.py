@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrends.operators.quality import duplicate_count, null_counts, profile_info
+from geotrends.operators.quality import duplicate_count, profile_info
 from geotrends.schemas import SCHEMAS
 from geotrends.sinks.tables import create_tables, refresh, write_csv
 from geotrends.sources.extractors import EXTRACTORS, extract
@@ -43,7 +43,7 @@ def profile_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """``info`` (columns, types, filled and empty cells) and ``duplicates`` of all tables."""
     infos, duplicates = [], []
     for name, df in tables.items():
-        info = profile_info(df).join(null_counts(df), "column")
+        info = profile_info(df).withColumn("nulls", F.col("rows") - F.col("non_null"))
         infos.append(info.select(F.lit(name).alias("table"), "*"))
         duplicates.append(duplicate_count(df).select(F.lit(name).alias("table"), "*"))
     return {"info": _union(infos), "duplicates": _union(duplicates)}

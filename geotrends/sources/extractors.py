@@ -10,9 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geotrends.functions.text import canonical_state, clean_district, clean_state_label
-from geotrends.schemas import DOCUMENT_NODES, SCHEMAS, node_type
+from geotrends.schemas import DOCUMENT_NODES, SCHEMAS, node_schema
 from geotrends.sources.json_tree import CORRUPT, PATH
 
 Fields = Callable[[Column, Column], dict[str, Column]]
@@ -138,15 +139,11 @@ def _node(x: Extractor) -> Column:
     """
     element, keyed = DOCUMENT_NODES[x.entity][x.node]
     parsed = F.col(f"data.{x.node}")
-    loose = node_type("STRING", keyed)
-    for part in reversed(x.node.split(".")):
-        loose = f"STRUCT<{part}: {loose}>"
-    again = F.from_json(F.col(CORRUPT), f"data {loose}")["data"]
+    again = F.from_json(F.col(CORRUPT), node_schema(x.node, T.StringType(), keyed))["data"]
     for part in x.node.split("."):
         again = again[part]
 
     def item(text: Column) -> Column:
-        # A bare array type is wrapped: from_json reads structs, arrays and maps at the top.
         return F.from_json(text, element)
 
     if keyed:
@@ -166,15 +163,14 @@ def _exploded(raw: DataFrame, x: Extractor) -> DataFrame:
     fields = x.fields(F.col(names[0]), F.col("_element"))
     if not x.country:
         fields = {"state": canonical_state(F.col("state")), **fields}
-    # Cleaned names get fresh column names here, so that "state" still means the key.
-    projected = rows.select(
+    # Underscored, as the state of a row may come from the path or from its label.
+    return rows.select(
         PATH,
         position.alias("position"),
         F.col("_element").alias("element"),
         *[F.col(k).alias(f"_{k}") for k in keys[1:] if k != "state"],
         *[c.alias(f"_{name}") for name, c in fields.items()],
     )
-    return projected
 
 
 def _complete(x: Extractor) -> Column:
