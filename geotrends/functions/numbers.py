@@ -20,23 +20,36 @@ def _round_half_even_2(q: Column) -> Column:
     carry = q * _SPLIT
     high = carry - (carry - q)
     error = (high * 100 - product) + (q - high) * 100
-    on_tie = product - F.floor(product) == 0.5
-    return (
-        F.when(on_tie & (error > 0), F.ceil(product).cast("double"))
-        .when(on_tie & (error < 0), F.floor(product).cast("double"))
-        .otherwise(F.rint(product))
-        / 100
-    )
+    nudge = F.when(product - F.floor(product) == 0.5, F.signum(error) * 0.25).otherwise(0.0)
+    return F.rint(product + nudge) / 100
 
 
 def _plain_text(c: Column) -> Column:
-    """Text of a number as a plain decimal where Spark would use an exponent."""
-    text = c.cast("string")
-    size = F.abs(c.cast("double"))
-    exponent = text.contains("E") & (size < 1e16) & (size >= 1e-4)
+    """Text of a number, as a plain decimal also where Spark would use an exponent."""
+    text = F.replace(c.cast("string"), F.lit("Infinity"), F.lit("inf"))
+    # Below 1e-4 and from 1e16 on, an exponent is the usual form.
+    exponent = text.contains("E") & (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16)
     digits = F.rtrim(text.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
-    spelt = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    return F.when(exponent, spelt).otherwise(text)
+    return F.when(exponent, F.regexp_replace(digits, r"\.$", ".0")).otherwise(text)
+
+
+def number_scale(c: Column) -> Column:
+    """Bound and unit name of a number's text, null for small and negative numbers."""
+    scale = None
+    for size, name in NUMBER_UNITS:
+        pair = F.struct(F.lit(size).alias("size"), F.lit(name).alias("unit"))
+        scale = F.when(c > size, pair) if scale is None else scale.when(c > size, pair)
+    return scale
+
+
+def number_text(c: Column, scale: Column, scaled: Column) -> Column:
+    """Text of ``c`` given its :func:`number_scale` and ``c`` divided by the size of that."""
+    return (
+        F.when(scale.isNull(), _plain_text(c))
+        .when(F.isnan(scaled), F.lit("nan"))
+        .when(scaled == float("inf"), F.lit(f"inf {NUMBER_UNITS[0][1]}"))
+        .otherwise(F.format_string("%.2f %s", _round_half_even_2(scaled), scale["unit"]))
+    )
 
 
 def human_number(c: Column) -> Column:
@@ -45,23 +58,8 @@ def human_number(c: Column) -> Column:
     Two decimals, units from ``NUMBER_UNITS`` with strict bounds. Null stays null.
     Whole-number columns print without a decimal point, doubles with one.
     """
-    n = c.cast("double")
-    finite = (n < float("inf")) & ~F.isnan(n)
-    bound = F.lit(1.0)
-    unit = F.lit("")
-    for size, name in reversed(NUMBER_UNITS):
-        bound = F.when(n > size, F.lit(size)).otherwise(bound)
-        unit = F.when(n > size, F.lit(name)).otherwise(unit)
-    short = F.format_string("%.2f %s", _round_half_even_2(n / bound), unit)
-    smallest = min(size for size, _ in NUMBER_UNITS)
-    return (
-        F.when(n.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(n), F.lit("nan"))
-        .when(finite & (n > smallest), short)
-        .when(n == float("inf"), F.lit(f"inf {NUMBER_UNITS[0][1]}"))
-        .when(n == float("-inf"), F.lit("-inf"))
-        .otherwise(_plain_text(c))
-    )
+    scale = number_scale(c)
+    return number_text(c, scale, c / scale["size"])
 
 
 def money_sum(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geotrends.fixed_values import ALL, GROSS, GROWTH_BASE_YEAR, GROWTH_YEAR
-from geotrends.functions.numbers import human_number, money_sum, pct_change, round2
+from geotrends.functions.numbers import money_sum, number_scale, number_text, pct_change, round2
 from geotrends.operators.scope import filter_scope
 
 # Column -> output name; a list keeps the names.
@@ -43,13 +43,14 @@ def with_text(df: DataFrame, texts: dict[str, str], as_double: bool = False) ->
     """Add the human-readable text of each column: ``{column: name of the text}``.
 
     ``as_double`` prints whole numbers like doubles, as database sums appear.
+    The steps of :func:`human_number` stand in projections of their own, so
+    that each is computed once per row.
     """
-    return df.withColumns(
-        {
-            text: human_number(F.col(source).cast("double") if as_double else F.col(source))
-            for source, text in texts.items()
-        }
-    )
+    number = {s: F.col(s).cast("double") if as_double else F.col(s) for s in texts}
+    scales = df.withColumns({f"_{s}_scale": number_scale(c) for s, c in number.items()})
+    scaled = scales.withColumns({f"_{s}_scaled": c / F.col(f"_{s}_scale.size") for s, c in number.items()})
+    shown = {t: number_text(number[s], F.col(f"_{s}_scale"), F.col(f"_{s}_scaled")) for s, t in texts.items()}
+    return scaled.select(*df.columns, *[c.alias(t) for t, c in shown.items()])
 
 
 def regroup_sum(df: DataFrame, keys: Sequence[str], measures: Measures) -> DataFrame:

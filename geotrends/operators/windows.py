@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from geotrends.fixed_values import MARKER_SIZES, RISING_MAX_PREVIOUS, RISING_MIN_GROWTH
 from geotrends.functions.numbers import pct_change
 from geotrends.functions.text import place_year_label
-from geotrends.operators.aggregates import exact_sum
+from geotrends.operators.aggregates import exact_sum, sum_columns
 
 # Keys whose number of values is bounded by the calendar: a four-digit year and
 # a one-character quarter tag. Only totals per such a key are broadcast.
@@ -42,18 +42,18 @@ def rising_places(
     return labelled.orderBy(F.desc("growth_percentage"), "state", "district", "year")
 
 
-def with_total(df: DataFrame, value: str, name: str, by: str | None = None) -> DataFrame:
-    """Put the total of ``value`` on every row: of the frame, or of the row's period.
+def with_total(df: DataFrame, measures: dict[str, str], by: str | None = None) -> DataFrame:
+    """Put totals (column -> name) on every row: of the frame, or of the row's period.
 
-    The frame total is a scalar subquery. Period totals are one row per period
+    Frame totals are scalar subqueries. Period totals are one row per period
     and are broadcast, so the rows themselves are not shuffled, sorted or
     gathered by period.
     """
     if by is None:
-        return df.withColumn(name, df.agg(exact_sum(df, value)).scalar())
+        return df.withColumns({name: df.agg(exact_sum(df, m)).scalar() for m, name in measures.items()})
     if by not in PERIOD_KEYS:
         raise ValueError(f"totals are per {PERIOD_KEYS}, not per {by}")
-    totals = df.groupBy(by).agg(exact_sum(df, value).alias(name))
+    totals = df.groupBy(by).agg(*sum_columns(df, measures))
     return df.join(F.broadcast(totals), by, "left")
 
 

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from geotrends.fixed_values import FIRST_INSURANCE_PERIOD
 from geotrends.operators.aggregates import grand_total, pad_periods, period_trend, with_text
+from geotrends.plans.outputs import Outputs
 from geotrends.sources.tables import literal_rows
 
 
 def _total(df: DataFrame, measure: str, metric: str) -> DataFrame:
-    total = grand_total(df, {measure: "total"}).select(F.lit(metric).alias("metric"), "total")
-    return with_text(total, {"total": "total_f"}, as_double=True)
+    return grand_total(df, {measure: "total"}).select(F.lit(metric).alias("metric"), "total")
 
 
 def insurance_plot(trend: DataFrame) -> DataFrame:
@@ -26,32 +26,39 @@ def home_overview(
     aggregated_transaction: DataFrame,
     map_insurance: DataFrame,
     aggregated_insurance: DataFrame,
-) -> dict[str, DataFrame]:
+) -> Outputs:
     """``totals``, ``user_trend``, ``transaction_trend``, ``insurance_trend``, ``insurance_plot``."""
-    totals = (
-        _total(map_user, "registered_users", "registered_users")
-        .unionByName(_total(aggregated_transaction, "transaction_count", "transactions"))
-        .unionByName(_total(map_insurance, "insurance_count", "insurance_transactions"))
-    )
-    users = period_trend(map_user, {"registered_users": "user_count", "appopen_count": "open_count"})
-    transactions = period_trend(
-        aggregated_transaction,
-        {"transaction_count": "number_of_transactions", "transaction_amount": "total_transaction_amount"},
-    )
-    insurance = period_trend(aggregated_insurance, {"insurance_count": "count", "insurance_amount": "amount"})
-    return {
-        "totals": totals,
-        "user_trend": with_text(
-            users, {"user_count": "user_counts_f", "open_count": "open_counts_f"}, as_double=True
-        ),
-        "transaction_trend": with_text(
-            transactions,
-            {
-                "number_of_transactions": "number_of_transactions_f",
-                "total_transaction_amount": "total_transaction_amount_f",
-            },
+
+    def totals() -> DataFrame:
+        return with_text(
+            _total(map_user, "registered_users", "registered_users")
+            .unionByName(_total(aggregated_transaction, "transaction_count", "transactions"))
+            .unionByName(_total(map_insurance, "insurance_count", "insurance_transactions")),
+            {"total": "total_f"},
             as_double=True,
-        ),
-        "insurance_trend": insurance,
-        "insurance_plot": insurance_plot(insurance),
-    }
+        )
+
+    def user_trend() -> DataFrame:
+        trend = period_trend(map_user, {"registered_users": "user_count", "appopen_count": "open_count"})
+        return with_text(trend, {"user_count": "user_counts_f", "open_count": "open_counts_f"}, as_double=True)
+
+    def transaction_trend() -> DataFrame:
+        names = {
+            "transaction_count": "number_of_transactions",
+            "transaction_amount": "total_transaction_amount",
+        }
+        trend = period_trend(aggregated_transaction, names)
+        return with_text(trend, {name: f"{name}_f" for name in names.values()}, as_double=True)
+
+    def insurance_trend() -> DataFrame:
+        return period_trend(aggregated_insurance, {"insurance_count": "count", "insurance_amount": "amount"})
+
+    return Outputs(
+        {
+            "totals": totals,
+            "user_trend": user_trend,
+            "transaction_trend": transaction_trend,
+            "insurance_trend": insurance_trend,
+            "insurance_plot": lambda: insurance_plot(insurance_trend()),
+        }
+    )

@@ -7,14 +7,17 @@ from geotrends.operators.aggregates import centroid, conditional_growth, with_te
 from geotrends.operators.hierarchy import category_tree
 from geotrends.operators.joins import state_priority
 from geotrends.operators.ranking import order_by_category
+from geotrends.plans.outputs import Outputs
 
 
-def insurance_hot_spots(country_location: DataFrame) -> dict[str, DataFrame]:
+def insurance_hot_spots(country_location: DataFrame) -> Outputs:
     """``points`` of the map and its ``center``."""
-    return {
-        "points": country_location.select("state", "latitude", "longitude", "metric"),
-        "center": centroid(country_location),
-    }
+    return Outputs(
+        {
+            "points": lambda: country_location.select("state", "latitude", "longitude", "metric"),
+            "center": lambda: centroid(country_location),
+        }
+    )
 
 
 def prioritise_states(
@@ -24,14 +27,15 @@ def prioritise_states(
     base: int = GROWTH_BASE_YEAR,
     min_growth: float = SEGMENT_GROWTH,
     min_volume: float = SEGMENT_VOLUME,
-) -> dict[str, DataFrame]:
+) -> Outputs:
     """``growth`` per state, ``states`` with their segment in order, and the segment ``tree``."""
     growth = conditional_growth(aggregated_insurance, cur=cur, base=base)
-    states = with_text(
-        state_priority(growth, map_insurance, min_growth, min_volume), {"total_volume": "volume_f"}, as_double=True
-    )
-    return {
-        "growth": growth,
-        "states": order_by_category(states, "state_category", SEGMENTS, "state"),
-        "tree": category_tree(states),
-    }
+
+    def segments() -> DataFrame:
+        return state_priority(growth, map_insurance, min_growth, min_volume)
+
+    def states() -> DataFrame:
+        texts = with_text(segments(), {"total_volume": "volume_f"}, as_double=True)
+        return order_by_category(texts, "state_category", SEGMENTS, "state")
+
+    return Outputs({"growth": lambda: growth, "states": states, "tree": lambda: category_tree(segments())})

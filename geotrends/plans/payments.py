@@ -10,6 +10,7 @@ from geotrends.operators.aggregates import grand_total, regroup_sum, totals_with
 from geotrends.operators.matrix import matrix_long
 from geotrends.operators.scope import filter_scope, latest_rows
 from geotrends.operators.windows import with_log, with_total
+from geotrends.plans.outputs import Outputs
 
 _MEASURES = ["transaction_count", "transaction_amount"]
 _TEXTS = {"transaction_count": "count", "transaction_amount": "amount"}
@@ -48,7 +49,7 @@ SCOPE_VIEWS: dict[tuple[bool, bool, bool], ScopeView] = {
 }
 
 
-def _start(df: DataFrame, start: tuple[str, str] | None) -> DataFrame:
+def _starting(df: DataFrame, start: tuple[str, str] | None) -> DataFrame:
     if start is None:
         return df
     column, value = start
@@ -57,18 +58,18 @@ def _start(df: DataFrame, start: tuple[str, str] | None) -> DataFrame:
     return df.filter(F.col(column) == value)
 
 
-def _map(rows: DataFrame, view: ScopeView) -> DataFrame:
+def _mapped(rows: DataFrame, view: ScopeView) -> DataFrame:
     mapped = with_log(rows, "transaction_count")
-    if view.sum_by is not None:
-        by = view.sum_by or None
-        for measure, text in (("transaction_count", "count_sum"), ("transaction_amount", "amount_sum")):
-            mapped = with_text(with_total(mapped, measure, f"_{text}", by), {f"_{text}": text}).drop(f"_{text}")
-    return mapped
+    if view.sum_by is None:
+        return mapped
+    sums = {"transaction_count": "_count_sum", "transaction_amount": "_amount_sum"}
+    summed = with_total(mapped, sums, view.sum_by or None)
+    return with_text(summed, {name: name[1:] for name in sums.values()}).drop(*sums.values())
 
 
 def payment_modes(
     transactions: DataFrame, state: str = ALL, year: int | str = ALL, quarter: str = ALL
-) -> dict[str, DataFrame]:
+) -> Outputs:
     """All outputs for one scope of the aggregated transactions.
 
     ``rows`` (with texts), ``totals``, ``map`` and ``map_start``,
@@ -78,30 +79,40 @@ def payment_modes(
     """
     view = SCOPE_VIEWS[(state != ALL, year != ALL, quarter != ALL)]
     scoped = filter_scope(transactions, state, year, quarter)
-    rows = with_text(scoped, _TEXTS)
-    if view.totals_by:
-        totals = totals_with_gross(scoped, view.totals_by, _MEASURES, transactions)
-    else:
-        totals = grand_total(scoped, _MEASURES)
-    mapped = _map(rows, view)
-    out = {
+
+    def totals() -> DataFrame:
+        if view.totals_by:
+            return with_text(totals_with_gross(scoped, view.totals_by, _MEASURES, transactions), _TEXTS)
+        return with_text(grand_total(scoped, _MEASURES), _TEXTS)
+
+    def rows() -> DataFrame:
+        return with_text(scoped, _TEXTS)
+
+    def mapped() -> DataFrame:
+        return _mapped(rows(), view)
+
+    def types() -> DataFrame:
+        layers = ["count", "amount", *view.extra]
+        return matrix_long(
+            rows(), view.type_x, "transaction_type", "transaction_count", layers=layers, order=["year", "quarter"]
+        )
+
+    def periods() -> DataFrame:
+        yearly = view.totals_by == "year" and (state, quarter) == (ALL, ALL)
+        keys = ["state", "year"] if yearly else ["state", "year", "quarter"]
+        return with_text(regroup_sum(scoped, keys, _MEASURES), _SUM_TEXTS)
+
+    def cells() -> DataFrame:
+        x, y = view.grid
+        return matrix_long(periods(), x, y, "transaction_count", layers=["count_s", "amount_s"])
+
+    outputs = {
         "rows": rows,
-        "totals": with_text(totals, _TEXTS),
+        "totals": totals,
         "map": mapped,
-        "map_start": _start(mapped, view.start),
-        "type_matrix": matrix_long(
-            rows,
-            view.type_x,
-            "transaction_type",
-            "transaction_count",
-            layers=["count", "amount", *view.extra],
-            order=["year", "quarter"],
-        ),
+        "map_start": lambda: _starting(mapped(), view.start),
+        "type_matrix": types,
     }
     if view.grid:
-        keys = ["state", "year"] if view.grid == ("state", "year") and quarter == ALL else ["state", "year", "quarter"]
-        periods = with_text(regroup_sum(scoped, keys, _MEASURES), _SUM_TEXTS)
-        x, y = view.grid
-        cells = matrix_long(periods, x, y, "transaction_count", layers=["count_s", "amount_s"])
-        out |= {"periods": periods, "period_matrix": cells, "period_range": value_range(cells, "z")}
-    return out
+        outputs |= {"periods": periods, "period_matrix": cells, "period_range": lambda: value_range(cells(), "z")}
+    return Outputs(outputs)

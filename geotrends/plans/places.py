@@ -11,11 +11,12 @@ from geotrends.operators.hierarchy import hierarchy_rollup
 from geotrends.operators.ranking import head_n, middle_slice, tail_n
 from geotrends.operators.scope import filter_place
 from geotrends.operators.windows import rising_places
+from geotrends.plans.outputs import Outputs
 
 _TEXTS = {"count": "count_f", "amount": "amount_f"}
 
 
-def volume_places(df: DataFrame, places: Sequence[str], year: int | str = ALL) -> dict[str, DataFrame]:
+def volume_places(df: DataFrame, places: Sequence[str], year: int | str = ALL) -> Outputs:
     """``all`` places by volume, and the ``top``, ``moderate`` and ``bottom`` ones.
 
     ``places`` is ``["state"]``, ``["state", "district"]`` or
@@ -26,12 +27,14 @@ def volume_places(df: DataFrame, places: Sequence[str], year: int | str = ALL) -
     ranked = with_text(rank_places(df, places, year), _TEXTS, as_double=True)
     # Charts read upwards: top and moderate places are listed smallest first.
     upwards = [F.asc("count"), *[F.desc(p) for p in places]]
-    return {
-        "all": ranked,
-        "top": head_n(ranked, "count", places).orderBy(*upwards),
-        "moderate": middle_slice(ranked, "count", places).orderBy(*upwards),
-        "bottom": tail_n(ranked, "count", places).orderBy(F.desc("count"), *places),
-    }
+    return Outputs(
+        {
+            "all": lambda: ranked,
+            "top": lambda: head_n(ranked, "count", places).orderBy(*upwards),
+            "moderate": lambda: middle_slice(ranked, "count", places).orderBy(*upwards),
+            "bottom": lambda: tail_n(ranked, "count", places).orderBy(F.desc("count"), *places),
+        }
+    )
 
 
 def rising_districts(

@@ -16,38 +16,53 @@ from geotrends.operators.matrix import matrix_long
 from geotrends.operators.ranking import head_n, top_places
 from geotrends.operators.scope import flag_underutilized, latest_rows
 from geotrends.operators.windows import rescale, with_log
+from geotrends.plans.outputs import Outputs
 
 _USER_TEXTS = {"user_count": "user_counts_f", "open_count": "open_counts_f"}
 
 
-def state_year_users(map_user: DataFrame) -> DataFrame:
-    """Users and app opens by state and year, fewest users first."""
-    sums = map_user.groupBy("state", "year").agg(
+def _state_year_sums(map_user: DataFrame) -> DataFrame:
+    return map_user.groupBy("state", "year").agg(
         F.sum("registered_users").alias("user_count"), F.sum("appopen_count").alias("open_count")
     )
-    return with_text(sums, _USER_TEXTS, as_double=True).orderBy("user_count", "state", "year")
 
 
-def user_engagement(map_user: DataFrame, periods: DataFrame) -> dict[str, DataFrame]:
-    """``rows``, ``totals``, ``map``, ``map_start``, ``matrix``, ``matrix_range``.
+def state_year_users(map_user: DataFrame) -> DataFrame:
+    """Users and app opens by state and year, fewest users first."""
+    texts = with_text(_state_year_sums(map_user), _USER_TEXTS, as_double=True)
+    return texts.orderBy("user_count", "state", "year")
+
+
+def user_engagement(map_user: DataFrame, periods: DataFrame) -> Outputs:
+    """``rows``, ``totals``, ``map``, ``map_start``, ``map_range``, ``matrix``, ``matrix_range``.
 
     ``periods`` lists the years to total.
     """
-    rows = state_year_users(map_user)
     measures = ["user_count", "open_count"]
-    totals = totals_with_gross(rows, "year", measures, periods)
-    regrouped = with_text(regroup_sum(rows, ["state", "year"], measures), _USER_TEXTS, as_double=True)
-    cells = matrix_long(regrouped, "state", "year", "user_count", layers=["user_counts_f", "open_counts_f"])
-    mapped = with_log(rows, "user_count")
-    return {
-        "rows": rows,
-        "totals": with_text(totals, _USER_TEXTS, as_double=True),
-        "map": mapped,
-        "map_start": latest_rows(mapped),
-        "map_range": value_range(mapped, "user_count_log"),
-        "matrix": cells,
-        "matrix_range": value_range(cells, "z"),
-    }
+
+    def totals() -> DataFrame:
+        sums = totals_with_gross(_state_year_sums(map_user), "year", measures, periods)
+        return with_text(sums, _USER_TEXTS, as_double=True)
+
+    def mapped() -> DataFrame:
+        return with_log(state_year_users(map_user), "user_count")
+
+    def cells() -> DataFrame:
+        sums = regroup_sum(map_user, ["state", "year"], {"registered_users": "user_count", "appopen_count": "open_count"})
+        texts = with_text(sums, _USER_TEXTS, as_double=True)
+        return matrix_long(texts, "state", "year", "user_count", layers=["user_counts_f", "open_counts_f"])
+
+    return Outputs(
+        {
+            "rows": lambda: state_year_users(map_user),
+            "totals": totals,
+            "map": mapped,
+            "map_start": lambda: latest_rows(mapped()),
+            "map_range": lambda: value_range(mapped(), "user_count_log"),
+            "matrix": cells,
+            "matrix_range": lambda: value_range(cells(), "z"),
+        }
+    )
 
 
 def brand_totals(aggregated_user: DataFrame) -> DataFrame:
@@ -67,17 +82,24 @@ def brand_state_year(aggregated_user: DataFrame, skipped_year: int = BRAND_SKIPP
 
 def brand_dominance(
     aggregated_user: DataFrame, brand: str, skipped_year: int = BRAND_SKIPPED_YEAR
-) -> dict[str, DataFrame]:
+) -> Outputs:
     """``brands``, ``rows`` of one brand, ``matrix``, ``matrix_range``."""
-    # The brand filter stands before the sums, where it reaches the scan.
-    rows = brand_state_year(aggregated_user.filter(F.col("brand") == brand), skipped_year)
-    cells = matrix_long(rows, "state", "year", "user_count", layers=["count_f", "brand"])
-    return {
-        "brands": brand_totals(aggregated_user),
-        "rows": rows,
-        "matrix": cells,
-        "matrix_range": value_range(cells, "z"),
-    }
+
+    def rows() -> DataFrame:
+        # The brand filter stands before the sums, where it reaches the scan.
+        return brand_state_year(aggregated_user.filter(F.col("brand") == brand), skipped_year)
+
+    def cells() -> DataFrame:
+        return matrix_long(rows(), "state", "year", "user_count", layers=["count_f", "brand"])
+
+    return Outputs(
+        {
+            "brands": lambda: brand_totals(aggregated_user),
+            "rows": rows,
+            "matrix": cells,
+            "matrix_range": lambda: value_range(cells(), "z"),
+        }
+    )
 
 
 def open_rates(
@@ -86,14 +108,19 @@ def open_rates(
     brand: str,
     min_users: float = UNDERUTILIZED_MIN_USERS,
     max_rate: float = UNDERUTILIZED_MAX_RATE,
-) -> dict[str, DataFrame]:
+) -> Outputs:
     """``rates`` of one brand, all ``underutilized`` rows and the largest of them (``top``)."""
-    under = flag_underutilized(app_open_rate(aggregated_user, map_user), min_users, max_rate)
-    return {
-        "rates": app_open_rate(aggregated_user.filter(F.col("brand") == brand), map_user),
-        "underutilized": under,
-        "top": head_n(under, "brand_users", ["state", "year", "brand"], UNDERUTILIZED_ROWS),
-    }
+
+    def under() -> DataFrame:
+        return flag_underutilized(app_open_rate(aggregated_user, map_user), min_users, max_rate)
+
+    return Outputs(
+        {
+            "rates": lambda: app_open_rate(aggregated_user.filter(F.col("brand") == brand), map_user),
+            "underutilized": under,
+            "top": lambda: head_n(under(), "brand_users", ["state", "year", "brand"], UNDERUTILIZED_ROWS),
+        }
+    )
 
 
 def registered_users_map(top_user_district: DataFrame, location: DataFrame) -> DataFrame:
@@ -108,15 +135,17 @@ def top_users(
     top_user_pincode: DataFrame,
     year: int | str = ALL,
     quarter: str = ALL,
-) -> dict[str, DataFrame]:
+) -> Outputs:
     """``states``, ``districts`` and ``pincodes`` with the most users, fewest first as charted."""
-    pincodes = top_user_pincode.withColumn("pincode", F.col("pincode").cast("string"))
-    lists = {
-        "states": (top_places(map_user, ["state"], year, quarter), "state"),
-        "districts": (top_places(top_user_district, ["district"], year, quarter, carry="state"), "district"),
-        "pincodes": (top_places(pincodes, ["pincode"], year, quarter, carry="state"), "pincode"),
-    }
-    return {
-        name: with_text(df, {"users": "users_f"}, as_double=True).orderBy("users", F.desc(key))
-        for name, (df, key) in lists.items()
-    }
+
+    def charted(df: DataFrame, place: str, carry: str | None) -> DataFrame:
+        top = top_places(df.withColumn(place, F.col(place).cast("string")), [place], year, quarter, carry=carry)
+        return with_text(top, {"users": "users_f"}, as_double=True).orderBy("users", F.desc(place))
+
+    return Outputs(
+        {
+            "states": lambda: charted(map_user, "state", None),
+            "districts": lambda: charted(top_user_district, "district", "state"),
+            "pincodes": lambda: charted(top_user_pincode, "pincode", "state"),
+        }
+    )

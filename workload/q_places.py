@@ -158,7 +158,7 @@ def _(t):
     ),
 )
 def _(t):
-    return with_total(t.agg_transaction, "transaction_amount", "amount_sum")
+    return with_total(t.agg_transaction, {"transaction_amount": "amount_sum"})
 
 
 for _id, _by in (("win04_year_total", "year"), ("win05_quarter_total", "quarter")):
@@ -173,8 +173,7 @@ for _id, _by in (("win04_year_total", "year"), ("win05_quarter_total", "quarter"
         ),
     )
     def _(t, by=_by):
-        counted = with_total(t.agg_transaction, "transaction_count", "count_sum", by)
-        return with_total(counted, "transaction_amount", "amount_sum", by)
+        return with_total(t.agg_transaction, {"transaction_count": "count_sum", "transaction_amount": "amount_sum"}, by)
 
 
 # --- rankings ----------------------------------------------------------------

@@ -22,9 +22,12 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self._dir = sf_dir
+        self._base: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+        if name not in self._base:
+            self._base[name] = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self._base[name]
 
     @cached_property
     def customer_places(self) -> DataFrame:
