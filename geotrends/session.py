@@ -13,14 +13,14 @@ SETTINGS = {
 
 
 def build_session(name: str = "geotrends", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with the library's settings; ``settings`` use ``_`` for ``.``."""
+    """A session with the library's settings and further ones given by name."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     for key, value in settings.items():
-        builder = builder.config(key.replace("__", "."), value)
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
