@@ -9,8 +9,8 @@ from geotrends.fixed_values import NUMBER_UNITS, SEGMENT_GROWTH, SEGMENT_VOLUME
 _SPLIT = float(2**27 + 1)
 
 
-def _round_half_even_2(q: Column) -> Column:
-    """``q`` rounded to two decimals by its exact binary value.
+def _two_decimals(q: Column) -> Column:
+    """Text of a positive ``q`` with two decimals, rounded by its exact binary value.
 
     ``format_string`` rounds the shortest decimal text half up, which differs
     on ties. Only when ``q * 100`` ends in exactly .5 can the rounded product
@@ -21,7 +21,10 @@ def _round_half_even_2(q: Column) -> Column:
     high = carry - (carry - q)
     error = (high * 100 - product) + (q - high) * 100
     nudge = F.when(product - F.floor(product) == 0.5, F.signum(error) * 0.25).otherwise(0.0)
-    return F.rint(product + nudge) / 100
+    hundredths = F.rint(product + nudge).cast("bigint").cast("decimal(18,0)")
+    short = (hundredths * F.lit("0.01").cast("decimal(2,2)")).cast("string")
+    # Beyond that there are no cents left, and the hundredths would be too large.
+    return F.when(q < 1e15, short).otherwise(F.format_string("%.2f", q))
 
 
 def _plain_text(c: Column) -> Column:
@@ -48,7 +51,7 @@ def number_text(c: Column, scale: Column, scaled: Column) -> Column:
         F.when(scale.isNull(), _plain_text(c))
         .when(F.isnan(scaled), F.lit("nan"))
         .when(scaled == float("inf"), F.lit(f"inf {NUMBER_UNITS[0][1]}"))
-        .otherwise(F.format_string("%.2f %s", _round_half_even_2(scaled), scale["unit"]))
+        .otherwise(F.concat(_two_decimals(scaled), F.lit(" "), scale["unit"]))
     )
 
 

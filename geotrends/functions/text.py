@@ -5,24 +5,26 @@ from pyspark.sql import functions as F
 
 from geotrends.fixed_values import CANONICAL_STATES, DISTRICT_SUFFIX
 
+# A blank that initcap sees, behind a control character that no text holds.
+_WORD = "\u0001 "
+
 
 def title_case(c: Column) -> Column:
     """Upper case after every non-letter, lower case elsewhere.
 
-    ``initcap`` only starts a word after white space, so the text is first cut
-    into runs of letters and of anything else.
+    ``initcap`` only starts a word after a blank, so a marked blank is put
+    before each word that follows something else, and taken out again.
     """
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    spread = F.regexp_replace(F.lower(c), r"(?<=[^\p{L} ])(?=\p{L})", _WORD)
+    return F.replace(F.initcap(spread), F.lit(_WORD), F.lit(""))
 
 
 def canonical_state(c: Column) -> Column:
     """State name from a directory name, with the long names put in one form."""
-    name = F.replace(title_case(c), F.lit("-"), F.lit(" "))
-    result = name
+    known = F
     for prefix, full in CANONICAL_STATES.items():
-        result = F.when(name.startswith(prefix), F.lit(full)).otherwise(result)
-    return result
+        known = known.when(F.lower(c).startswith(prefix.lower()), F.lit(full))
+    return known.otherwise(F.replace(title_case(c), F.lit("-"), F.lit(" ")))
 
 
 def clean_district(c: Column) -> Column:

@@ -16,6 +16,7 @@ from geotrends.functions.text import canonical_state, clean_district, clean_stat
 from geotrends.schemas import DOCUMENT_NODES, SCHEMAS, node_schema
 from geotrends.sources.json_tree import CORRUPT, PATH
 
+# Element (and its key, in a keyed object) -> columns, names as they are in the document.
 Fields = Callable[[Column, Column], dict[str, Column]]
 
 
@@ -43,57 +44,37 @@ def _payment(kind: str, measure: str) -> Fields:
 
 
 def _hover_users(key: Column, e: Column) -> dict[str, Column]:
-    return {
-        "district": clean_district(key),
-        "registered_users": e["registeredUsers"],
-        "appopen_count": e["appOpens"],
-    }
+    return {"district": key, "registered_users": e["registeredUsers"], "appopen_count": e["appOpens"]}
 
 
 def _hover_metric(measure: str) -> Fields:
     def fields(_: Column, e: Column) -> dict[str, Column]:
         first = F.get(e["metric"], F.lit(0))
-        return {
-            "district": clean_district(e["name"]),
-            f"{measure}_count": first["count"],
-            f"{measure}_amount": first["amount"],
-        }
+        return {"district": e["name"], f"{measure}_count": first["count"], f"{measure}_amount": first["amount"]}
 
     return fields
 
 
-def _place(place: str, name: Column) -> Column:
-    return clean_district(name) if place == "district" else name
-
-
 def _top_users(place: str) -> Fields:
-    def fields(_: Column, e: Column) -> dict[str, Column]:
-        return {place: _place(place, e["name"]), "registered_users": e["registeredUsers"]}
-
-    return fields
+    return lambda _, e: {place: e["name"], "registered_users": e["registeredUsers"]}
 
 
 def _top_metric(place: str, measure: str) -> Fields:
     def fields(_: Column, e: Column) -> dict[str, Column]:
-        return {
-            place: _place(place, e["entityName"]),
-            f"{measure}_count": e["metric"]["count"],
-            f"{measure}_amount": e["metric"]["amount"],
-        }
+        metric = e["metric"]
+        return {place: e["entityName"], f"{measure}_count": metric["count"], f"{measure}_amount": metric["amount"]}
 
     return fields
 
 
-def _location(label: str, clean: Callable[[Column], Column]) -> Fields:
+def _location(label: str) -> Fields:
     def fields(_: Column, e: Column) -> dict[str, Column]:
-        def item(i: int) -> Column:
-            return F.when(F.size(e) == 4, F.get(e, F.lit(i)))
-
+        latitude, longitude, metric, name = (F.when(F.size(e) == 4, F.get(e, F.lit(i))) for i in range(4))
         return {
-            label: clean(item(3)),
-            "latitude": item(0).try_cast("double"),
-            "longitude": item(1).try_cast("double"),
-            "metric": item(2).try_cast("double"),
+            label: name,
+            "latitude": latitude.try_cast("double"),
+            "longitude": longitude.try_cast("double"),
+            "metric": metric.try_cast("double"),
         }
 
     return fields
@@ -121,12 +102,8 @@ EXTRACTORS: dict[str, Extractor] = {
         Extractor("top_transaction_pincodewise", "top_transaction", "pincodes", _top_metric("pincode", "transaction")),
         Extractor("top_insurance_districtwise", "top_insurance", "districts", _top_metric("district", "insurance")),
         Extractor("top_insurance_pincodewise", "top_insurance", "pincodes", _top_metric("pincode", "insurance")),
-        Extractor(
-            "state_level_location_metrics", "location", "data.data", _location("district", clean_district)
-        ),
-        Extractor(
-            "india_level_location_metrics", "location", "data.data", _location("state", clean_state_label), country=True
-        ),
+        Extractor("state_level_location_metrics", "location", "data.data", _location("district")),
+        Extractor("india_level_location_metrics", "location", "data.data", _location("state"), country=True),
     ]
 }
 
@@ -154,44 +131,43 @@ def _node(x: Extractor) -> Column:
 
 
 def _exploded(raw: DataFrame, x: Extractor) -> DataFrame:
-    """One row per element with its position or key, and the projected fields."""
+    """One row per element: path keys, ``_position``, ``_element`` and ``_complete``.
+
+    The state name is cleaned here, once per document. The check looks at the
+    names as read, so that the filter on it stays cheap.
+    """
     _, keyed = DOCUMENT_NODES[x.entity][x.node]
-    names = ["_key", "_element"] if keyed else ["_position", "_element"]
-    keys = [PATH] + [k for k in ("state", "year", "quarter") if k in raw.columns]
-    rows = raw.select(*keys, (F.explode if keyed else F.posexplode)(_node(x)).alias(*names))
-    position = F.col(names[0]).cast("string")
-    fields = x.fields(F.col(names[0]), F.col("_element"))
+    explode = F.explode if keyed else F.posexplode
+    keys = [F.col(PATH)]
     if not x.country:
-        fields = {"state": canonical_state(F.col("state")), **fields}
-    # Underscored, as the state of a row may come from the path or from its label.
-    return rows.select(
-        PATH,
-        position.alias("position"),
-        F.col("_element").alias("element"),
-        *[F.col(k).alias(f"_{k}") for k in keys[1:] if k != "state"],
-        *[c.alias(f"_{name}") for name, c in fields.items()],
-    )
-
-
-def _complete(x: Extractor) -> Column:
-    columns = SCHEMAS[x.table].names
+        keys += [canonical_state(F.col("state")).alias("state"), F.col("year"), F.col("quarter")]
+    rows = raw.select(*keys, explode(_node(x)).alias("_position", "_element"))
     complete = F.lit(True)
-    for name in columns:
-        complete = complete & F.col(f"_{name}").isNotNull()
-    return complete
+    for c in x.fields(F.col("_position"), F.col("_element")).values():
+        complete = complete & c.isNotNull()
+    return rows.withColumn("_complete", complete)
 
 
 def extract(raw: DataFrame, table: str) -> DataFrame:
     """Flat rows of ``table`` from its raw documents."""
     x = EXTRACTORS[table]
-    rows = _exploded(raw, x).filter(_complete(x))
+    fields = x.fields(F.col("_position"), F.col("_element"))
+    if "district" in fields:
+        fields["district"] = clean_district(fields["district"])
+    if x.country:
+        fields["state"] = clean_state_label(fields["state"])
+    rows = _exploded(raw, x).filter("_complete")
     return rows.select(
-        *[F.col(f"_{f.name}").cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields]
+        *[fields.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields]
     )
 
 
 def rejected_elements(raw: DataFrame, table: str) -> DataFrame:
-    """Elements that :func:`extract` leaves out: ``file_path, position, element``."""
-    x = EXTRACTORS[table]
-    rows = _exploded(raw, x).filter(~_complete(x))
-    return rows.select(PATH, "position", F.to_json("element").alias("element"))
+    """Elements that :func:`extract` leaves out: ``file_path, position, element``.
+
+    The position is the index in the list, or the key in a keyed object.
+    """
+    rows = _exploded(raw, EXTRACTORS[table]).filter(~F.col("_complete"))
+    return rows.select(
+        PATH, F.col("_position").cast("string").alias("position"), F.to_json("_element").alias("element")
+    )

@@ -50,8 +50,9 @@ def with_country_path_keys(df: DataFrame, path: str = PATH) -> DataFrame:
 
 
 def _unparsable() -> Column:
-    # A wrong-typed field also fills the corrupt column; only broken JSON fails to parse.
-    return F.col(CORRUPT).isNotNull() & F.try_parse_json(F.col(CORRUPT)).isNull()
+    # A wrong-typed field also fills the corrupt column, but leaves the rest of the data
+    # or at least parses; broken JSON does neither.
+    return F.col("data").isNull() & F.col(CORRUPT).isNotNull() & F.try_parse_json(F.col(CORRUPT)).isNull()
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
