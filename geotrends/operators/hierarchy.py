@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geotrends.fixed_values import SEGMENT_ROOT
 from geotrends.operators.aggregates import exact_sum
 from geotrends.operators.joins import join_keys
+from geotrends.session import materialize
 
 
 def hierarchy_rollup(df: DataFrame, path: Sequence[str], value: str) -> DataFrame:
@@ -15,13 +16,14 @@ def hierarchy_rollup(df: DataFrame, path: Sequence[str], value: str) -> DataFram
 
     Columns: ``level`` (0 is the root), the path columns (null below the
     level), ``value``, ``weighted`` (mean of the value weighted by itself),
-    ``pct_parent`` and ``pct_root``. Rows are summed at the full path first,
-    so the rollup multiplies groups and not rows. Parents are found by a join:
-    a parent with very many children is not gathered in one place.
+    ``pct_parent`` and ``pct_root``. Rows are summed at the full path first and
+    those sums kept, so the rollup multiplies groups and not rows, and the
+    shares need no further scan. Parents are found by a join: a parent with
+    very many children is not gathered in one place.
     """
     path = list(path)
     square = F.sum(F.col(value).cast("double") * F.col(value))
-    leaves = df.groupBy(*path).agg(exact_sum(df, value).alias("value"), square.alias("_square"))
+    leaves = materialize(df.groupBy(*path).agg(exact_sum(df, value).alias("value"), square.alias("_square")))
     bits = F.grouping_id(*path)
     # grouping_id has one trailing 1-bit per rolled-up column.
     level = F.lit(len(path)) - F.bit_count(bits)
@@ -40,7 +42,7 @@ def hierarchy_rollup(df: DataFrame, path: Sequence[str], value: str) -> DataFram
     for depth, c in enumerate(path[:-1], start=1):
         child = child.withColumn(f"_up_{c}", F.when(F.col("level") > depth, F.col(c)))
     joined = join_keys(child, parents, ["_child_level", *[f"_up_{c}" for c in path[:-1]]], "left")
-    total = df.agg(exact_sum(df, value).cast("double")).scalar()
+    total = leaves.agg(exact_sum(leaves, "value").cast("double")).scalar()
     # The root is its own parent.
     parent_value = F.when(F.col("level") == 0, F.col("value")).otherwise(F.col("_parent_value")).cast("double")
     return joined.select(

@@ -13,6 +13,7 @@ from geotrends.fixed_values import ALL, EDGE_ROWS, PLACE_LIMITS, STATE_LIMITS
 from geotrends.operators.aggregates import exact_sum
 from geotrends.operators.joins import join_keys
 from geotrends.operators.scope import filter_scope
+from geotrends.session import materialize
 
 
 def head_n(df: DataFrame, by: str, keys: Sequence[str], n: int = EDGE_ROWS) -> DataFrame:
@@ -30,8 +31,10 @@ def middle_slice(
 ) -> DataFrame:
     """Rows between the first ``head`` and the last ``tail``; none when those cover all.
 
-    ``keys`` identify a row. At most ``head + tail`` of them are broadcast.
+    ``keys`` identify a row. At most ``head + tail`` of them are broadcast. The
+    ranked frame is kept, as both ends and the middle are taken from it.
     """
+    df = materialize(df)
     edges = head_n(df, by, keys, head).select(*keys).unionByName(tail_n(df, by, keys, tail).select(*keys))
     return join_keys(df, F.broadcast(edges), keys, "left_anti")
 

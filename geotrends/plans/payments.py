@@ -110,7 +110,8 @@ def payment_modes(
         "rows": rows,
         "totals": totals,
         "map": mapped,
-        "map_start": lambda: _starting(mapped(), view.start),
+        # Whole periods are kept, so their totals stay the same.
+        "map_start": lambda: _mapped(_starting(rows(), view.start), view),
         "type_matrix": types,
     }
     if view.grid:

@@ -24,15 +24,19 @@ def volume_places(df: DataFrame, places: Sequence[str], year: int | str = ALL) -
     """
     if "pincode" in places:
         df = df.withColumn("pincode", F.col("pincode").cast("string"))
-    ranked = with_text(rank_places(df, places, year), _TEXTS, as_double=True)
-    # Charts read upwards: top and moderate places are listed smallest first.
-    upwards = [F.asc("count"), *[F.desc(p) for p in places]]
+    ranked = rank_places(df, places, year)
+
+    def charted(part: DataFrame, upwards: bool) -> DataFrame:
+        # Charts read upwards: top and moderate places are listed smallest first.
+        order = [F.asc("count"), *[F.desc(p) for p in places]] if upwards else [F.desc("count"), *places]
+        return with_text(part, _TEXTS, as_double=True).orderBy(*order)
+
     return Outputs(
         {
-            "all": lambda: ranked,
-            "top": lambda: head_n(ranked, "count", places).orderBy(*upwards),
-            "moderate": lambda: middle_slice(ranked, "count", places).orderBy(*upwards),
-            "bottom": lambda: tail_n(ranked, "count", places).orderBy(F.desc("count"), *places),
+            "all": lambda: charted(ranked, False),
+            "top": lambda: charted(head_n(ranked, "count", places), True),
+            "moderate": lambda: charted(middle_slice(ranked, "count", places), True),
+            "bottom": lambda: charted(tail_n(ranked, "count", places), False),
         }
     )
 

@@ -17,6 +17,7 @@ from geotrends.operators.ranking import head_n, top_places
 from geotrends.operators.scope import flag_underutilized, latest_rows
 from geotrends.operators.windows import rescale, with_log
 from geotrends.plans.outputs import Outputs
+from geotrends.session import materialize
 
 _USER_TEXTS = {"user_count": "user_counts_f", "open_count": "open_counts_f"}
 
@@ -57,7 +58,7 @@ def user_engagement(map_user: DataFrame, periods: DataFrame) -> Outputs:
             "rows": lambda: state_year_users(map_user),
             "totals": totals,
             "map": mapped,
-            "map_start": lambda: latest_rows(mapped()),
+            "map_start": lambda: with_log(state_year_users(latest_rows(map_user)), "user_count"),
             "map_range": lambda: value_range(mapped(), "user_count_log"),
             "matrix": cells,
             "matrix_range": lambda: value_range(cells(), "z"),
@@ -125,8 +126,9 @@ def open_rates(
 
 def registered_users_map(top_user_district: DataFrame, location: DataFrame) -> DataFrame:
     """Districts with their users, coordinates and marker size."""
-    placed = with_text(users_with_location(top_user_district, location), {"users": "users_f"}, as_double=True)
-    return rescale(placed, "users", "marker_size")
+    # One row per district, needed for its bounds first and then for its rows.
+    placed = materialize(users_with_location(top_user_district, location))
+    return with_text(rescale(placed, "users", "marker_size"), {"users": "users_f"}, as_double=True)
 
 
 def top_users(

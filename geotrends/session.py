@@ -2,13 +2,14 @@
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -39,3 +40,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a frame once and keep it on the shared storage.
+
+    For a grouped frame that a plan refers to several times: each reference
+    would otherwise prune other columns and scan the tables again. The copy
+    outlives lost executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

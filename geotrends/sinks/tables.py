@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from geotrends.fixed_values import LOCATION_BATCH_ROWS
 from geotrends.operators.quality import check_schema
 from geotrends.schemas import SCHEMAS
-from geotrends.session import ensure_checkpoint_dir
+from geotrends.session import materialize
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -75,10 +75,9 @@ def with_surrogate_id(df: DataFrame, order_by: Sequence[str], name: str = "id")
     partition; each partition then starts after the sizes of those before it.
     Only the partition sizes, one row per task, are summed in one place.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     # Partition number in the high bits, position within it in the low 33.
     at = F.monotonically_increasing_id()
-    fixed = df.orderBy(*order_by).checkpoint()
+    fixed = materialize(df.orderBy(*order_by))
     placed = fixed.withColumn("_at", at).select(
         "*", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")
     )

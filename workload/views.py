@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geotrends.functions.numbers import money_sum
 
@@ -90,10 +91,12 @@ class Tables:
 
     @cached_property
     def map_user(self) -> DataFrame:
-        # Orders per customer first: the distinct count is then a plain count.
-        period = ["state", "year", "quarter", "district"]
-        each = self.order_places.groupBy(*period, "c_custkey").agg(F.count(F.lit(1)).alias("n"))
-        return each.groupBy(*period).agg(
+        # Orders are counted per customer and quarter before the join. The distinct
+        # count is then a plain count, and a customer with very many orders is one
+        # row per quarter by the time rows meet on the customer key.
+        each = self.base("orders").groupBy("o_custkey", *_period("o_orderdate")).agg(F.count(F.lit(1)).alias("n"))
+        joined = each.join(self.customer_places, F.col("o_custkey") == F.col("c_custkey"))
+        return joined.groupBy("state", "year", "quarter", "district").agg(
             F.count(F.lit(1)).alias("registered_users"), F.sum("n").alias("appopen_count")
         )
 
@@ -111,10 +114,9 @@ class Tables:
     def agg_user(self) -> DataFrame:
         period = ["state", "year", "quarter"]
         counts = self.line_places.groupBy(*period, "brand").agg(F.count(F.lit(1)).alias("user_count"))
-        totals = counts.groupBy(*period).agg(F.sum("user_count").alias("total"))
-        return counts.join(totals, period).select(
-            *period, "brand", "user_count", (F.col("user_count") / F.col("total")).alias("user_percentage")
-        )
+        # The window holds one row per brand of a state and quarter.
+        total = F.sum("user_count").over(Window.partitionBy(*period))
+        return counts.withColumn("user_percentage", F.col("user_count") / total)
 
     def _insurance(self, name: str) -> DataFrame:
         return self.line_places.groupBy("state", "year", "quarter", F.col("type").alias(name)).agg(
