@@ -33,76 +33,85 @@ def _even_bucket(v: Column, low: Column, high: Column) -> Column:
     return F.coalesce(F.floor(part * (_EVEN_BUCKETS - 1)).cast("int"), F.lit(0))
 
 
-def _running(df: DataFrame, keys: Sequence[str], order: str, size: str) -> DataFrame:
-    """Add ``_first`` and ``_last``: ranks before and through each row of its group."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_last", F.sum(size).over(upto)).withColumn("_first", F.col("_last") - F.col(size))
+def _ranks(probabilities: Sequence[float]) -> list[str]:
+    return [f"_r{i}" for i in range(2 * len(probabilities))]
 
 
-def _holding(df: DataFrame) -> DataFrame:
-    """Rows that hold wanted ranks, with those ranks counted from the row's start."""
-    inside = F.filter(
-        "_wanted", lambda w: (w["rank"] >= F.col("_first")) & (w["rank"] < F.col("_last"))
-    )
-    shifted = F.transform(inside, lambda w: w.withField("rank", w["rank"] - F.col("_first")))
-    return df.withColumn("_wanted", shifted).filter(F.size("_wanted") > 0)
-
-
-def _targets(total: Column, probabilities: Sequence[float]) -> Column:
-    """Both neighbouring ranks (from 0) of every probability, with the share of the upper one."""
-    targets = []
-    for p in probabilities:
-        at = F.lit(float(p)) * (total - 1)
-        low = F.floor(at)
-        for rank in (low, F.ceil(at)):
-            targets.append(
-                F.struct(
-                    F.lit(float(p)).alias("probability"),
-                    (at - low).cast("double").alias("share"),
-                    rank.cast("bigint").alias("rank"),
-                )
-            )
-    return F.array(*targets)
+def _holding(df: DataFrame, keys: Sequence[str], order: str, size: str, ranks: Sequence[str]) -> DataFrame:
+    """Rows that hold a wanted rank of their group.
 
+    A rank counts from the start of the group; after this, from the start of
+    the row that holds it, and is null on all others.
+    """
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = df.withColumn("_last", F.sum(size).over(upto)).withColumn("_first", F.col("_last") - F.col(size))
+    within = {
+        r: F.when((F.col(r) >= F.col("_first")) & (F.col(r) < F.col("_last")), F.col(r) - F.col("_first")) for r in ranks
+    }
+    return placed.withColumns(within).filter(F.coalesce(*ranks).isNotNull()).drop("_first", "_last")
 
-def exact_quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str] = ()
-) -> DataFrame:
-    """Quantiles with linear interpolation: one row per group and probability.
 
-    Columns: the ``by`` columns, ``probability``, ``quantile``. Null, NaN and
-    infinite values do not count.
-    """
-    by = list(by)
-    v = F.col(column).cast("double")
+def _neighbours(df: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Per group the number of values and, per probability, the values at both neighbouring ranks."""
+    ranks = _ranks(probabilities)
     rows = (
-        df.select(*by, v.alias("_v"))
+        df.select(*by, F.col(column).cast("double").alias("_v"))
         .filter(F.abs("_v") < float("inf"))
         .groupBy(*by, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b0", _log_bucket(F.col("_v")))
     )
-    keys, wanted = by, None
+    keys, carried = list(by), []
     for cut in range(_EVEN_CUTS + 1):
         bucket = f"_b{cut}"
-        sized = rows.groupBy(*keys, bucket).agg(
-            F.sum("_n").alias("_size"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+        cells = rows.groupBy(*keys, bucket).agg(
+            F.sum("_n").alias("_size"),
+            F.min("_v").alias("_low"),
+            F.max("_v").alias("_high"),
+            *[F.max(c).alias(c) for c in carried],
         )
-        if wanted is None:
-            total = F.sum("_size").over(Window.partitionBy(*keys))
-            sized = sized.withColumn("_wanted", _targets(total, probabilities))
-        else:
-            sized = join_keys(sized, wanted.select(*keys, "_wanted"), keys)
-        wanted = _holding(_running(sized, keys, bucket, "_size"))
+        if not carried:
+            cells = cells.withColumn("_total", F.sum("_size").over(Window.partitionBy(*keys)))
+            at = [F.lit(float(p)) * (F.col("_total") - 1) for p in probabilities]
+            wanted = [rank.cast("bigint") for a in at for rank in (F.floor(a), F.ceil(a))]
+            cells = cells.withColumns(dict(zip(ranks, wanted)))
+            carried = ["_total", *ranks]
+        cells = _holding(cells, keys, bucket, "_size", ranks)
         keys = [*keys, bucket]
-        rows = join_keys(rows, wanted.select(*keys, "_low", "_high"), keys)
-        rows = rows.withColumn(f"_b{cut + 1}", _even_bucket(F.col("_v"), F.col("_low"), F.col("_high")))
-        rows = rows.drop("_low", "_high")
-    found = _holding(_running(join_keys(rows, wanted.select(*keys, "_wanted"), keys), keys, "_v", "_n"))
-    points = found.select(*by, "_v", F.explode("_wanted").alias("_w"))
-    points = points.select(*by, "_v", F.col("_w.probability").alias("probability"), F.col("_w.share").alias("_share"))
-    low, high = F.min("_v"), F.max("_v")
-    return points.groupBy(*by, "probability").agg((low + F.max("_share") * (high - low)).alias("quantile"))
+        narrowed = join_keys(rows.select(*keys, "_v", "_n"), cells.select(*keys, "_low", "_high", *carried), keys)
+        next_bucket = _even_bucket(F.col("_v"), F.col("_low"), F.col("_high"))
+        rows = narrowed.withColumn(f"_b{cut + 1}", next_bucket).drop("_low", "_high")
+    found = _holding(rows, keys, "_v", "_n", ranks)
+    return found.groupBy(*by).agg(
+        F.max("_total").alias("_total"),
+        *[F.max(F.when(F.col(r).isNotNull(), F.col("_v"))).alias(r) for r in ranks],
+    )
+
+
+def _interpolated(probabilities: Sequence[float]) -> list[Column]:
+    ranks = [F.col(r) for r in _ranks(probabilities)]
+    quantiles = []
+    for p, low, high in zip(probabilities, ranks[::2], ranks[1::2]):
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        quantiles.append(low + (at - F.floor(at)) * (high - low))
+    return quantiles
+
+
+def exact_quantiles(
+    df: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Quantiles with linear interpolation: one row per group and probability.
+
+    Columns: the ``by`` columns, ``probability``, ``quantile``. Null, NaN and
+    infinite values do not count.
+    """
+    found = _neighbours(df, column, probabilities, by)
+    points = [
+        F.struct(F.lit(float(p)).alias("probability"), q.alias("quantile"))
+        for p, q in zip(probabilities, _interpolated(probabilities))
+    ]
+    filled = found.filter(F.col("_total").isNotNull())
+    return filled.select(*by, F.inline(F.array(*points)))
 
 
 def iqr_bounds(df: DataFrame, column: str, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
@@ -110,18 +119,14 @@ def iqr_bounds(df: DataFrame, column: str, by: Sequence[str] = (), approx: bool
 
     ``approx`` uses one pass with a sketch.
     """
-    by = list(by)
     points = [0.25, 0.5, 0.75]
     if approx:
         sketch = F.percentile_approx(F.col(column).cast("double"), points, 10000)
         quartiles = df.groupBy(*by).agg(sketch.alias("_q"))
         q1, q2, q3 = (F.col("_q")[i] for i in range(3))
     else:
-        long = exact_quantiles(df, column, points, by)
-        quartiles = long.groupBy(*by).agg(
-            *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(f"_q{i}") for i, p in enumerate(points)]
-        )
-        q1, q2, q3 = (F.col(f"_q{i}") for i in range(3))
+        quartiles = _neighbours(df, column, points, by)
+        q1, q2, q3 = _interpolated(points)
     return quartiles.select(
         *by,
         q1.alias("q1"),
