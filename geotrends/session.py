@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Building a plan is about twice as fast without call-site capture.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -5,6 +5,7 @@ CTE (``VIEW_SQL``). Both read their base tables whole.
 """
 
 from functools import cached_property
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +18,24 @@ def _period(c: str) -> list:
     return [F.year(c).alias("year"), F.concat(F.lit("Q"), F.quarter(c)).alias("quarter")]
 
 
+# Scans of the given tables by session and path. The tables do not change, so
+# their footers are read for the schema once and not once per query.
+_SCANS: WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = WeakKeyDictionary()
+
+
 class Tables:
     """Base tables and derived views of one scale factor, all lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self._dir = sf_dir
-        self._base: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        if name not in self._base:
-            self._base[name] = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
-        return self._base[name]
+        scans = _SCANS.setdefault(self.spark, {})
+        path = f"{self._dir}/{name}.parquet"
+        if path not in scans:
+            scans[path] = self.spark.read.parquet(path)
+        return scans[path]
 
     @cached_property
     def customer_places(self) -> DataFrame:
