@@ -10,6 +10,7 @@ from geotrends.operators.aggregates import (
     pad_periods,
     period_totals,
     period_trend,
+    place_sums,
     rank_places,
     regroup_sum,
     totals_with_gross,
@@ -75,6 +76,7 @@ __all__ = [
     "one_per_key",
     "order_by_category",
     "pad_periods",
+    "place_sums",
     "period_totals",
     "period_trend",
     "profile_info",

@@ -68,6 +68,17 @@ def period_trend(df: DataFrame, measures: Measures) -> DataFrame:
     return df.groupBy("year", "quarter").agg(*sum_columns(df, measures))
 
 
+def place_sums(
+    df: DataFrame,
+    places: Sequence[str],
+    year: int | str = ALL,
+    measures: Measures = TRANSACTIONS,
+) -> DataFrame:
+    """Sums by place, in no order; a chosen year is shown."""
+    sums = filter_scope(df, year=year).groupBy(*places).agg(*sum_columns(df, measures))
+    return sums if year == ALL else sums.withColumn("year", F.lit(int(year)))
+
+
 def rank_places(
     df: DataFrame,
     places: Sequence[str],
@@ -76,10 +87,7 @@ def rank_places(
 ) -> DataFrame:
     """Sums by place, largest first measure first; ties in place order."""
     first = next(iter(_named(measures).values()))
-    ranked = filter_scope(df, year=year).groupBy(*places).agg(*sum_columns(df, measures))
-    if year != ALL:
-        ranked = ranked.withColumn("year", F.lit(int(year)))
-    return ranked.orderBy(F.desc(first), *places)
+    return place_sums(df, places, year, measures).orderBy(F.desc(first), *places)
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str] = ()) -> DataFrame:

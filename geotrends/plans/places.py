@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrends.fixed_values import ALL, RISING_MAX_PREVIOUS, RISING_MIN_GROWTH
-from geotrends.operators.aggregates import rank_places, with_text
+from geotrends.operators.aggregates import place_sums, with_text
 from geotrends.operators.hierarchy import hierarchy_rollup
 from geotrends.operators.ranking import head_n, middle_slice, tail_n
 from geotrends.operators.scope import filter_place
@@ -24,7 +24,7 @@ def volume_places(df: DataFrame, places: Sequence[str], year: int | str = ALL) -
     """
     if "pincode" in places:
         df = df.withColumn("pincode", F.col("pincode").cast("string"))
-    ranked = rank_places(df, places, year)
+    sums = place_sums(df, places, year)
 
     def charted(part: DataFrame, upwards: bool) -> DataFrame:
         # Charts read upwards: top and moderate places are listed smallest first.
@@ -33,10 +33,10 @@ def volume_places(df: DataFrame, places: Sequence[str], year: int | str = ALL) -
 
     return Outputs(
         {
-            "all": lambda: charted(ranked, False),
-            "top": lambda: charted(head_n(ranked, "count", places), True),
-            "moderate": lambda: charted(middle_slice(ranked, "count", places), True),
-            "bottom": lambda: charted(tail_n(ranked, "count", places), False),
+            "all": lambda: charted(sums, False),
+            "top": lambda: charted(head_n(sums, "count", places), True),
+            "moderate": lambda: charted(middle_slice(sums, "count", places), True),
+            "bottom": lambda: charted(tail_n(sums, "count", places), False),
         }
     )
 

@@ -14,7 +14,7 @@ from geotrends.operators import (
     matrix_long,
     middle_slice,
     order_by_category,
-    rank_places,
+    place_sums,
     regroup_sum,
     rising_places,
     state_priority,
@@ -227,7 +227,7 @@ for _suffix, _view, _places in (
 
     @query(f"top04_head_{_suffix}", over(_view, f"{_ranked} ORDER BY count DESC, {_keys} LIMIT 10"))
     def _(t, view=_view, places=_places):
-        return head_n(rank_places(getattr(t, view), places), "count", places)
+        return head_n(place_sums(getattr(t, view), places), "count", places)
 
     @query(
         f"top05_middle_{_suffix}",
@@ -238,11 +238,11 @@ for _suffix, _view, _places in (
         ),
     )
     def _(t, view=_view, places=_places):
-        return middle_slice(rank_places(getattr(t, view), places), "count", places)
+        return middle_slice(place_sums(getattr(t, view), places), "count", places)
 
     @query(f"top06_tail_{_suffix}", over(_view, f"{_ranked} ORDER BY count, {_desc} LIMIT 10"))
     def _(t, view=_view, places=_places):
-        return tail_n(rank_places(getattr(t, view), places), "count", places)
+        return tail_n(place_sums(getattr(t, view), places), "count", places)
 
 
 @query(

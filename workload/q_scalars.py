@@ -16,7 +16,7 @@ from geotrends.functions import (
     title_case,
     truncate_int,
 )
-from geotrends.operators import rescale, with_log
+from geotrends.operators import period_trend, rescale, with_log, with_text
 from workload.registry import query
 from workload.views import human_double_sql, human_sql, over
 
@@ -34,9 +34,7 @@ def _(t):
     rows = t.base("orders").select(
         "o_orderkey", F.round(spread, 3).alias("x"), (F.col("o_orderkey") * F.col("o_custkey")).alias("n")
     )
-    return rows.select(
-        "o_orderkey", human_number(F.col("x")).alias("price_text"), human_number(F.col("n")).alias("count_text")
-    )
+    return with_text(rows, {"x": "price_text", "n": "count_text"}).drop("x", "n")
 
 
 # A sharp s has no single capital in this rule: it becomes "Ss" at the start of a word.
@@ -46,6 +44,15 @@ _TITLE_SQL = (
 )
 
 
+@query(
+    "scl01_human_number_expression",
+    f"SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, {human_sql('l_extendedprice')} AS price_text FROM lineitem",
+)
+def _(t):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    return t.base("lineitem").select(*keys, human_number(F.col("l_extendedprice")).alias("price_text"))
+
+
 @query(
     "scl02_canonical_state",
     f"""SELECT c_custkey, CASE WHEN s LIKE 'Andaman%' THEN 'Andaman & Nicobar' WHEN s LIKE 'Jammu%' THEN 'Jammu & Kashmir'
@@ -197,7 +204,5 @@ def _(t):
     ),
 )
 def _(t):
-    from geotrends.operators import period_trend, with_text
-
     trend = period_trend(t.map_user, {"registered_users": "user_count"})
     return with_text(trend, {"user_count": "user_counts_f"}, as_double=True)

@@ -10,7 +10,7 @@ from geotrends.plans import profile_tables
 from geotrends.schemas import SCHEMAS
 from geotrends.session import ensure_checkpoint_dir
 from geotrends.sinks import create_tables, normalize_columns, refresh, register_view, with_surrogate_id, write_csv
-from geotrends.sources import literal_rows, read_csv, read_table
+from geotrends.sources import literal_rows, read_boundaries, read_csv, read_table
 from workload.q_ingest import STATE_SQL, _SOURCES, round_trip
 from workload.registry import query
 from workload.views import over
@@ -153,6 +153,23 @@ def _(t):
     return read_table(t.spark, "aggregated_transaction", db).filter("year = 1998")
 
 
+@query(
+    "src07_boundaries",
+    """SELECT n_name AS name, '{"type":"Point","coordinates":[' || n_nationkey || ',' || n_regionkey || ']}' AS geometry_json
+    FROM nation""",
+)
+def _(t):
+    """One feature collection per region, written as files and read back."""
+    point = F.struct(F.lit("Point").alias("type"), F.array("n_nationkey", "n_regionkey").alias("coordinates"))
+    feature = F.struct(F.struct(F.col("n_name").alias("ST_NM")).alias("properties"), point.alias("geometry"))
+    shapes = t.base("nation").groupBy("n_regionkey").agg(
+        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value")
+    )
+    path = scratch(t)
+    shapes.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_boundaries(t.spark, path)
+
+
 @query(
     "src08_literal_rows",
     over(
