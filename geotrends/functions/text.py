@@ -21,10 +21,11 @@ def title_case(c: Column) -> Column:
 
 def canonical_state(c: Column) -> Column:
     """State name from a directory name, with the long names put in one form."""
-    known = F
+    # Prefixes are compared in lower case, so only other names are title-cased.
+    name = F.replace(title_case(c), F.lit("-"), F.lit(" "))
     for prefix, full in CANONICAL_STATES.items():
-        known = known.when(F.lower(c).startswith(prefix.lower()), F.lit(full))
-    return known.otherwise(F.replace(title_case(c), F.lit("-"), F.lit(" ")))
+        name = F.when(F.lower(c).startswith(prefix.lower()), F.lit(full)).otherwise(name)
+    return name
 
 
 def clean_district(c: Column) -> Column:
