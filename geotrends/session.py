@@ -1,7 +1,5 @@
 """Session helpers: settings that every job relies on."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -28,17 +26,16 @@ def build_session(name: str = "geotrends", master: str | None = None, **settings
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared folder for intermediate data, the same rule on every master.
 
-    ``spark.checkpoint.dir`` wins. Only where the setting is absent (a bare
-    local session, as in tests) a fresh local folder is used.
+    ``spark.checkpoint.dir`` where it is set, else a folder below
+    ``spark.sql.warehouse.dir``, which every session has and all its
+    executors reach.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="geotrends-checkpoint-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

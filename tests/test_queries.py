@@ -7,11 +7,12 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from workload.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
-QUERIES, ORACLES = queries(), oracle_sql()
+
 
 
 @pytest.fixture(scope="module")
