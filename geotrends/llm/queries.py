@@ -4,7 +4,7 @@ from importlib import import_module
 
 from geotrends.llm.registry import LLM_ORACLES, LLM_QUERIES
 
-MODULES = ["q_url_rules", "q_licenses", "q_quality", "q_warc", "q_packing", "q_repeats", "q_backoff", "q_decontaminate"]
+MODULES = ["q_url_rules", "q_licenses", "q_quality", "q_warc", "q_packing", "q_repeats", "q_backoff", "q_decontaminate", "q_near_dups"]
 
 for _name in MODULES:
     import_module(f"geotrends.llm.{_name}")
