@@ -89,6 +89,13 @@ def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if few else ids, "key", "left_semi")
 
 
+def without_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose id is not in the stored frame ``ids`` (key); a short list is broadcast, rows with a null id stay."""
+    few = ids.count() <= _BROADCAST_IDS
+    ids = ids.select(F.col("key").alias("_dropped_id"))
+    return rows.join(F.broadcast(ids) if few else ids, F.col(f"`{id_col}`") == F.col("_dropped_id"), "left_anti")
+
+
 def estimated(a: Column, b: Column, k: int) -> Column:
     """Estimate of the similarity from the k smallest values of the union of two sketches."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)

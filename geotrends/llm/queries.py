@@ -2,9 +2,23 @@
 
 from importlib import import_module
 
-from geotrends.llm.registry import LLM_ORACLES, LLM_QUERIES
+import corpus_pipeline
+from geotrends.llm.registry import LLM_ORACLES, LLM_QUERIES, query
 
-MODULES = ["q_url_rules", "q_licenses", "q_quality", "q_warc", "q_packing", "q_repeats", "q_backoff", "q_decontaminate", "q_near_dups"]
+MODULES = [
+    "q_backoff",
+    "q_decontaminate",
+    "q_warc",
+    "q_licenses",
+    "q_packing",
+    "q_vectors",
+    "q_quality",
+    "q_url_rules",
+    "q_near_dups",
+    "q_repeats",
+]
 
 for _name in MODULES:
     import_module(f"geotrends.llm.{_name}")
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -107,7 +107,12 @@ def _flags(replies: pa.Table, kind: int) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_bytes: int = kb.CHUNK_BYTES
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 35,
+    chunk_bytes: int = kb.CHUNK_BYTES,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """A row per document: ``id_col``, n_words, n_removed, kept, spans.
 
@@ -118,12 +123,15 @@ def remove_repeats(
     one blank, ``spans`` the removed stretches as word numbers. A null or
     empty text, or one shorter than the window, loses nothing. Rows that
     repeat an id are documents of their own, and equal rows repeat each other.
-    Other columns are left out.
+    Columns named in ``carry`` are returned unchanged in a struct ``carried``;
+    others are left out.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
     block = (window + 1) // 2
-    dealt, n = kb.chunked(docs, id_col, text_col, chunk_bytes)
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    dealt, n = kb.chunked(docs, id_col, text_col, chunk_bytes, *more)
+    result_type = f"{RESULT}, carried {dealt.schema['carried'].dataType.simpleString()}" if carry else RESULT
 
     def probe(table: pa.Table) -> pa.Table:
         blocks = _Blocks(kb.Words(kb.ordered(table)["text"], False), block)
@@ -162,6 +170,7 @@ def remove_repeats(
             kept.append(b" ".join(stays))
             removed.append(int(own.sum()))
             spans.append([{"start": a, "end": b} for a, b in edges])
+        columns = {"carried": table["carried"]} if carry else {}
         return pa.table(
             {
                 "key": table["key"].cast(pa.int64()),
@@ -169,6 +178,7 @@ def remove_repeats(
                 "n_removed": pa.array(removed, pa.int64()),
                 "kept": pa.array(kept, pa.binary()).cast(pa.string()),
                 "spans": pa.array(spans, _SPANS),
+                **columns,
             }
         )
 
@@ -176,5 +186,5 @@ def remove_repeats(
     hits = kb.answered(texts.applyInArrow(probe, kb.REQUEST), _HITS, n, _hits)
     asked = texts.cogroup(hits.groupBy("chunk")).applyInArrow(compare, kb.REQUEST)
     repeats = kb.answered(asked, _REPEATS, n, _repeats)
-    result = texts.cogroup(hits.unionByName(repeats).groupBy("chunk")).applyInArrow(remove, RESULT)
-    return result.select(F.col("key").alias(id_col), "n_words", "n_removed", "kept", "spans")
+    result = texts.cogroup(hits.unionByName(repeats).groupBy("chunk")).applyInArrow(remove, result_type)
+    return result.withColumnRenamed("key", id_col)
