@@ -7,6 +7,7 @@ from geotrends.fixed_values import NUMBER_UNITS, SEGMENT_GROWTH, SEGMENT_VOLUME
 
 # 2^27 + 1 cuts a double into two halves whose products are exact.
 _SPLIT = float(2**27 + 1)
+_LONG = 2.0**63
 
 
 def _two_decimals(q: Column) -> Column:
@@ -23,17 +24,31 @@ def _two_decimals(q: Column) -> Column:
     nudge = F.when(product - F.floor(product) == 0.5, F.signum(error) * 0.25).otherwise(0.0)
     hundredths = F.rint(product + nudge).cast("bigint").cast("decimal(18,0)")
     short = (hundredths * F.lit("0.01").cast("decimal(2,2)")).cast("string")
-    # Beyond that there are no cents left, and the hundredths would be too large.
-    return F.when(q < 1e15, short).otherwise(F.format_string("%.2f", q))
+    # Beyond that the hundredths would be too large, but whole part and fraction are exact by themselves.
+    whole = F.when(q < _LONG, q).cast("bigint")
+    cents = F.rint((q - whole) * 100).cast("int").cast("string")
+    long = F.concat(whole.cast("string"), F.lit("."), F.lpad(cents, 2, "0"))
+    # From 2^63 on there is no fraction: the upper and lower bits are whole numbers.
+    upper = F.floor(F.when(q < _LONG * 2.0**53, q) / _LONG)
+    lower = (q - upper * _LONG).cast("bigint").cast("decimal(20,0)")
+    bits = (upper.cast("decimal(16,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + lower).cast("decimal(38,0)")
+    huge = F.concat(bits.cast("string"), F.lit(".00"))
+    return F.when(q < 1e15, short).when(q < _LONG, long).otherwise(F.coalesce(huge, F.format_string("%.2f", q)))
 
 
 def _plain_text(c: Column) -> Column:
-    """Text of a number, as a plain decimal also where Spark would use an exponent."""
+    """Text of a number: a plain decimal, and with an exponent below 1e-4 and from 1e16 on."""
     text = F.replace(c.cast("string"), F.lit("Infinity"), F.lit("inf"))
-    # Below 1e-4 and from 1e16 on, an exponent is the usual form.
-    exponent = text.contains("E") & (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16)
     digits = F.rtrim(text.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
-    return F.when(exponent, F.regexp_replace(digits, r"\.$", ".0")).otherwise(text)
+    plain = F.regexp_replace(digits, r"\.$", ".0")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    size = F.abs(power).cast("string")
+    short = F.concat(mantissa, sign, F.lpad(size, 2, "0"))
+    with_power = F.when(F.length(size) > 2, F.concat(mantissa, sign, size)).otherwise(short)
+    inside = (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16)
+    return F.when(text.contains("E"), F.when(inside, plain).otherwise(with_power)).otherwise(text)
 
 
 def number_scale(c: Column) -> Column:
@@ -66,19 +81,31 @@ def human_number(c: Column) -> Column:
 
 
 def money_sum(c: Column) -> Column:
-    """Exact sum of an amount with two decimals, as a double.
+    """Exact sum of an amount, as a double.
 
     Adding doubles gives a result that depends on the order of the rows, which
-    a shuffle does not fix. Each amount is cut into whole ten-thousands and the
-    cents of the rest, both 64-bit, so the map side stays about as fast as a
-    plain sum and totals up to 9e22 fit; only the final row is a decimal.
+    a shuffle does not fix. Each amount is cut into whole ten-thousands, the
+    whole cents of the rest and what is left below a cent, in steps of 1e-9
+    and 1e-17: all 64-bit, so the map side stays about as fast as a plain sum.
+    A rest below the rounding unit of the amount itself is none, so amounts in whole
+    cents stay exact. NaN does not count; infinite and very large amounts are
+    added as doubles.
     """
     x = c.cast("double")
-    ten_thousands = F.floor(x / 1e4)
-    cents = F.rint((x - ten_thousands * 1e4) * 100).cast("bigint")
+    usual = F.when(F.abs(x) < 1e22, x)
+    ten_thousands = F.floor(usual / 1e4)
+    within = usual - ten_thousands * 1e4
+    cents = F.rint(within * 100)
+    left = within - cents / 100
+    rest = F.when(F.abs(left) > F.abs(usual) * 2.0**-52, left).otherwise(0.0)
+    coarse = F.rint(rest * 1e9)
+    fine = F.rint((rest - coarse / 1e9) * 1e17)
     high = F.sum(ten_thousands).cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)")
-    low = F.sum(cents).cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")
-    return (high + low).cast("double")
+    low = F.sum(cents.cast("bigint")).cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")
+    below = F.sum(coarse.cast("bigint")) / F.lit(1e9) + F.sum(fine.cast("bigint")) / F.lit(1e17)
+    parts = (high + low).cast("double") + below
+    others = F.sum(F.when((F.abs(x) >= 1e22) & ~F.isnan(x), x))
+    return F.when(others.isNull(), parts).otherwise(F.coalesce(parts, F.lit(0.0)) + others)
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from geotrends.fixed_values import CANONICAL_STATES, DISTRICT_SUFFIX
 
-# A blank that initcap sees, behind a control character that no text holds.
-_WORD = "\u0001 "
+# A blank that initcap sees, behind a control character. Where the text itself
+# holds that character, another one is put behind it meanwhile.
+_WORD, _MARK, _OWN = "\u0001 ", "\u0001", "\u0001\u0002"
 
 
 def title_case(c: Column) -> Column:
@@ -15,8 +16,9 @@ def title_case(c: Column) -> Column:
     ``initcap`` only starts a word after a blank, so a marked blank is put
     before each word that follows something else, and taken out again.
     """
-    spread = F.regexp_replace(F.lower(c), r"(?<=[^\p{L} ])(?=\p{L})", _WORD)
-    return F.replace(F.initcap(spread), F.lit(_WORD), F.lit(""))
+    marked = F.replace(F.lower(c), F.lit(_MARK), F.lit(_OWN))
+    spread = F.regexp_replace(marked, r"(?<=[^\p{L} ])(?=\p{L})", _WORD)
+    return F.replace(F.replace(F.initcap(spread), F.lit(_WORD), F.lit("")), F.lit(_OWN), F.lit(_MARK))
 
 
 def canonical_state(c: Column) -> Column:

@@ -26,13 +26,16 @@ def _named(measures: Measures) -> dict[str, str]:
 
 
 def exact_sum(df: DataFrame, name: str) -> Column:
-    """Sum of a column: exact cents for doubles, plain for whole numbers."""
+    """Sum of a column that does not depend on the row order; NaN does not count."""
     return money_sum(F.col(name)) if isinstance(df.schema[name].dataType, T.DoubleType) else F.sum(name)
 
 
 def exact_mean(df: DataFrame, name: str) -> Column:
-    """Mean of a column from its exact sum."""
-    return exact_sum(df, name).cast("double") / F.nullif(F.count(name), F.lit(0))
+    """Mean of a column from its exact sum; NaN does not count."""
+    counted = F.col(name)
+    if isinstance(df.schema[name].dataType, T.DoubleType):
+        counted = F.when(~F.isnan(name), counted)
+    return exact_sum(df, name).cast("double") / F.nullif(F.count(counted), F.lit(0))
 
 
 def sum_columns(df: DataFrame, measures: Measures) -> list[Column]:

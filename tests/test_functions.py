@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from geotrends.functions import (
@@ -24,6 +25,8 @@ from geotrends.operators import with_text
 UNITS = [(1e12, "T"), (1e9, "B"), (1e7, "Cr"), (1e6, "M"), (1e3, "k")]
 EDGES = [0.0, -5.0, 124.0, 1000.0, 1001.0, 1125.0, 2675.0, 1e6, 1000001.0, 1e7, 1e9, 1e12, 1.5e12, -5e7, 5e-4, 0.125]
 EDGES += [float("nan"), float("inf"), float("-inf"), -1234567.25, 1e15]
+EDGES += [1e-5, 1.5e-7, -2.5e-5, 9.99e-5, 1e-4, -1e16, -1.25e17, -1e100, 1e16, (1e15 + 0.125) * 1e12, (2e15 + 0.375) * 1e12]
+EDGES += [10.0**k for k in range(-8, 36)] + [-(10.0**k) for k in range(-8, 36)] + [3.3 * 10.0**k for k in range(15, 35)]
 
 
 def expected_text(n):
@@ -116,3 +119,26 @@ def test_money_sum_is_exact_in_any_order(spark):
         assert df.agg(money_sum(F.col("x"))).first()[0] == sum(cents) / 100
     assert column(spark, [1e17] * 200, "double").agg(money_sum(F.col("x"))).first()[0] == 2e19
     assert column(spark, [None], "double").agg(money_sum(F.col("x"))).first()[0] is None
+
+
+def test_sums_keep_every_digit(spark):
+    nan, inf = float("nan"), float("inf")
+    cases = {
+        "small": ([0.004, 0.004], 0.008),
+        "tiny": ([1e-12, 2e-12, nan, None], 3e-12),
+        "cents": ([12345.67] * 3 + [0.01], 37037.02),
+        "large": ([9e15, 0.25, -9e15], 0.25),
+        "infinite": ([1.0, inf], inf),
+        "none": ([nan, None], None),
+        "huge": ([1e300, 5.0], 1e300),
+    }
+    rows = [(k, v) for k, (values, _) in cases.items() for v in values]
+    out = spark.createDataFrame(rows, "k string, x double").repartition(3).groupBy("k").agg(money_sum(F.col("x")).alias("s"))
+    found = {r.k: r.s for r in out.collect()}
+    for k, (_, expected) in cases.items():
+        assert found[k] == (expected if expected is None else pytest.approx(expected, rel=1e-12))
+
+
+def test_title_case_keeps_control_characters(spark):
+    df = column(spark, ["a\u0001 b", "\u0001c", "x\u0001\u0002y z", "\u0001 \u0001 d-e"], "string")
+    assert values_of(df.select(title_case(F.col("x")))) == ["A\u0001 B", "\u0001C", "X\u0001\u0002Y Z", "\u0001 \u0001 D-E"]

@@ -35,6 +35,7 @@ from geotrends.operators import (
     users_with_location,
     with_total,
 )
+from geotrends.operators.quantiles import _first_bucket
 from geotrends.plans import payment_modes
 from geotrends.schemas import SCHEMAS
 from geotrends.sinks import with_surrogate_id
@@ -175,6 +176,23 @@ def test_exact_quartiles(spark, values):
     assert all(math.isclose(rows[p], e, rel_tol=1e-12, abs_tol=1e-12) for p, e in zip((0.25, 0.5, 0.75), expected))
 
 
+def test_quartiles_with_infinite_values(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(v,) for v in (1.0, 3.0, inf, nan, None, -inf, 2.0)], "x double")
+    for approx in (False, True):
+        r = iqr_bounds(df, "x", approx=approx).first()
+        assert (r.q1, r.q2, r.q3, r.median, r.lower, r.upper) == (1.0, 2.0, 3.0, 2, -2, 6)
+
+
+def test_first_buckets_divide_values_of_any_size(spark):
+    values = [10.0 ** (-300 + 290 * i / 20000) for i in range(20000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    largest = df.groupBy(_first_bucket(F.col("x"))).count().agg(F.max("count")).first()[0]
+    assert largest < 20
+    found = {r.probability: r.quantile for r in exact_quantiles(df, "x", [0.0, 0.25, 1.0]).collect()}
+    assert found[0.0] == values[0] and found[1.0] == values[-1] and math.isclose(found[0.25], quartiles(values)[0], rel_tol=1e-9)
+
+
 def test_iqr_bounds(spark):
     df = spark.createDataFrame([("a", v) for v in (1, 2, 3, 10)] + [(None, 4)], "k string, x int")
     rows = {r.k: (r.q1, r.q2, r.q3, r.median, r.upper) for r in iqr_bounds(df, "x", by=["k"]).collect()}

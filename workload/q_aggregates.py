@@ -20,6 +20,7 @@ from geotrends.operators import (
     value_range,
     with_text,
 )
+from geotrends.operators.aggregates import exact_mean
 from geotrends.plans.home import insurance_plot
 from geotrends.plans.users import brand_state_year, brand_totals, state_year_users
 from geotrends.sources import literal_rows
@@ -338,7 +339,8 @@ def _(t):
 def _iqr_sql(c: str, source: str, by: str = "") -> str:
     keys, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
     return f"""SELECT {keys}round(q[1], 6) AS q1, round(q[2], 6) AS q2, round(q[3], 6) AS q3,
-    CAST(trunc(q[2]) AS BIGINT) AS median, CAST(trunc(q[3] + 1.5 * (q[3] - q[1])) AS BIGINT) AS upper
+    CAST(trunc(q[2]) AS BIGINT) AS median, CAST(trunc(q[1] - 1.5 * (q[3] - q[1])) AS BIGINT) AS lower,
+    CAST(trunc(q[3] + 1.5 * (q[3] - q[1])) AS BIGINT) AS upper
     FROM (SELECT {keys}quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.5, 0.75]) AS q FROM {source} {group})"""
 
 
@@ -403,3 +405,40 @@ def _(t):
 @query("set02_distinct_pairs", over("map_transaction", "SELECT DISTINCT state, district FROM map_transaction"))
 def _(t):
     return distinct_sorted(t.map_transaction, "state", "district")
+
+
+def _six(*names: str) -> dict:
+    return {n: F.round(n, 6) for n in names}
+
+
+@query(
+    "agg11_discounts",
+    """SELECT l_returnflag, round(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2))), 6)::DOUBLE
+    AS discount FROM lineitem GROUP BY l_returnflag""",
+)
+def _(t):
+    line = t.base("lineitem").select("l_returnflag", (F.col("l_extendedprice") * F.col("l_discount")).alias("discount"))
+    return regroup_sum(line, ["l_returnflag"], ["discount"]).withColumns(_six("discount"))
+
+
+@query(
+    "agg11_mean_share_by_brand",
+    over("agg_user", "SELECT brand, round(avg(user_percentage), 6) AS share FROM agg_user GROUP BY brand"),
+)
+def _(t):
+    means = t.agg_user.groupBy("brand").agg(exact_mean(t.agg_user, "user_percentage").alias("share"))
+    return means.withColumns(_six("share"))
+
+
+@query(
+    "agg11_coordinate_sums",
+    over(
+        "location",
+        """SELECT state, round(sum(latitude) / 3, 6) AS latitude, round(sum(longitude / 3), 6) AS longitude
+        FROM location GROUP BY state""",
+    ),
+)
+def _(t):
+    thirds = t.location.withColumn("longitude", F.col("longitude") / 3)
+    sums = regroup_sum(thirds, ["state"], ["latitude", "longitude"])
+    return sums.withColumn("latitude", F.col("latitude") / 3).withColumns(_six("latitude", "longitude"))
