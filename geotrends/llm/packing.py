@@ -15,6 +15,7 @@ there and each distinct piece is encoded once per batch of texts.
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from geotrends.llm.shared_store import written
 # than the tokenizer does, which only leaves some pieces longer.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _BLOCK_CHARS = 1 << 20
-_MOST_PIECES = 300_000
+_MOST_PIECES = 500_000
+_JOINED = 1000
 
 
 class Pieces:
@@ -40,23 +42,31 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        # A byte-level token is written with one character per byte.
+        self.size_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.size_of[number] = len(token)
         self._reset()
 
     def _reset(self) -> None:
-        self.inner, self.whole, self.texts, self.odd = _Numbers(self, " "), _Numbers(self, ""), [], []
-        self.flat, self.starts, self.known = np.empty(0, np.uint32), np.zeros(1, np.int64), 0
+        self.inner, self.whole = _Numbers(self, " "), _Numbers(self, "")
+        self.new: list[str] = []
+        self.apart: list[bool] = []
+        self.odd = np.empty(0, bool)
+        self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.texts) > _MOST_PIECES:
+        if len(self.odd) > _MOST_PIECES:
             self._reset()
         numbers = []
         for text in texts:
             parts = (text or "").split(" ")
             found = [self.whole[parts[0]], *map(self.inner.__getitem__, parts[1:])] if text else []
             numbers.append(np.array(found, np.int64))
-        odd = np.array(self.odd, bool)
+        self._encode_new()
         for k, text in enumerate(texts):
-            if text and odd[numbers[k]].any():  # blanks side by side
+            if text and self.odd[numbers[k]].any():  # blanks side by side
                 numbers[k] = np.array([self.whole[p] for p in _CUT.split(text)], np.int64)
         self._encode_new()
         lengths = np.diff(self.starts)
@@ -70,14 +80,32 @@ class Pieces:
         return out
 
     def _encode_new(self) -> None:
-        new = self.texts[self.known :]
-        if not new:
+        """Ids of the new pieces. Those that stand between single blanks are encoded as one text
+        of many; the bytes that each token stands for tell where a piece ends."""
+        if not self.new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        ends = np.cumsum([len(x) for x in ids]) + len(self.flat)
-        self.flat = np.concatenate([self.flat, *(np.array(x, np.uint32) for x in ids)])
-        self.starts = np.concatenate([self.starts, ends])
-        self.known = len(self.texts)
+        odd = np.array([not p.strip(" ") or p[-1].isspace() or p[1:2].isspace() for p in self.new])
+        apart = odd | np.array(self.apart)
+        joined = np.flatnonzero(~apart).tolist()
+        order = [*np.flatnonzero(apart).tolist(), *joined]
+        strings = [self.new[i] for i in order[: len(order) - len(joined)]]
+        strings += ["".join(self.new[i] for i in joined[k : k + _JOINED]) for k in range(0, len(joined), _JOINED)]
+        encoded = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.uint32)
+        byte_ends = np.cumsum([len(self.new[i].encode()) for i in order])
+        token_ends = np.where(byte_ends, np.searchsorted(np.cumsum(self.size_of[ids]), byte_ends, "left") + 1, 0)
+        sizes = np.diff(token_ends, prepend=0)
+        # Back to the order in which the pieces were numbered.
+        own_sizes = np.empty(len(order), np.int64)
+        own_sizes[order] = sizes
+        starts_of = np.empty(len(order), np.int64)
+        starts_of[order] = token_ends - sizes
+        ends = np.cumsum(own_sizes)
+        at = np.arange(len(ids)) + np.repeat(starts_of - (ends - own_sizes), own_sizes)
+        self.starts = np.concatenate([self.starts, ends + len(self.flat)])
+        self.flat = np.concatenate([self.flat, ids[at]])
+        self.odd = np.concatenate([self.odd, odd])
+        self.new, self.apart = [], []
 
 
 class _Numbers(dict):
@@ -88,9 +116,9 @@ class _Numbers(dict):
 
     def __missing__(self, part: str) -> int:
         p = self.pieces
-        number = self[part] = len(p.texts)
-        p.texts.append(self.lead + part)
-        p.odd.append(not part or part[0].isspace() or part[-1].isspace())
+        number = self[part] = len(p.odd) + len(p.new)
+        p.new.append(self.lead + part)
+        p.apart.append(not self.lead)
         return number
 
 
