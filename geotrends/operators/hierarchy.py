@@ -4,8 +4,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geotrends.fixed_values import SEGMENT_ROOT
+from geotrends.functions.numbers import money_sum
 from geotrends.operators.aggregates import exact_sum
 from geotrends.operators.joins import join_keys
 from geotrends.session import materialize
@@ -22,7 +24,10 @@ def hierarchy_rollup(df: DataFrame, path: Sequence[str], value: str) -> DataFram
     very many children is not gathered in one place.
     """
     path = list(path)
-    square = F.sum(F.col(value).cast("double") * F.col(value))
+    # Squares of whole numbers are summed as such; those of doubles from their exact sum.
+    whole = not isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType))
+    number = F.col(value).cast("decimal(19,0)" if whole else "double")
+    square = F.sum((number * number).cast("decimal(38,0)")) if whole else money_sum(number * number)
     leaves = materialize(df.groupBy(*path).agg(exact_sum(df, value).alias("value"), square.alias("_square")))
     bits = F.grouping_id(*path)
     # grouping_id has one trailing 1-bit per rolled-up column.
@@ -30,9 +35,9 @@ def hierarchy_rollup(df: DataFrame, path: Sequence[str], value: str) -> DataFram
     nodes = leaves.rollup(*path).agg(
         level.cast("int").alias("level"),
         exact_sum(leaves, "value").alias("value"),
-        F.sum("_square").alias("_square"),
+        (F.sum("_square") if whole else money_sum(F.col("_square"))).alias("_square"),
     )
-    nodes = nodes.withColumn("weighted", F.col("_square") / F.nullif(F.col("value").cast("double"), F.lit(0.0)))
+    nodes = nodes.withColumn("weighted", F.col("_square").cast("double") / F.nullif(F.col("value").cast("double"), F.lit(0.0)))
     parents = nodes.filter(F.col("level") < len(path)).select(
         (F.col("level") + 1).alias("_child_level"),
         *[F.col(c).alias(f"_up_{c}") for c in path[:-1]],

@@ -50,7 +50,8 @@ def with_total(df: DataFrame, measures: dict[str, str], by: str | None = None) -
     gathered by period.
     """
     if by is None:
-        return df.withColumns({name: df.agg(exact_sum(df, m)).scalar() for m, name in measures.items()})
+        every = df.agg(F.struct(*sum_columns(df, measures)).alias("every")).scalar()
+        return df.withColumns({name: every[name] for name in measures.values()})
     if by not in PERIOD_KEYS:
         raise ValueError(f"totals are per {PERIOD_KEYS}, not per {by}")
     totals = df.groupBy(by).agg(*sum_columns(df, measures))
@@ -65,8 +66,8 @@ def with_log(df: DataFrame, column: str) -> DataFrame:
 def rescale(df: DataFrame, column: str, name: str, lo: float = MARKER_SIZES[0], hi: float = MARKER_SIZES[1]) -> DataFrame:
     """Map the range of a column linearly to ``lo .. hi``; a single value maps to ``hi``."""
     x = F.col(column).cast("double")
-    low = df.agg(F.min(column).cast("double")).scalar()
-    high = df.agg(F.max(column).cast("double")).scalar()
+    ends = df.agg(F.struct(F.min(x).alias("low"), F.max(x).alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     slope = F.lit(float(hi - lo)) / F.nullif(high - low, F.lit(0.0))
     return df.withColumn(
         name, F.when(x >= high, F.lit(float(hi))).when(x <= low, F.lit(float(lo))).otherwise(slope * (x - low) + lo)

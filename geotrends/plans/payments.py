@@ -1,6 +1,7 @@
 """Payment modes for any scope of state, year and quarter."""
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from geotrends.operators.matrix import matrix_long
 from geotrends.operators.scope import filter_scope, latest_rows
 from geotrends.operators.windows import with_log, with_total
 from geotrends.plans.outputs import Outputs
+from geotrends.session import materialize
 
 _MEASURES = ["transaction_count", "transaction_amount"]
 _TEXTS = {"transaction_count": "count", "transaction_amount": "amount"}
@@ -78,15 +80,21 @@ def payment_modes(
     list every period of the table, with zero where the scope has none.
     """
     view = SCOPE_VIEWS[(state != ALL, year != ALL, quarter != ALL)]
-    scoped = filter_scope(transactions, state, year, quarter)
+    everything = (state, year, quarter) == (ALL, ALL, ALL)
+
+    # The scope is read once and kept: totals, bounds and the map look at it again.
+    @cache
+    def scoped() -> DataFrame:
+        return materialize(filter_scope(transactions, state, year, quarter))
 
     def totals() -> DataFrame:
         if view.totals_by:
-            return with_text(totals_with_gross(scoped, view.totals_by, _MEASURES, transactions), _TEXTS)
-        return with_text(grand_total(scoped, _MEASURES), _TEXTS)
+            periods = scoped() if everything else transactions
+            return with_text(totals_with_gross(scoped(), view.totals_by, _MEASURES, periods), _TEXTS)
+        return with_text(grand_total(scoped(), _MEASURES), _TEXTS)
 
     def rows() -> DataFrame:
-        return with_text(scoped, _TEXTS)
+        return with_text(scoped(), _TEXTS)
 
     def mapped() -> DataFrame:
         return _mapped(rows(), view)
@@ -100,7 +108,7 @@ def payment_modes(
     def periods() -> DataFrame:
         yearly = view.totals_by == "year" and (state, quarter) == (ALL, ALL)
         keys = ["state", "year"] if yearly else ["state", "year", "quarter"]
-        return with_text(regroup_sum(scoped, keys, _MEASURES), _SUM_TEXTS)
+        return with_text(regroup_sum(scoped(), keys, _MEASURES), _SUM_TEXTS)
 
     def cells() -> DataFrame:
         x, y = view.grid

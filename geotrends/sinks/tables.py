@@ -13,8 +13,9 @@ from geotrends.session import materialize
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV parts, each with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV parts, each with a header; quotes inside a value are doubled, blanks stay."""
+    options = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def normalize_columns(df: DataFrame, table: str | None = None) -> DataFrame:
@@ -32,21 +33,23 @@ def create_tables(spark: SparkSession, db: str, location: str | None = None) ->
 
     Tables with a year are partitioned by it, so year filters skip files.
     """
-    where = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`{where}")
+    name = "`" + db.replace("`", "``") + "`"
+    where = " LOCATION '" + location.replace("\\", "\\\\").replace("'", "\\'") + "'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}{where}")
     for table, schema in SCHEMAS.items():
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         by = " PARTITIONED BY (year)" if _partitioned(table) else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS `{db}`.`{table}` ({columns}) USING parquet{by}")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name}.`{table}` ({columns}) USING parquet{by}")
 
 
 def refresh(spark: SparkSession, db: str, tables: Mapping[str, DataFrame]) -> None:
-    """Replace the rows of each table; columns are matched by name.
+    """Replace all rows of each table, whatever the session's overwrite mode; columns are matched by name.
 
     Every frame is checked before the first table is touched. The rebalance
     step groups a year into files of a fair size and splits a year that holds
     most of the rows over several tasks.
     """
+    name = "`" + db.replace("`", "``") + "`"
     frames = {}
     for table, df in tables.items():
         frame = normalize_columns(df)
@@ -54,15 +57,16 @@ def refresh(spark: SparkSession, db: str, tables: Mapping[str, DataFrame]) -> No
         frames[table] = normalize_columns(frame, table)
     for table, frame in frames.items():
         spread = frame.hint("rebalance", "year") if _partitioned(table) else frame.hint("rebalance")
-        view = f"refresh_{table}"
-        spread.createOrReplaceTempView(view)
-        spark.sql(f"INSERT OVERWRITE TABLE `{db}`.`{table}` BY NAME SELECT * FROM {view}")
-        spark.catalog.dropTempView(view)
+        target = f"{name}.`{table}`"
+        columns = spark.table(target).columns
+        spread.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "static").insertInto(target)
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, properties: Mapping[str, str] | None = None) -> None:
-    """Truncate and load a database table; location tables go in small batches."""
-    writer = df.write.mode("overwrite").option("truncate", True)
+def write_jdbc(
+    df: DataFrame, url: str, table: str, properties: Mapping[str, str] | None = None, connections: int = 8
+) -> None:
+    """Truncate and load a database table over at most ``connections`` connections; location tables go in small batches."""
+    writer = df.write.mode("overwrite").option("truncate", True).option("numPartitions", connections)
     if table.endswith("location_metrics"):
         writer = writer.option("batchsize", LOCATION_BATCH_ROWS)
     writer.jdbc(url, table, properties=dict(properties or {}))

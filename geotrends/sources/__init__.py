@@ -1,6 +1,6 @@
 """Sources: document trees, their extractors, and flat tables."""
 
-from geotrends.sources.extractors import EXTRACTORS, extract, rejected_elements
+from geotrends.sources.extractors import EXTRACTORS, extract, rejected_documents, rejected_elements
 from geotrends.sources.json_tree import (
     parse_documents,
     read_country_tree,
@@ -21,6 +21,7 @@ __all__ = [
     "read_csv",
     "read_table",
     "read_tree",
+    "rejected_documents",
     "rejected_elements",
     "split_rejects",
     "with_country_path_keys",

@@ -3,6 +3,8 @@
 Every extractor is the same plan: explode one node, project the fields, clean
 the names. There is no shuffle. A damaged element is rejected on its own and
 its neighbours are kept; :func:`rejected_elements` lists what was left out.
+Documents without a usable node or without keys in their path give no rows and are
+listed by :func:`rejected_documents`, so what was read is kept or listed.
 """
 
 from collections.abc import Callable
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 
 from geotrends.functions.text import canonical_state, clean_district, clean_state_label
 from geotrends.schemas import DOCUMENT_NODES, SCHEMAS, node_schema
-from geotrends.sources.json_tree import CORRUPT, PATH
+from geotrends.sources.json_tree import CORRUPT, PATH, unparsable
 
 # Element (and its key, in a keyed object) -> columns, names as they are in the document.
 Fields = Callable[[Column, Column], dict[str, Column]]
@@ -130,6 +132,14 @@ def _node(x: Extractor) -> Column:
     return F.when(parsed.isNull() & F.col(CORRUPT).isNotNull(), retried).otherwise(parsed)
 
 
+def _has_keys(x: Extractor) -> Column:
+    keys = [] if x.country else ["state", "year", "quarter"]
+    found = F.lit(True)
+    for key in keys:
+        found = found & F.col(key).isNotNull()
+    return found
+
+
 def _exploded(raw: DataFrame, x: Extractor) -> DataFrame:
     """One row per element: path keys, ``_position``, ``_element`` and ``_complete``.
 
@@ -141,7 +151,7 @@ def _exploded(raw: DataFrame, x: Extractor) -> DataFrame:
     keys = [F.col(PATH)]
     if not x.country:
         keys += [canonical_state(F.col("state")).alias("state"), F.col("year"), F.col("quarter")]
-    rows = raw.select(*keys, explode(_node(x)).alias("_position", "_element"))
+    rows = raw.filter(_has_keys(x)).select(*keys, explode(_node(x)).alias("_position", "_element"))
     complete = F.lit(True)
     for c in x.fields(F.col("_position"), F.col("_element")).values():
         complete = complete & c.isNotNull()
@@ -162,6 +172,22 @@ def extract(raw: DataFrame, table: str) -> DataFrame:
     )
 
 
+def rejected_documents(raw: DataFrame, table: str) -> DataFrame:
+    """Documents that give :func:`extract` nothing to look at: ``file_path, reason``.
+
+    ``unparsable``: not JSON. ``no keys``: the path does not name state, year
+    and quarter. ``no node``: the node is missing, null or of a foreign type.
+    A node without elements is no reject.
+    """
+    x = EXTRACTORS[table]
+    reason = (
+        F.when(unparsable(), F.lit("unparsable"))
+        .when(~_has_keys(x), F.lit("no keys"))
+        .when(_node(x).isNull(), F.lit("no node"))
+    )
+    return raw.select(PATH, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def rejected_elements(raw: DataFrame, table: str) -> DataFrame:
     """Elements that :func:`extract` leaves out: ``file_path, position, element``.
 

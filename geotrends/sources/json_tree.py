@@ -27,29 +27,36 @@ def _decoded(path: Column) -> Column:
 
 
 def with_path_keys(df: DataFrame, path: str = PATH) -> DataFrame:
-    """Add ``state, year, quarter`` taken from the file path; the state is the raw directory name."""
+    """Add ``state, year, quarter`` taken from the file path; the state is the raw directory name.
+
+    All three are null for a path of another form.
+    """
     where = _decoded(F.col(path))
     return df.withColumns(
         {
-            "state": F.regexp_extract(where, _STATE_KEYS, 1),
-            "year": F.regexp_extract(where, _STATE_KEYS, 2).try_cast("int"),
-            "quarter": quarter_tag(F.regexp_extract(where, _STATE_KEYS, 3)),
+            "state": _part(where, _STATE_KEYS, 1),
+            "year": _part(where, _STATE_KEYS, 2).try_cast("int"),
+            "quarter": quarter_tag(_part(where, _STATE_KEYS, 3)),
         }
     )
 
 
+def _part(where: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(where, pattern, group), F.lit(""))
+
+
 def with_country_path_keys(df: DataFrame, path: str = PATH) -> DataFrame:
-    """Add ``year, quarter`` taken from the path of a country-level file."""
+    """Add ``year, quarter`` taken from the path of a country-level file; null for a path of another form."""
     where = _decoded(F.col(path))
     return df.withColumns(
         {
-            "year": F.regexp_extract(where, _COUNTRY_KEYS, 1).try_cast("int"),
-            "quarter": quarter_tag(F.regexp_extract(where, _COUNTRY_KEYS, 2)),
+            "year": _part(where, _COUNTRY_KEYS, 1).try_cast("int"),
+            "quarter": quarter_tag(_part(where, _COUNTRY_KEYS, 2)),
         }
     )
 
 
-def _unparsable() -> Column:
+def unparsable() -> Column:
     # A wrong-typed field also fills the corrupt column, but leaves the rest of the data
     # or at least parses; broken JSON does neither.
     return F.col("data").isNull() & F.col(CORRUPT).isNotNull() & F.try_parse_json(F.col(CORRUPT)).isNull()
@@ -57,15 +64,15 @@ def _unparsable() -> Column:
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable documents, unparsable documents as ``file_path, document``)."""
-    good = df.filter(~_unparsable())
-    rejects = df.filter(_unparsable()).select(PATH, F.col(CORRUPT).alias("document"))
+    good = df.filter(~unparsable())
+    rejects = df.filter(unparsable()).select(PATH, F.col(CORRUPT).alias("document"))
     return good, rejects
 
 
 def _strict(df: DataFrame) -> DataFrame:
     """Fail the job on the first unparsable document that a task meets."""
     message = F.concat(F.lit("unparsable document: "), F.col(PATH))
-    return df.filter(F.when(_unparsable(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return df.filter(F.when(unparsable(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
 def _with_corrupt(schema: T.StructType) -> T.StructType:

@@ -13,8 +13,13 @@ def read_table(spark: SparkSession, name: str, db: str | None = None) -> DataFra
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV with a header row; columns are taken in schema order and named by it."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    """A CSV with a header row that names the columns of the schema in its order.
+
+    Quotes inside a value are doubled. Another header or a row that does not
+    fit the schema stops the job.
+    """
+    options = {"header": True, "enforceSchema": False, "quote": '"', "escape": '"', "mode": "FAILFAST"}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def read_boundaries(spark: SparkSession, path: str, name_property: str = "ST_NM") -> DataFrame:

@@ -8,6 +8,7 @@ from geotrends.sources import (
     EXTRACTORS,
     extract,
     parse_documents,
+    rejected_documents,
     rejected_elements,
     split_rejects,
     with_country_path_keys,
@@ -278,3 +279,46 @@ def _(t):
     rejects = with_path_keys(rejected_elements(raw, "aggregated_user"))
     brand = F.get_json_object("element", "$.brand").alias("brand")
     return rejects.groupBy("year", "quarter", brand).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _some_unusable(t) -> DataFrame:
+    """Documents whose node is missing (Q1), null (Q2) or text (Q3), and of 1997 some in another folder."""
+    docs = documents(t.agg_user, "aggregated_user")
+    quarter = F.regexp_extract("file_path", r"/(\d)\.json$", 1)
+    node = (
+        F.when(quarter == "1", F.lit('{"data":{}}'))
+        .when(quarter == "2", F.lit('{"data":{"usersByDevice":null}}'))
+        .when(quarter == "3", F.lit('{"data":{"usersByDevice":"odd"}}'))
+        .otherwise(F.col("document"))
+    )
+    moved = F.replace("file_path", F.lit("/state/"), F.lit("/place/"))
+    path = F.when(F.col("file_path").contains("/1997/4"), moved).otherwise(F.col("file_path"))
+    return docs.select(path.alias("file_path"), node.alias("document"))
+
+
+@query(
+    "src04_rejected_documents",
+    over(
+        "agg_user",
+        """SELECT reason, year, quarter, count(*) AS n FROM (
+          SELECT DISTINCT state, CASE WHEN quarter = 'Q4' THEN 'no keys' ELSE 'no node' END AS reason,
+            CASE WHEN quarter <> 'Q4' THEN year END AS year, CASE WHEN quarter <> 'Q4' THEN quarter END AS quarter
+          FROM agg_user WHERE quarter <> 'Q4' OR year = 1997) GROUP BY ALL""",
+    ),
+)
+def _(t):
+    raw = with_path_keys(parse_documents(_some_unusable(t), "aggregated_user"))
+    rejects = with_path_keys(rejected_documents(raw, "aggregated_user"))
+    return rejects.groupBy("reason", "year", "quarter").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "src04_usable_documents",
+    over(
+        "agg_user",
+        f"""SELECT {STATE_SQL} AS state, year, quarter, brand, user_count, user_percentage FROM agg_user
+        WHERE quarter = 'Q4' AND year <> 1997""",
+    ),
+)
+def _(t):
+    return extract(with_path_keys(parse_documents(_some_unusable(t), "aggregated_user")), "aggregated_user")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from geotrends.fixed_values import ALL, SEGMENTS
+from geotrends.fixed_values import SEGMENTS
 from geotrends.operators import (
     app_open_rate,
     category_tree,
@@ -50,11 +51,18 @@ def _(t):
     return users_with_location(t.top_user_district, t.location)
 
 
-PRIORITY = """SELECT g.state, growth_percent, total_volume,
-CASE WHEN growth_percent > 5 AND total_volume > 2000 THEN 'Best' WHEN growth_percent <= 5 AND total_volume > 2000 THEN 'Saturated'
-     WHEN growth_percent > 5 AND total_volume < 2000 THEN 'Rising' ELSE 'Idle' END AS state_category
-FROM growth g JOIN (SELECT state, CAST(sum(insurance_count) AS BIGINT) AS total_volume FROM map_insurance GROUP BY ALL) v
-ON g.state = v.state"""
+_BEST, _SATURATED, _RISING, _IDLE = (f"'{name}'" for name in SEGMENTS)
+# Two rules (fast: more than 5 percent, large: more than 2000) and the name of each combination;
+# a volume on the bound and an unknown growth have none.
+PRIORITY = f"""WITH totals AS (
+  SELECT state, CAST(sum(insurance_count) AS BIGINT) AS volume FROM map_insurance GROUP BY state),
+judged AS (
+  SELECT growth.*, volume, growth_percent > 5 AS fast, CASE WHEN volume <> 2000 THEN volume > 2000 END AS large
+  FROM growth JOIN totals USING (state)),
+names(fast, large, name) AS (
+  VALUES (true, true, {_BEST}), (false, true, {_SATURATED}), (true, false, {_RISING}), (false, false, {_IDLE}))
+SELECT state, growth_percent, volume AS total_volume, coalesce(name, {_IDLE}) AS state_category
+FROM judged LEFT JOIN names USING (fast, large)"""
 
 
 def _priority(t):

@@ -158,13 +158,12 @@ def _(t):
     """SELECT c_custkey, CASE WHEN g > 20 AND v > 100000 THEN 'Best' WHEN g <= 20 AND v > 100000 THEN 'Saturated'
     WHEN g > 20 AND v < 100000 THEN 'Rising' ELSE 'Idle' END AS category
     FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 41 END AS g,
-                 CAST(c_acctbal * 20 AS BIGINT) // 50000 * 50000 AS v FROM customer WHERE c_acctbal IS NOT NULL)""",
+                 CAST(c_acctbal * 20 AS BIGINT) // 50000 * 50000 AS v FROM customer)""",
 )
 def _(t):
     growth = F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") % 41)
     volume = F.floor(F.rint(F.col("c_acctbal") * 20) / 50000) * 50000
-    rows = t.base("customer").filter(F.col("c_acctbal").isNotNull())
-    return rows.select("c_custkey", segment(growth, volume).alias("category"))
+    return t.base("customer").select("c_custkey", segment(growth, volume).alias("category"))
 
 
 @query(

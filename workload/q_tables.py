@@ -1,5 +1,6 @@
 """Profiles, sinks and full refreshes."""
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame
@@ -8,7 +9,6 @@ from pyspark.sql import functions as F
 from geotrends.operators import check_schema, column_list, duplicate_count, null_counts, profile_info
 from geotrends.plans import profile_tables
 from geotrends.schemas import SCHEMAS
-from geotrends.session import ensure_checkpoint_dir
 from geotrends.sinks import create_tables, normalize_columns, refresh, register_view, with_surrogate_id, write_csv
 from geotrends.sources import literal_rows, read_boundaries, read_csv, read_table
 from workload.q_ingest import STATE_SQL, _SOURCES, round_trip
@@ -17,8 +17,27 @@ from workload.views import over
 
 
 def scratch(t) -> str:
-    """A fresh folder on the storage that all executors share."""
-    return f"{ensure_checkpoint_dir(t.spark)}/geotrends-{uuid.uuid4().hex}"
+    """A fresh folder in the warehouse, beside the tables; deleted at the end of the program."""
+    path = f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_files-{uuid.uuid4().hex}"
+    _MADE.append((t.spark, path, None))
+    return path
+
+
+_MADE: list = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Drop what the queries of this program have written, if the session still runs."""
+    for spark, path, db in _MADE:
+        context = spark.sparkContext
+        if context._jsc is None or context._jsc.sc().isStopped():
+            continue
+        if db:
+            spark.sql(f"DROP DATABASE IF EXISTS `{db}` CASCADE")
+        else:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 _WITH_GAPS = """SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance,
@@ -83,33 +102,84 @@ def _(t):
     return df
 
 
-_PROFILED = {"agg_transaction": "aggregated_transaction", "map_user": "map_user"}
+_PROFILED = {
+    "agg_user": "aggregated_user",
+    "agg_transaction": "aggregated_transaction",
+    "agg_insurance": "aggregated_insurance",
+    "map_user": "map_user",
+    "map_transaction": "map_transaction",
+    "top_user_pincode": "top_user_pincodewise",
+    "top_transaction_pincode": "top_transaction_pincodewise",
+}
+
+
+def _doubled(t, view: str) -> DataFrame:
+    """A table in which the rows of the fourth quarter stand twice."""
+    rows = getattr(t, view)
+    return rows.unionByName(rows.filter("quarter = 'Q4'"))
+
+
+_DOUBLED_SQL = {v: f"(SELECT * FROM {v} UNION ALL SELECT * FROM {v} WHERE quarter = 'Q4')" for v in _PROFILED}
 
 
 @query(
     "dq06_table_duplicates",
     over(
         " ".join(_PROFILED),
-        " UNION ALL ".join(f"SELECT '{n}' AS \"table\", 0::BIGINT AS duplicates" for n in _PROFILED.values()),
+        " UNION ALL ".join(
+            f"""SELECT '{n}' AS "table", (SELECT count(*) FROM {_DOUBLED_SQL[v]}) - (SELECT count(*) FROM (SELECT DISTINCT *
+            FROM {_DOUBLED_SQL[v]})) AS duplicates"""
+            for v, n in _PROFILED.items()
+        ),
     ),
 )
 def _(t):
-    return profile_tables({n: getattr(t, v) for v, n in _PROFILED.items()})["duplicates"]
+    return profile_tables({n: _doubled(t, v) for v, n in _PROFILED.items()})["duplicates"]
 
 
-_INSURANCE = over("agg_insurance", "SELECT * FROM agg_insurance")
+_PROFILED_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE"}
 
 
-@query("snk01_csv_round_trip", _INSURANCE)
+@query(
+    "dq02_table_profiles",
+    over(
+        " ".join(_PROFILED),
+        " UNION ALL ".join(
+            f"""SELECT '{n}' AS "table", '{f.name}' AS "column", '{f.dataType.simpleString()}' AS dtype,
+            count({f.name}) AS non_null, count(*) AS rows, count(*) - count({f.name}) AS nulls FROM {v}"""
+            for v, n in _PROFILED.items()
+            for f in SCHEMAS[n].fields
+        ),
+    ),
+)
+def _(t):
+    return profile_tables({n: getattr(t, v) for v, n in _PROFILED.items()})["info"]
+
+
+@query(
+    "snk01_csv_round_trip",
+    over(
+        "agg_insurance",
+        """SELECT * REPLACE (CASE quarter WHEN 'Q1' THEN 'a "' || type || '", b' WHEN 'Q2' THEN '  ' || type || ' '
+        WHEN 'Q3' THEN type END AS type) FROM agg_insurance""",
+    ),
+)
 def _(t):
+    """Names with quotes, commas and blanks, and nulls, through files."""
     path = scratch(t)
-    write_csv(t.agg_insurance, path)
+    odd = (
+        F.when(F.col("quarter") == "Q1", F.concat(F.lit('a "'), "type", F.lit('", b')))
+        .when(F.col("quarter") == "Q2", F.concat(F.lit("  "), "type", F.lit(" ")))
+        .when(F.col("quarter") == "Q3", F.col("type"))
+    )
+    write_csv(t.agg_insurance.withColumn("type", odd), path)
     return read_csv(t.spark, path, SCHEMAS["aggregated_insurance"])
 
 
 def _refreshed(t, tables: dict[str, DataFrame]) -> str:
     db = f"geotrends_{uuid.uuid4().hex}"
-    create_tables(t.spark, db, scratch(t))
+    create_tables(t.spark, db)
+    _MADE.append((t.spark, None, db))
     refresh(t.spark, db, tables)
     return db
 
@@ -147,10 +217,10 @@ def _(t):
     return t.spark.sql("SELECT state, sum(insurance_count) AS total_volume FROM volume_source GROUP BY state")
 
 
-@query("src05_table_scan", over("agg_transaction", "SELECT * FROM agg_transaction WHERE year = 1998"))
+@query("src05_table_scan", over("agg_transaction", "SELECT * FROM agg_transaction"))
 def _(t):
     db = _refreshed(t, {"aggregated_transaction": t.agg_transaction})
-    return read_table(t.spark, "aggregated_transaction", db).filter("year = 1998")
+    return read_table(t.spark, "aggregated_transaction", db)
 
 
 @query(
