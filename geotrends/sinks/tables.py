@@ -12,6 +12,9 @@ from geotrends.schemas import SCHEMAS
 from geotrends.session import materialize
 
 
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV parts, each with a header; quotes inside a value are doubled, blanks stay."""
     options = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -55,11 +58,15 @@ def refresh(spark: SparkSession, db: str, tables: Mapping[str, DataFrame]) -> No
         frame = normalize_columns(df)
         check_schema(frame, SCHEMAS[table])
         frames[table] = normalize_columns(frame, table)
-    for table, frame in frames.items():
-        spread = frame.hint("rebalance", "year") if _partitioned(table) else frame.hint("rebalance")
-        target = f"{name}.`{table}`"
-        columns = spark.table(target).columns
-        spread.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "static").insertInto(target)
+    before = spark.conf.get(_OVERWRITE)
+    spark.conf.set(_OVERWRITE, "static")
+    try:
+        for table, frame in frames.items():
+            spread = frame.hint("rebalance", "year") if _partitioned(table) else frame.hint("rebalance")
+            target = f"{name}.`{table}`"
+            spread.select(*spark.table(target).columns).write.mode("overwrite").insertInto(target)
+    finally:
+        spark.conf.set(_OVERWRITE, before)
 
 
 def write_jdbc(

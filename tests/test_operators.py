@@ -38,7 +38,8 @@ from geotrends.operators import (
 from geotrends.operators.quantiles import _first_bucket
 from geotrends.plans import payment_modes
 from geotrends.schemas import SCHEMAS
-from geotrends.sinks import with_surrogate_id
+from geotrends.sinks import create_tables, refresh, with_surrogate_id
+from geotrends.sources import read_csv
 from workload.views import Tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -288,3 +289,39 @@ def test_payment_outputs_by_scope(tables):
     closed = payment_modes(tables.agg_transaction, "NATION_3", 1998, "Q2")
     assert "periods" not in closed
     assert closed["map"].columns[-2:] == ["count_sum", "amount_sum"]
+
+
+def test_csv_header_is_checked(spark, tmp_path):
+    schema = SCHEMAS["aggregated_insurance"]
+    path = tmp_path / "t.csv"
+    path.write_text('State,Year,Quarter,Type,Insurance_Count,Insurance_Amount\n"Go ""x"", a",2020,Q1,T,6,1360.0\n')
+    assert read_csv(spark, str(path), schema).first().state == 'Go "x", a'
+    path.write_text("Year,State,Quarter,Type,Insurance_Count,Insurance_Amount\n2020,a,Q1,T,6,1360.0\n")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, str(path), schema).collect()
+    path.write_text("State,Year,Quarter,Type,Insurance_Count,Insurance_Amount\na,odd,Q1,T,6,1360.0\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_csv(spark, str(path), schema).collect()
+
+
+def test_refresh_replaces_all_years_in_every_mode(spark):
+    schema = SCHEMAS["map_user"]
+    frame = lambda year: spark.createDataFrame([("a", year, "Q1", "d", 1, 2)], schema)
+    create_tables(spark, "refreshed")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        refresh(spark, "refreshed", {"map_user": frame(2020)})
+        refresh(spark, "refreshed", {"map_user": frame(2021)})
+        assert [r.year for r in spark.table("refreshed.map_user").collect()] == [2021]
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+        spark.sql("DROP DATABASE refreshed CASCADE")
+
+
+def test_scope_is_read_once(spark):
+    rows = spark.createDataFrame([("a", 2020, "Q1", "t", 3, 1.5)], SCHEMAS["aggregated_transaction"])
+    for scope in (("a", "All", "All"), ("a", 2020, "Q1"), ("All", "All", "All")):
+        outputs = payment_modes(rows, *scope)
+        for name in ("rows", "map", "map_start", "type_matrix"):
+            plan = outputs[name]._jdf.queryExecution().optimizedPlan().toString()
+            assert "LocalRelation" not in plan

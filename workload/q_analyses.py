@@ -345,3 +345,107 @@ def _(t):
 )
 def _(t):
     return _prioritised(t)["tree"]
+
+
+# --- further outputs of the composite analyses --------------------------------
+
+_ENGAGED = f"""SELECT *, {human_double_sql('user_count')} AS user_counts_f, {human_double_sql('open_count')} AS open_counts_f,
+round(ln(1 + user_count), 9) AS user_count_log FROM ({STATE_YEAR_USERS})"""
+
+
+@query("ana02_engagement_map", over("map_user", _ENGAGED))
+def _(t):
+    return user_engagement(t.map_user, t.map_user)["map"].withColumn("user_count_log", F.round("user_count_log", 9))
+
+
+@query("ana02_engagement_map_range", over("map_user", f"SELECT min(user_count_log) AS low, max(user_count_log) AS high FROM ({_ENGAGED})"))
+def _(t):
+    ends = user_engagement(t.map_user, t.map_user)["map_range"]
+    return ends.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@query(
+    "ana02_engagement_matrix_range",
+    over("map_user", f"SELECT CAST(min(user_count) AS DOUBLE) AS low, CAST(max(user_count) AS DOUBLE) AS high FROM ({STATE_YEAR_USERS})"),
+)
+def _(t):
+    return user_engagement(t.map_user, t.map_user)["matrix_range"]
+
+
+for _suffix, _year, _quarter in (("every_period", ALL, ALL), ("of_quarters", ALL, "Q4"), ("of_one_quarter", YEAR, "Q4")):
+    for _output, _view, _place, _limits, _carry in (
+        ("states", "map_user", "state", (25, 15), ""),
+        ("districts", "top_user_district", "district", (40, 15), "state"),
+        ("pincodes", "top_user_pincode", "pincode", (40, 15), "state"),
+    ):
+        _head, _tail = top_sql(_view, _place, _year, _quarter, _limits, _carry).rsplit("SELECT", 1)
+
+        @query(
+            f"ana06_top_{_output}_{_suffix}",
+            f"{_head}SELECT *, {human_double_sql('users')} AS users_f FROM (SELECT{_tail})",
+        )
+        def _(t, output=_output, scope=(_year, _quarter)):
+            return top_users(t.map_user, t.top_user_district, t.top_user_pincode, *scope)[output]
+
+
+for _name, _scope in SCOPES.items():
+    _view_of = SCOPE_VIEWS[tuple(v != ALL for v in _scope)]
+    _scoped = f"(SELECT * FROM agg_transaction{scope_sql(*_scope)})"
+
+    @query(f"ana07_rows_{_name}", over("agg_transaction", f"SELECT *, {_texts(('count', 'amount'))} FROM {_scoped}"))
+    def _(t, scope=_scope):
+        return payment_modes(t.agg_transaction, *scope)["rows"]
+
+    _sums = ""
+    if _view_of.sum_by is not None:
+        _over = f"PARTITION BY {_view_of.sum_by}" if _view_of.sum_by else ""
+        _count = f"CAST(sum(transaction_count) OVER ({_over}) AS BIGINT)"
+        _amount = f"CAST(sum(CAST(transaction_amount AS DECIMAL(18,2))) OVER ({_over}) AS DOUBLE)"
+        _sums = f", {human_sql(_count)} AS count_sum, {human_sql(_amount)} AS amount_sum"
+
+    @query(
+        f"ana07_map_{_name}",
+        over(
+            "agg_transaction",
+            f"""SELECT *, {_texts(('count', 'amount'))}, round(ln(1 + transaction_count), 9) AS transaction_count_log{_sums}
+            FROM {_scoped}""",
+        ),
+    )
+    def _(t, scope=_scope):
+        mapped = payment_modes(t.agg_transaction, *scope)["map"]
+        return mapped.withColumn("transaction_count_log", F.round("transaction_count_log", 9))
+
+    if _view_of.grid:
+        _x, _y = _view_of.grid
+        _keys = "state, year" if _name == "all" else "state, year, quarter"
+        # A cell of the grid is one period, so it has one text per layer.
+        _cells = f"""SELECT {_x} AS x, {_y} AS y, CAST(transaction_count AS DOUBLE) AS z, {_texts(('count_s', 'amount_s'))}
+        FROM (SELECT {_keys}, {_COUNTS} FROM {_scoped} GROUP BY ALL)"""
+
+        @query(f"ana07_grid_layers_{_name}", over("agg_transaction", _cells))
+        def _(t, scope=_scope):
+            return payment_modes(t.agg_transaction, *scope)["period_matrix"]
+
+        @query(f"ana07_range_{_name}", over("agg_transaction", f"SELECT min(z) AS low, max(z) AS high FROM ({_cells})"))
+        def _(t, scope=_scope):
+            return payment_modes(t.agg_transaction, *scope)["period_range"]
+
+
+for _suffix, _view, _places in (
+    ("states", "agg_transaction", ["state"]),
+    ("districts", "map_transaction", ["state", "district"]),
+    ("pincodes", "top_transaction_pincode", ["state", "pincode"]),
+):
+    _keys = ", ".join(_places)
+
+    @query(
+        f"ana08_all_{_suffix}",
+        over(
+            _view,
+            f"""SELECT *, {human_double_sql('count')} AS count_f, {human_sql('amount')} AS amount_f FROM (
+            SELECT {_keys}, CAST(sum(transaction_count) AS BIGINT) AS count, {money_sql('transaction_amount')} AS amount
+            FROM {_view} GROUP BY {_keys})""",
+        ),
+    )
+    def _(t, view=_view, places=_places):
+        return volume_places(getattr(t, view), places)["all"]
