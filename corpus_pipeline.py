@@ -37,10 +37,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Every occurrence of a repeated passage goes. A document may be left with
     an empty text; ``n_chars`` is that of the new text.
     """
-    out = remove_repeats(docs, carry=docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carried.text"))
-    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("carried.n_chars"))}
-    return out.select(*[changed.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = remove_repeats(docs, carry=carried, as_is=True)
+    size = F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("carried.n_chars"))
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": size}
+    return out.select(*[columns.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

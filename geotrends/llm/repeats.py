@@ -113,6 +113,7 @@ def remove_repeats(
     window: int = 35,
     chunk_bytes: int = kb.CHUNK_BYTES,
     carry: list[str] | None = None,
+    as_is: bool = False,
 ) -> DataFrame:
     """A row per document: ``id_col``, n_words, n_removed, kept, spans.
 
@@ -123,6 +124,7 @@ def remove_repeats(
     one blank, ``spans`` the removed stretches as word numbers. A null or
     empty text, or one shorter than the window, loses nothing. Rows that
     repeat an id are documents of their own, and equal rows repeat each other.
+    With ``as_is`` a text that loses nothing is kept with its own blanks.
     Columns named in ``carry`` are returned unchanged in a struct ``carried``;
     others are left out.
     """
@@ -167,7 +169,7 @@ def remove_repeats(
                 stays += own_words[last:a]
                 last = b
             stays += own_words[last:]
-            kept.append(b" ".join(stays))
+            kept.append(data.as_py() if as_is and not edges else b" ".join(stays))
             removed.append(int(own.sum()))
             spans.append([{"start": a, "end": b} for a, b in edges])
         columns = {"carried": table["carried"]} if carry else {}
