@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +36,31 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, *more
     """(chunk, key, text, more...) with the rows dealt into chunks by hash, and the number of chunks.
 
     Rows are dealt by id and text, so rows that repeat an id do not pile up.
-    One pass over the texts' lengths finds the number.
+    One pass over the texts' lengths finds the number. Texts travel compressed;
+    :func:`ordered` opens them.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"), *more)
     size = rows.select(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(size / chunk_bytes))
     chunk = F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("int").alias("chunk")
-    return rows.select(chunk, *rows.columns).repartition(n, "chunk"), n
+    dealt = rows.select(chunk, *rows.columns)
+    squeezed = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in dealt.schema)
+    return dealt.mapInArrow(_squeeze, squeezed).repartition(n, "chunk"), n
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [None if x is None else press.compress(x) for x in batch["text"].cast(pa.binary()).to_pylist()]
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", pa.array(texts, pa.binary()))
 
 
 def ordered(table: pa.Table, *more: str) -> pa.Table:
-    """Rows of a chunk in an order that depends on their values alone."""
+    """Rows of a chunk, texts opened, in an order that depends on their values alone."""
+    open_ = zstandard.ZstdDecompressor()
+    texts = [None if x is None else open_.decompress(x) for x in table["text"].to_pylist()]
+    table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
     order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("key", "text", *more)])
     return table.take(order)
 
@@ -71,20 +86,42 @@ class Words:
         return np.arange(n) + size <= np.repeat(self.ends, self.sizes)[:n]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, byte by byte side by side, compressed."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    raw = np.frombuffer(pa.decompress(data[9:], width * n, "zstd", asbytes=True), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys as differences of as few bytes as the largest needs."""
+    """Sorted 64-bit keys, at least one, as differences.
+
+    The low bytes of a difference are random and stand as they are; what is
+    above them is small and compressed.
+    """
     steps = np.diff(keys)
-    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 1
-    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    mean = (int(keys[-1]) - int(keys[0])) // max(1, len(steps))
+    low = max(0, (mean.bit_length() - 2) // 8)
+    raw = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes()
+    head = bytes([low]) + len(steps).to_bytes(8, "little") + int(keys[0]).to_bytes(8, "little")
+    return head + raw + _planes(steps >> np.uint64(8 * low))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    steps = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    out = np.zeros((len(steps) + 1, 8), np.uint8)
-    out[1:, :width] = steps
-    out = out.view(np.uint64).ravel()
-    out[0] = np.frombuffer(data, np.uint64, 1, 1)[0]
+    low, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((n + 1, 8), np.uint8)
+    out[1:, :low] = np.frombuffer(data, np.uint8, n * low, 17).reshape(n, low)
+    out = out.view("<u8").ravel()
+    out[1:] |= _from_planes(data[17 + n * low :]) << np.uint64(8 * low)
+    out[0] = int.from_bytes(data[9:17], "little")
     return np.cumsum(out, dtype=np.uint64)
 
 
@@ -142,10 +179,8 @@ def unpack_bits(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    raw = counts.astype("<u8").tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return _planes(counts)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), "<u8")
+    return _from_planes(data)
