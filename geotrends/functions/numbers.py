@@ -24,7 +24,7 @@ def _two_decimals(q: Column) -> Column:
     nudge = F.when(product - F.floor(product) == 0.5, F.signum(error) * 0.25).otherwise(0.0)
     hundredths = F.rint(product + nudge).cast("bigint").cast("decimal(18,0)")
     short = (hundredths * F.lit("0.01").cast("decimal(2,2)")).cast("string")
-    # Beyond that the hundredths would be too large, but whole part and fraction are exact by themselves.
+    # Beyond 2^46 the hundredths are not exact, but whole part and fraction are by themselves.
     whole = F.when(q < _LONG, q).cast("bigint")
     cents = F.rint((q - whole) * 100).cast("int").cast("string")
     long = F.concat(whole.cast("string"), F.lit("."), F.lpad(cents, 2, "0"))
@@ -33,7 +33,7 @@ def _two_decimals(q: Column) -> Column:
     lower = (q - upper * _LONG).cast("bigint").cast("decimal(20,0)")
     bits = (upper.cast("decimal(16,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + lower).cast("decimal(38,0)")
     huge = F.concat(bits.cast("string"), F.lit(".00"))
-    return F.when(q < 1e15, short).when(q < _LONG, long).otherwise(F.coalesce(huge, F.format_string("%.2f", q)))
+    return F.when(q < 2.0**46, short).when(q < _LONG, long).otherwise(F.coalesce(huge, F.format_string("%.2f", q)))
 
 
 def _plain_text(c: Column) -> Column:
@@ -41,16 +41,34 @@ def _plain_text(c: Column) -> Column:
     text = F.replace(c.cast("string"), F.lit("Infinity"), F.lit("inf"))
     digits = F.rtrim(text.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
     plain = F.regexp_replace(digits, r"\.$", ".0")
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
-    power = F.substring_index(text, "E", -1).try_cast("int")
-    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    size = F.abs(power).cast("string")
-    short = F.concat(mantissa, sign, F.lpad(size, 2, "0"))
-    with_power = F.when(F.length(size) > 2, F.concat(mantissa, sign, size)).otherwise(short)
+    with_power = _with_power(text, c)
     inside = (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16)
     return F.when(text.contains("E"), F.when(inside, plain).otherwise(with_power)).otherwise(text)
 
 
+def _with_power(text: Column, c: Column) -> Column:
+    """The exponent form from Java's: ``1.0E-5`` is ``1e-05``.
+
+    Not every Java prints the shortest digits that give the number back, so
+    those of a rounding are taken that does.
+    """
+    digits, power = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1).try_cast("int")
+    forms = []
+    for places in (14, 15):
+        rounded = F.round(digits.try_cast("decimal(20,18)"), places)
+        full = F.abs(rounded) >= 10
+        shown = F.when(full, F.signum(rounded).cast("int").cast("string")).otherwise(rounded.cast("string"))
+        forms.append((F.when(shown.contains("."), F.rtrim(shown, F.lit("0"))).otherwise(shown), power + full.cast("int")))
+    mantissa, exponent = digits, power
+    for shown, moved in reversed(forms):
+        same = F.concat(shown, F.lit("E"), moved.cast("string")).try_cast("double") == c
+        mantissa, exponent = F.when(same, shown).otherwise(mantissa), F.when(same, moved).otherwise(exponent)
+    size = F.abs(exponent).cast("string")
+    padded = F.when(F.length(size) > 2, size).otherwise(F.lpad(size, 2, "0"))
+    sign = F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    return F.concat(F.regexp_replace(mantissa, r"\.0*$", ""), sign, padded)
+
+
 def number_scale(c: Column) -> Column:
     """Bound and unit name of a number's text, null for small and negative numbers."""
     scale = None

@@ -94,8 +94,9 @@ def rank_places(
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str] = ()) -> DataFrame:
-    """One row per key with one value of the group: the first by ``order``, else the smallest."""
-    picked = F.min_by(value, F.struct(*order, value)) if order else F.min(value)
+    """One row per key with one filled value of the group: the first by ``order``, else the smallest."""
+    filled = F.when(F.col(value).isNotNull(), F.struct(*order, value))
+    picked = F.min_by(value, filled) if order else F.min(value)
     return df.groupBy(*keys).agg(picked.alias(value))
 
 
@@ -147,7 +148,8 @@ def children_by_parent(df: DataFrame, parent: str = "state", child: str = "distr
     """Each parent with the sorted list of its distinct children.
 
     Duplicates go first, spread over both keys, so a parent with most of the
-    rows only brings its distinct children to one place.
+    rows only brings its distinct children to one place. Where a parent can have very
+    many, use the sorted pairs of :func:`distinct_sorted` instead.
     """
     pairs = df.select(parent, child).dropna().distinct()
     return pairs.groupBy(parent).agg(F.sort_array(F.collect_list(child)).alias(f"{child}s"))

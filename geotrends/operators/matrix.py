@@ -14,7 +14,7 @@ def _cell(df: DataFrame, value: str, agg: str, order: Sequence[str]) -> Column:
     if agg == "sum":
         return exact_sum(df, value)
     if agg == "first":
-        return F.min_by(value, F.struct(*(order or [value])))
+        return F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(*(order or [value]))))
     raise ValueError(f"unknown cell aggregate: {agg}")
 
 
@@ -32,7 +32,7 @@ def matrix(
     Give ``values`` to fix the columns: without them Spark runs an extra job
     for the distinct values. For a key with many values use
     :func:`matrix_long`, which holds the same cells as rows. ``first`` takes
-    the value of the first row in ``order``.
+    the filled value of the first row in ``order``.
     """
     keyed = df.dropna(subset=[index, columns])
     wide = keyed.groupBy(index).pivot(columns, list(values) if values is not None else None)

@@ -1,5 +1,8 @@
 """Full refresh: documents to tables, with profiles."""
 
+from collections import Counter
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +13,22 @@ from geotrends.sources.extractors import EXTRACTORS, extract
 from geotrends.sources.json_tree import read_country_tree, read_tree
 
 
-def extract_tables(spark: SparkSession, root: str, strict: bool = True) -> dict[str, DataFrame]:
-    """All 14 flat tables of the document tree under ``root``, lazily."""
-    tables = {}
-    for table, x in EXTRACTORS.items():
-        reader = read_country_tree if x.country else read_tree
-        tables[table] = extract(reader(spark, root, x.entity, strict=strict), table)
-    return tables
+def extract_tables(
+    spark: SparkSession, root: str, strict: bool = True, kept: list[DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """All 14 flat tables of the document tree under ``root``, lazily.
+
+    With ``kept``, documents that feed two tables are persisted on disk and
+    added to it; the caller releases them.
+    """
+    trees = {}
+    uses = Counter((x.entity, x.country) for x in EXTRACTORS.values())
+    for entity, country in uses:
+        reader = read_country_tree if country else read_tree
+        trees[entity, country] = reader(spark, root, entity, strict=strict)
+        if kept is not None and uses[entity, country] > 1:
+            kept.append(trees[entity, country].persist(StorageLevel.DISK_ONLY))
+    return {table: extract(trees[x.entity, x.country], table) for table, x in EXTRACTORS.items()}
 
 
 def refresh_from_tree(
@@ -33,7 +45,12 @@ def refresh_from_tree(
     the tables.
     """
     create_tables(spark, db, location)
-    refresh(spark, db, extract_tables(spark, root, strict))
+    kept: list[DataFrame] = []
+    try:
+        refresh(spark, db, extract_tables(spark, root, strict, kept))
+    finally:
+        for documents in kept:
+            documents.unpersist()
     if csv_root:
         for table, schema in SCHEMAS.items():
             write_csv(spark.table(f"{db}.{table}").select(*schema.names), f"{csv_root}/{table}")

@@ -37,6 +37,19 @@ def _(t):
     return with_text(rows, {"x": "price_text", "n": "count_text"}).drop("x", "n")
 
 
+_WIDE_SQL = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN -1 ELSE 1 END * (1 + o_custkey % 9)
+* CAST('1e' || (o_orderkey % 44 - 8) AS DOUBLE) AS x FROM orders"""
+
+
+@query("scl01_human_number_wide", f"SELECT o_orderkey, {human_sql('x')} AS text FROM ({_WIDE_SQL})")
+def _(t):
+    """Numbers from 1e-8 to 9e35 and negative ones."""
+    power = F.concat(F.lit("1e"), (F.col("o_orderkey") % 44 - 8).cast("string")).cast("double")
+    sign = F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(1)
+    rows = t.base("orders").select("o_orderkey", (sign * (1 + F.col("o_custkey") % 9) * power).alias("x"))
+    return with_text(rows, {"x": "text"}).drop("x")
+
+
 # A sharp s has no single capital in this rule: it becomes "Ss" at the start of a word.
 _TITLE_SQL = (
     "array_to_string(list_transform(regexp_extract_all(lower({0}), '(\\p{{L}}+|\\P{{L}}+)'), "
