@@ -128,13 +128,20 @@ class Packer:
     def __init__(self, window: int, max_open: int, min_cut: int, first: int):
         self.window, self.max_open, self.min_cut = window, max_open, min_cut
         self.next, self.open = first, {}  # number of the sequence -> tokens used
+        self.closed: list[int] = []  # since the caller last emptied it
 
     def _new(self, used: int) -> int:
         number, self.next = self.next, self.next + 1
         if used < self.window:
             self.open[number] = used
+        else:
+            self.closed.append(number)
         return number
 
+    def _close(self, number: int) -> None:
+        del self.open[number]
+        self.closed.append(number)
+
     def place(self, length: int) -> list[tuple[int, int, int, int]]:
         """(start, length, sequence, offset) of the pieces of a document."""
         out, start = [], 0
@@ -148,7 +155,7 @@ class Packer:
         if not fitting and len(self.open) >= self.max_open:
             used, number = max((used, -number) for number, used in self.open.items())
             number = -number
-            del self.open[number]
+            self._close(number)
             gap = self.window - used
             if gap >= self.min_cut:
                 out.append((start, gap, number, used))
@@ -160,7 +167,7 @@ class Packer:
             out.append((start, rest, number, used))
             self.open[number] = used + rest
             if used + rest == self.window:
-                del self.open[number]
+                self._close(number)
         else:
             out.append((start, rest, self._new(rest), 0))
         return out
@@ -228,8 +235,9 @@ def pack(
                     for s, n, number, offset in packer.place(len(ids)):
                         row = (key, s, n, ids[s : s + n].tobytes(), len(ids), number, offset, 0)
                         held.setdefault(number, []).append(row)
-                        if number not in packer.open:
-                            done += held.pop(number)
+                    for number in packer.closed:
+                        done += held.pop(number)
+                    packer.closed.clear()
                 at += len(block)
                 if done:
                     yield _rows(done)
