@@ -20,6 +20,8 @@ from geotrends.llm.words import BASES, windows
 # Bits of a block's key. A false hit only costs a comparison of windows.
 _BLOCK_BITS = 48
 _HITS, _REPEATS = 1, 2
+# Half of the usual size: the last step holds texts, blocks and windows of a chunk at once.
+CHUNK_BYTES = 4 << 20
 RESULT = "key bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, end: bigint>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -38,13 +40,14 @@ class _Blocks:
         on_grid = (at - np.repeat(words.starts, words.sizes)[at]) % block == 0
         order = np.argsort(keys)
         ordered = keys[order]
+        del keys, inside
         first = _first_of_runs(ordered)
         self.keys = ordered[first]
         self.anchor = np.logical_or.reduceat(on_grid[order], first) if len(first) else np.empty(0, bool)
         self.twice = np.diff(np.append(first, len(ordered))) > 1
-        self.group = np.empty(len(at), np.int64)  # place in self.keys of each position
+        self.group = np.empty(len(at), np.int32)  # place in self.keys of each position
         self.group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ordered))))
-        self.at = at
+        self.at = at.astype(np.int32)
 
 
 class _Windows:
@@ -58,6 +61,7 @@ class _Windows:
         # A hit at one of the first window - block + 1 positions lies wholly in the window.
         near = marks[window - block + 1 : window - block + 1 + n] > marks[:n]
         self.at = np.flatnonzero(near & words.inside(window))
+        del marks, near
         one = windows(words.hashes, window, BASES[0])[self.at]
         two = (windows(words.hashes, window, BASES[1])[self.at] >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((two, one))
@@ -66,7 +70,7 @@ class _Windows:
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         first = np.flatnonzero(new)
         self.twice = np.diff(np.append(first, len(one))) > 1
-        self.group = np.empty(len(one), np.int64)
+        self.group = np.empty(len(one), np.int32)
         self.group[order] = np.cumsum(new) - 1
         self.one, self.two = one[first], two[first]
 
@@ -111,7 +115,7 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 35,
-    chunk_bytes: int = kb.CHUNK_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
     carry: list[str] | None = None,
     as_is: bool = False,
 ) -> DataFrame:

@@ -56,7 +56,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     kept = _POWERS.get(base)
     if kept is None or len(kept[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = (n + 0xFFFF) >> 16 << 16
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, np.uint64)
