@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotrends.llm.licenses import normalized
+from geotrends.llm.shared_store import bound_batches
 from geotrends.llm.words import mix, word_hashes
 
 # Each mask spans 12 words and reads 7; two replaced words in any 24 leave a hit under one of them.
@@ -176,6 +177,7 @@ def benchmark_overlaps(
     with nothing; an empty benchmark gives no rows. Repeated rows are judged
     each. Items with fewer words than a mask must stand there unchanged.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("key"), F.col(f"`{text_col}`").alias("text"))
     out = None
     for block in blocks_of(benchmark, item_col, item_text, masks, min_match, block_chars):
@@ -197,6 +199,8 @@ def benchmark_overlaps(
 
 def overlaps_benchmark(text: Column | str, blocks: list[Block], spark) -> Column:
     """Whether a text has a verified overlap with an item of any block; false for null and empty texts."""
+    bound_batches(spark)
+
     def judged(shared) -> Column:
         @F.arrow_udf("boolean")
         def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotrends.llm.shared_store import bound_batches
 from geotrends.llm.words import word_hashes
 
 CHUNK_BYTES = 8 << 20
@@ -39,6 +40,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, *more
     One pass over the texts' lengths finds the number. Texts travel compressed;
     :func:`ordered` opens them.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"), *more)
     size = rows.select(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(size / chunk_bytes))
@@ -137,6 +139,7 @@ def _pieces(keys: np.ndarray, n_buckets: int, bits: int) -> Iterator[tuple[int,
 def requests(chunk: int, keys: np.ndarray, n_buckets: int, bits: int, extra: Callable[[int, int], bytes]) -> pa.Table:
     """The packed keys of a chunk by bucket, with ``extra(from, to)`` beside each slice."""
     rows = [(b, chunk, p, pack(keys[i:j]), extra(i, j)) for b, p, i, j in _pieces(keys, n_buckets, bits)]
+    pa.default_memory_pool().release_unused()
     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     columns = zip(*rows) if rows else [[]] * 5
     return pa.table({c: pa.array(v, t) for c, t, v in zip(("bucket", "chunk", "part", "keys", "extra"), types, columns)})
@@ -149,6 +152,7 @@ def answered(asked: DataFrame, kind: int, n_buckets: int, combine: Callable) ->
         table = table.combine_chunks()
         keys = [unpack(x.as_py()) for x in table["keys"]]
         data = combine(keys, [x.as_py() for x in table["extra"]])
+        pa.default_memory_pool().release_unused()
         return pa.table(
             {
                 "chunk": table["chunk"],

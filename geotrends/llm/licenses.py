@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geotrends.llm.shared_store import bound_batches
+
 # Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased; all else separates.
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -232,4 +234,5 @@ def license_scan(
 
 def scan_licenses(docs: DataFrame, text: str = "text", column: str = "license", **settings) -> DataFrame:
     """``docs`` with the scan's struct in ``column``; a column of this name is replaced."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(column, license_scan(F.col(f"`{text}`"), **settings))

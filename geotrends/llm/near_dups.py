@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geotrends.llm.components import connected_components
-from geotrends.llm.shared_store import written
+from geotrends.llm.shared_store import bound_batches, written
 from geotrends.llm.words import lower_words, mix, text_bytes, windows, word_hashes
 from geotrends.session import materialize
 
@@ -197,6 +197,7 @@ def near_duplicates(
     A null id joins a component but never names one that has another id.
     Other columns are left out.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("key"), F.col(f"`{text_col}`").alias("text"))
     rows = written(sketches(texts, size, k), "sketches")
     same = ["n", "one", "two"]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotrends.llm.shared_store import written
+from geotrends.llm.shared_store import bound_batches, written
 
 # Before a blank between two non-blanks. Python counts more characters as blank
 # than the tokenizer does, which only leaves some pieces longer.
@@ -244,6 +244,7 @@ def pack(
         if held:
             yield _rows([(*row[:-1], 1) for number in sorted(held) for row in held[number]])
 
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("key"), F.col(f"`{text_col}`").alias("text"))
     placed = written(texts.mapInArrow(place, PIECE_TYPE), "packing", ["leftover"])
     group = F.floor(F.col("sequence_id") / F.lit(_SPAN * merge_parts))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geotrends.llm.shared_store import bound_batches
 from geotrends.llm.words import mix, word_hashes
 
 # Runs of letters and digits (any byte above ASCII counts as a letter) and runs of marks.
@@ -28,7 +29,7 @@ _TWICE = np.uint64(0x5BD1E9955BD1E995)
 @dataclass(frozen=True)
 class Settings:
     bits: int = 18
-    max_rows: int = 20_000  # bound of the training sample
+    max_rows: int = 12_000  # bound of the training sample
     shards: int = 4
     epochs: int = 4
     alpha: float = 3.0
@@ -82,6 +83,7 @@ def train(labelled: DataFrame, settings: Settings = Settings(), text: str = "tex
     Without any row all weights are 0. Repeated rows count as often as they
     stand in the sample.
     """
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(
         F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(label).cast("double").alias("label")
     ).where("key is not null and label is not null")
@@ -134,6 +136,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, settings: Se
 
 def score(text: Column | str, weights: np.ndarray, spark) -> Column:
     """Probability of label 1 for each text; empty and null texts get that of the bias."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(weights)
     bits = (len(weights) - 1).bit_length() - 1
 

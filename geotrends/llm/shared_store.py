@@ -1,4 +1,4 @@
-"""Tables written between the steps of an operator, in the shared folder."""
+"""Tables written between the steps of an operator, in the shared folder, and bounds of Arrow batches."""
 
 import atexit
 import uuid
@@ -7,6 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geotrends.session import ensure_checkpoint_dir
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let this session send at most about ``most`` bytes per Arrow batch to Python.
+
+    Otherwise only the number of rows is bounded, and ten thousand long texts
+    at once are too much for a small executor. A smaller bound stays.
+    """
+    now = spark.conf.get(_BATCH_BYTES, None) or ""
+    digits = now.removesuffix("b")
+    if not (digits.isdigit() and 0 < int(digits) <= most):
+        spark.conf.set(_BATCH_BYTES, str(most))
+
+
 _WRITTEN: dict[SparkSession, list[str]] = {}
 
 
