@@ -3,10 +3,13 @@
 Unit vectors are cut into halves and each half has its own codebook, fitted on
 a bounded sample; a vector lies in the cell of its two nearest codewords. From
 a vector the cells are visited in the order of the summed distances of the two
-halves (multi-sequence traversal). How many are visited is measured on the
-sample: enough that the wanted share of neighbours at the threshold is met from
-one side or the other. Vectors met in visited cells are verified by their
-cosine in double precision.
+halves (multi-sequence traversal). How many are visited is measured on links of
+the data themselves: a bounded number of sampled vectors is compared with all
+vectors of their label, and the wanted share of the links found so must be met
+from one side or the other in every band of cosines, the one next to the
+threshold as well as all together; likewise the wanted share of synthetic
+neighbours in random directions. Vectors met in visited cells are verified by
+their cosine in double precision.
 
 Equal vectors are one class from the start, so a vector that makes up a third of the
 rows is compared once. Crowded cells and crowds of visitors are cut into
@@ -37,8 +40,10 @@ CELL = ["label", "dim", "cell"]
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.93
-    recall: float = 0.99  # of neighbours at the threshold, on the sample
+    recall: float = 0.99  # of the links measured, in each band of cosines
     sample: int = 4096  # bound of the sample the index is fitted on
+    queries: int = 1024  # bound of the sampled vectors compared with all of their label
+    bands: int = 4  # of cosines from the threshold to 1
     cell_size: int = 32  # vectors of one label that a cell should hold
     max_words: int = 64  # of a codebook
     members: int = 2048  # vectors of a cell in one block
@@ -101,10 +106,12 @@ def codebook(x: np.ndarray, words: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(unit: np.ndarray, per_label: float, s: Settings) -> Index:
-    """An index from sampled unit vectors of one length; ``per_label``: how many vectors a label has."""
+    """An index from sampled unit vectors of one length; ``per_label``: how many vectors a label has.
+
+    ``visits`` is what neighbours in random directions need; those of the data may need more.
+    """
     half, words = unit.shape[1] // 2, int(np.clip(np.sqrt(per_label / s.cell_size), 1, s.max_words))
     index = Index(codebook(unit[:, :half], words), codebook(unit[:, half:], words), 1)
-    # Neighbours at the threshold in a random direction are the hardest to meet.
     random = np.random.default_rng(0)
     own = unit[random.integers(0, len(unit), 1000)]
     noise = random.normal(size=own.shape)
@@ -112,10 +119,16 @@ def fit(unit: np.ndarray, per_label: float, s: Settings) -> Index:
     size = np.sqrt((noise * noise).sum(1, keepdims=True))
     other = s.threshold * own + np.sqrt(max(0.0, 1 - s.threshold**2)) * noise / np.where(size > 0, size, 1)
     places = np.minimum(_place(index, own, index.cells(other)), _place(index, other, index.cells(own)))
-    index.visits = int(np.sort(places)[int(np.ceil(s.recall * len(places))) - 1]) + 1
+    index.visits = _enough(*np.unique(places, return_counts=True), s.recall)
     return index
 
 
+def _enough(places: np.ndarray, times: np.ndarray, recall: float) -> int:
+    """Visits that meet the share ``recall`` of the links at these places (in order), each seen ``times`` times."""
+    seen = np.cumsum(times)
+    return int(places[np.searchsorted(seen, np.ceil(recall * seen[-1]))]) + 1
+
+
 def _place(index: Index, unit: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """How many cells are nearer to each vector than the given one."""
     a, b = index.distances(unit)
@@ -123,6 +136,15 @@ def _place(index: Index, unit: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (sums < sums[np.arange(len(unit)), cells][:, None]).sum(1)
 
 
+def _ranks(index: Index, unit: np.ndarray) -> np.ndarray:
+    """The place of every cell in each vector's order of cells."""
+    a, b = index.distances(unit)
+    order = (a[:, :, None] + b[:, None, :]).reshape(len(unit), len(a[0]) * len(b[0])).argsort(1, kind="stable")
+    out = np.empty(order.shape, np.uint16)
+    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.uint16)[None], 1)
+    return out
+
+
 def clean_vectors(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """(key, label, dim, digest, vec) of the vectors that can be linked; ``vec`` is packed doubles."""
     vec = F.col(f"`{vec_col}`").cast("array<double>")
@@ -153,14 +175,66 @@ def fit_indexes(classes: DataFrame, s: Settings) -> dict[int, Index]:
     Lengths that the sample does not hold get no index; their vectors share one cell.
     """
     counts = classes.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
-    sample = classes.orderBy(F.xxhash64("digest"), "key").limit(s.sample).select("dim", "vec").toPandas()
-    out = {}
+    sample = classes.orderBy(F.xxhash64("digest"), "key").limit(s.sample).select("label", "dim", "vec").toPandas()
+    out, queries = {}, {}
     for dim, group in sample.groupby("dim"):
         if dim > 1:
-            out[int(dim)] = fit(unit_vectors([bytes(v) for v in group["vec"]], int(dim)), counts["n"] / max(1, counts["labels"]), s)
+            unit = unit_vectors([bytes(v) for v in group["vec"]], int(dim))
+            out[int(dim)] = fit(unit, counts["n"] / max(1, counts["labels"]), s)
+    # Rows of the sample are in the order of their hashes: the first ones are a sample too.
+    for (dim, label), group in sample.head(s.queries).groupby(["dim", "label"]):
+        if dim in out:
+            queries[int(dim), label] = unit_vectors([bytes(v) for v in group["vec"]], int(dim))
+    places = link_places(classes, out, queries, s).toPandas().sort_values("place")
+    for dim, group in places.groupby("dim"):
+        for links in [group.groupby("place", as_index=False)["times"].sum(), *(g for _, g in group.groupby("band"))]:
+            visits = _enough(links["place"].to_numpy(), links["times"].to_numpy(), s.recall)
+            out[dim].visits = max(out[dim].visits, visits)
     return out
 
 
+def link_places(classes: DataFrame, indexes: dict[int, Index], queries: dict[tuple[int, str], np.ndarray], s: Settings) -> DataFrame:
+    """(dim, band, place, times): how many cells are nearer than a linked vector's, for all links of the queries.
+
+    ``queries`` holds unit vectors by length and label. All vectors are read
+    where they lie; only the counts move, at most one row per band and cell.
+    """
+    places_of = {at: (x, indexes[at[0]].cells(x), _ranks(indexes[at[0]], x)) for at, x in queries.items()}
+    # Bounded by the number of queries and the codebook size.
+    shared = classes.sparkSession.sparkContext.broadcast((indexes, places_of))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes, queries = shared.value
+        times = {dim: np.zeros((s.bands, len(x.first) * len(x.second)), np.int64) for dim, x in indexes.items()}
+        for batch in batches:
+            which: dict[tuple, list] = {}
+            for i, at in enumerate(zip(batch["dim"].to_pylist(), batch["label"].to_pylist())):
+                if at in queries:
+                    which.setdefault(at, []).append(i)
+            packed = batch["vec"].to_pylist() if which else []
+            for at, rows in which.items():
+                index, (own, cells, ranks) = indexes[at[0]], queries[at]
+                for k in range(0, len(rows), 256):
+                    unit = unit_vectors([packed[i] for i in rows[k : k + 256]], at[0])
+                    cosines = unit @ own.T
+                    # A query meets itself as well; that is no link.
+                    i, j = np.nonzero((cosines >= s.threshold) & (cosines < 1 - 1e-12))
+                    if not len(i):
+                        continue
+                    met, row = np.unique(i, return_inverse=True)
+                    x = unit[met]
+                    place = np.minimum(_ranks(index, x)[row, cells[j]], ranks[j, index.cells(x)[row]])
+                    band = (cosines[i, j] - s.threshold) / max(1 - s.threshold, 1e-12) * s.bands
+                    np.add.at(times[at[0]], (np.minimum(band.astype(int), s.bands - 1), place), 1)
+        for dim, found in times.items():
+            band, place = np.nonzero(found)
+            columns = (np.full(len(band), dim), band, place, found[band, place])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["dim", "band", "place", "times"])
+
+    seen = classes.select("label", "dim", "vec").mapInArrow(places, "dim bigint, band bigint, place bigint, times bigint")
+    return seen.groupBy("dim", "band", "place").agg(F.sum("times").alias("times"))
+
+
 def visited(classes: DataFrame, indexes: dict[int, Index], home: bool) -> DataFrame:
     """A row per vector and cell: its own cell if ``home``, else each cell it visits."""
     shared = classes.sparkSession.sparkContext.broadcast(indexes)  # bounded by the codebook size per length

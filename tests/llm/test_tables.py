@@ -154,6 +154,26 @@ def test_near_vectors(spark, settings):
         assert {k: (r["component_id"], r["kept"]) for k, r in out.items()} == {k: (c, c == k) for k, c in reach.items()}
 
 
+def _low_rank(rng, n):
+    """Neighbours differ along the few directions in which all vectors lie."""
+    return rng.normal(size=(n, 4)) @ rng.normal(size=(4, 32)) + 0.01 * rng.normal(size=(n, 32))
+
+
+def _power_law(rng, n):
+    return rng.normal(size=(n, 32)) * np.arange(1, 33) ** -1.5
+
+
+@pytest.mark.parametrize("make", [_low_rank, _power_law])
+def test_recall_where_directions_differ(spark, make):
+    x = make(np.random.default_rng(2), 3000)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum(1) - 1
+    frame = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
+    out = {r["vec_id"]: r["n_links"] for r in near_vectors(frame.repartition(8), settings=Settings(sample=1000)).collect()}
+    assert all(out[k] <= n for k, n in enumerate(links))
+    assert sum(out.values()) >= 0.98 * links.sum() > 0
+
+
 def test_near_vectors_of_nothing(spark):
     frame = spark.createDataFrame(_vectors()[:1], "vec_id bigint, embedding array<float>, label int, cell string").limit(0)
     assert near_vectors(frame).count() == 0
