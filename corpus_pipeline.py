@@ -3,7 +3,7 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor kept;
 all but the last return the columns of ``documents``. An empty ``docs`` gives an
 empty result. Columns beyond those of ``documents`` pass through the stages;
-rows that repeat an id are treated alike.
+every row is judged by its own text, also where ids repeat or are null.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +26,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct()
-    return without_ids(docs, "doc_id", materialize(dropped))
+    """Exactly one row of each group of near-duplicates: that of the smallest id, a null id last.
+
+    Rows are told apart by a number of their own, so repeated rows and copies
+    with a null id are members like any other, and a row that reuses the id
+    of another text belongs to the group of its own text. Of rows with equal ids in
+    a group the one with the smallest hash of its text stays. Texts without words all stay.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    # Stored once: the numbers must be the same wherever they are read.
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-dedup-rows")
+    near = near_duplicates(rows, row).where("n_shingles > 0").select(F.col(row).alias("key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(row).alias("key"))
+    near = materialize(near.join(rows.select(F.col(row).alias("key"), order.alias("place")), "key"))
+    stays = near.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.key").alias("key"))
+    dropped = near.select("key").join(stays, "key", "left_anti")
+    return without_ids(rows, row, materialize(dropped)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,31 @@ def test_pipeline(spark):
     assert whole.columns == packed(docs).columns and {r["doc_id"] for r in whole.select("doc_id").collect()} == {i for i, _ in fourth}
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    long = [" ".join(f"{c}{i}" for i in range(50)) for c in "abcdef"]
+    near = long[2] + " more"
+    rows = [
+        (7, long[0]), (7, long[0]), (None, long[0]),  # loaded twice, and once without its id
+        (None, long[1]), (None, long[1]),  # no id at all
+        (3, long[2]), (4, near), (4, long[3]),  # a dropped id that another text uses
+        (5, long[4]), (5, long[4] + " end"),  # near copies of one id
+        (6, long[5]), (8, None), (8, None), (9, " "),
+    ]
+    docs = [(i, t, "en", "s", len(t or ""), k) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, _row int").repartition(5)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = written(stages["near_dedup"](spark, docs, SF_DIR), "t5")
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    fives = [x for x in found if x[0] == 5]
+    assert kept.columns == docs.columns and len(fives) == 1 and fives[0] in rows
+    expected = [(7, long[0]), (None, long[1]), (3, long[2]), (4, long[3]), (6, long[5]), (8, None), (8, None), (9, " "), *fives]
+    assert found == sorted(expected, key=str)
+    cut = stages["substring_dedup"](spark, kept, SF_DIR).collect()
+    assert sorted(((r["doc_id"], r["text"] or None) for r in cut if (r["text"] or "").strip()), key=str) == sorted(
+        (x for x in expected if (x[1] or "").strip()), key=str
+    )
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
