@@ -60,7 +60,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item; one of fewer than five words must be the whole document."""
     blocks = blocks_of(table(spark, sf_dir, "benchmark"), "item_id", "text", MASKS, 12, BLOCK_CHARS)
     return docs.where(~overlaps_benchmark("text", blocks, spark))
 

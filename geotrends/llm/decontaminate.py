@@ -29,6 +29,8 @@ from geotrends.llm.words import mix, word_hashes
 # Each mask spans 12 words and reads 7; two replaced words in any 24 leave a hit under one of them.
 MASKS = ("110100110101", "101110010011", "111011001001")
 BLOCK_CHARS = 4 << 20
+# An item with fewer words than this is too common to reject a text that only contains it.
+SHORT_WORDS = 5
 OVERLAP = "key bigint, item bigint, doc_start bigint, item_start bigint, n_words bigint, n_matched bigint"
 _DIFFERS = -2
 _TABLE_BITS = 22
@@ -121,6 +123,11 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return a, b, int(same[a:b].sum())
 
 
+def rejects(block: Block, found: dict[int, tuple[int, int, int, int]], n_words: int) -> bool:
+    """Whether the overlaps of a text of ``n_words`` words reject it: an item of ``SHORT_WORDS`` or more, or the whole text."""
+    return any(len(block.words[k]) >= SHORT_WORDS or n == n_words for k, (_, _, n, _) in found.items())
+
+
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...], min_match: int, block_chars: int) -> list[Block]:
     """The benchmark in blocks; each collects at most about ``block_chars`` characters to the driver."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).alias("text")).where("text is not null")
@@ -135,8 +142,8 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, masks: tuple[str
     return out
 
 
-def _found(texts: list, block: Block) -> Iterator[dict]:
-    """The overlaps of each text; hits are searched in many texts at once."""
+def _found(texts: list, block: Block) -> Iterator[tuple[dict, int]]:
+    """The overlaps of each text and its number of words; hits are searched in many texts at once."""
     at = 0
     while at < len(texts):
         hashes, size = [], 0
@@ -154,7 +161,7 @@ def _found(texts: list, block: Block) -> Iterator[dict]:
             for doc in range(first, min(last, len(hashes) - 1) + 1):
                 hits.setdefault(doc, set()).add((k, shift - int(ends[doc] - len(hashes[doc]))))
         for doc, h in enumerate(hashes):
-            yield block.overlaps(h, hits.get(doc, set())) if doc in hits or block.short else {}
+            yield block.overlaps(h, hits.get(doc, set())) if doc in hits or block.short else {}, len(h)
         at += len(hashes)
 
 
@@ -186,7 +193,7 @@ def benchmark_overlaps(
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, rows = batch["key"].to_pylist(), []
-                for key, found in zip(keys, _found(batch["text"].cast(pa.binary()), shared.value)):
+                for key, (found, _) in zip(keys, _found(batch["text"].cast(pa.binary()), shared.value)):
                     rows += [(key, shared.value.ids[k], *place) for k, place in sorted(found.items())]
                 names = ("key", "item", "doc_start", "item_start", "n_words", "n_matched")
                 columns = zip(*rows) if rows else [[]] * len(names)
@@ -198,14 +205,20 @@ def benchmark_overlaps(
 
 
 def overlaps_benchmark(text: Column | str, blocks: list[Block], spark) -> Column:
-    """Whether a text has a verified overlap with an item of any block; false for null and empty texts."""
+    """Whether a text has a verified overlap with an item of any block; false for null and empty texts.
+
+    An item with fewer than ``SHORT_WORDS`` words counts only if it is the
+    whole text: such words stand in many texts that are not contaminated.
+    ``benchmark_overlaps`` lists them all the same.
+    """
     bound_batches(spark)
 
     def judged(shared) -> Column:
         @F.arrow_udf("boolean")
         def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pa.array([bool(x) for x in _found(batch.cast(pa.binary()), shared.value)], pa.bool_())
+                block = shared.value
+                yield pa.array([rejects(block, x, n) for x, n in _found(batch.cast(pa.binary()), block)], pa.bool_())
 
         return found(text)
 

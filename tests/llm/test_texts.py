@@ -125,6 +125,16 @@ def test_decontamination(spark, make_docs, block_chars):
     assert {r[0] for r in flagged} == {d for d, _ in expected}
 
 
+def test_very_short_items_reject_whole_texts_only(spark, make_docs):
+    items = spark.createDataFrame([(1, "the"), (2, "in the"), (3, "one two three four five")], "item_id bigint, text string")
+    texts = ["This is the end", "cats in the house", "The!", "IN  the", "in the the", "zero one two three four five six", None, ""]
+    blocks = blocks_of(items, "item_id", "text", MASKS, 12, 4 << 20)
+    flagged = make_docs(texts).where(overlaps_benchmark("text", blocks, spark)).select("doc_id").collect()
+    assert {r[0] for r in flagged} == {2, 3, 5}
+    found = {(r["doc_id"], r["item_id"]) for r in benchmark_overlaps(make_docs(texts), items).collect()}
+    assert found == {(0, 1), (1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (5, 3)}
+
+
 def test_decontamination_edges(spark, make_docs):
     nothing = _benchmark(spark).where("false")
     assert benchmark_overlaps(make_docs(["a b"]), nothing).count() == 0
