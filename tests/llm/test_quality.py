@@ -52,3 +52,8 @@ def test_held_out_labels_have_no_effect(spark, tmp_path):
     a = quality_scores(spark, docs, sf).select("doc_id", "quality_score").collect()
     b = quality_scores(spark, docs, str(tmp_path)).select("doc_id", "quality_score").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_training_bound():
+    """The bound that README states."""
+    assert Settings().max_rows == 20_000
