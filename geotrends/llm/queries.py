@@ -16,6 +16,9 @@ MODULES = [
     "q_url_rules",
     "q_near_dups",
     "q_repeats",
+    "q_main_text",
+    "q_lloyd",
+    "q_collocations",
 ]
 
 for _name in MODULES:

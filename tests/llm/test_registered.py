@@ -30,7 +30,7 @@ def test_query_matches_sql(spark, name):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in LLM_QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in LLM_QUERIES
 
 
 def test_pipeline(spark):
