@@ -30,7 +30,7 @@ LONGEST = 4  # words of a phrase: their 16-bit ids make up a 64-bit key
 _BITS = 26  # of the bitmap's size
 _BUCKET = 32768  # bits of one row of the bitmap, as Spark's bitmap functions have it
 _BURST = 4096  # phrases of a hash table
-_HELD = 400_000  # phrases that a task holds
+_HELD = 1_000_000  # phrases that a task holds
 _MOST_WORDS = 500_000  # distinct words that a task remembers for a language
 _COUNTED = "lang string, phrase string, times bigint"
 # One byte for each end of a piece, a blank for a tab.
@@ -111,8 +111,8 @@ def _reversed16(n: np.ndarray) -> np.ndarray:
     return ((n & 0x00FF) << 8) | (n >> 8)
 
 
-def lang_hash(lang: str) -> np.uint64:
-    return np.uint64(xxh3_64_intdigest(lang.encode()))
+def lang_salt(lang: str) -> int:
+    return xxh3_64_intdigest(lang.encode())
 
 
 def _positions(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,19 +127,19 @@ def _pair_hashes(h: np.ndarray) -> np.ndarray:
 class _Known(dict):
     """Numbers of frequent words from 1 on; 0 for others and for the end of a piece."""
 
-    def __init__(self, lang: str, frequent: np.ndarray):
-        self.salt, self.frequent = lang_hash(lang), frequent
+    def __init__(self, lang: str, frequent: bytes):
+        self.salt, self.frequent = lang_salt(lang), frequent
         self.words: list[bytes] = [b""]
         self.hashes: list[int] = [0]
         self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
-        h = mix(np.array([xxh3_64_intdigest(word)], np.uint64) ^ self.salt)
-        number = 0
-        if _holds(self.frequent, h)[0]:
+        h, number = xxh3_64_intdigest(word, self.salt), 0
+        a, b = h >> (64 - _BITS), h & ((1 << _BITS) - 1)
+        if self.frequent[a >> 3] >> (a & 7) & self.frequent[b >> 3] >> (b & 7) & 1:
             number = len(self.words)
             self.words.append(word)
-            self.hashes.append(int(h[0]))
+            self.hashes.append(h)
         self[word] = number
         return number
 
@@ -152,7 +152,7 @@ def _holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 class _Phrases:
     """The phrases of one language in a task."""
 
-    def __init__(self, lang: str, frequent: np.ndarray, pairs: np.ndarray | None):
+    def __init__(self, lang: str, frequent: bytes, pairs: np.ndarray | None):
         self.lang, self.frequent, self.pairs = lang, frequent, pairs
         self.known, self.trie = _Known(lang, frequent), HatTrie()
 
@@ -191,14 +191,14 @@ class _Phrases:
 
     def spill(self) -> Iterator[pa.RecordBatch]:
         keys, times = self.trie.spill()
-        words = pa.array(self.known.words, pa.binary())
+        words = self.known.words
         for at in range(0, len(keys), 50_000):
             part = keys[at : at + 50_000]
             ids = [_reversed16(((part >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)).astype(np.int64)) for k in range(LONGEST)]
-            phrases = words.take(pa.array(ids[0])).to_pylist()
-            for column in ids[1:]:
-                more = words.take(pa.array(column)).to_pylist()
-                phrases = [p + b" " + w if w else p for p, w in zip(phrases, more)]
+            phrases = [words[a] + b" " + words[b] for a, b in zip(ids[0].tolist(), ids[1].tolist())]
+            for column in ids[2:]:
+                if column.any():
+                    phrases = [p + b" " + words[w] if w else p for p, w in zip(phrases, column.tolist())]
             yield _rows(self.lang, pa.array(phrases, pa.binary()), times[at : at + 50_000])
 
     def drain(self) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,8 @@ def _bitmap(frequent: DataFrame) -> np.ndarray:
         for batch in batches:
             out = []
             for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].cast(pa.binary()).to_pylist()):
-                h = mix(np.array([xxh3_64_intdigest(w) for w in phrase.split(b" ")], np.uint64) ^ lang_hash(lang))
+                salt = lang_salt(lang)
+                h = np.array([xxh3_64_intdigest(w, salt) for w in phrase.split(b" ")], np.uint64)
                 out += [_pair_hashes(h) if len(h) > 1 else h]
             if out:
                 bits = np.concatenate(_positions(np.concatenate(out)))
@@ -295,7 +296,7 @@ def frequent_phrases(docs: DataFrame, least: int, text_col: str = "text", lang_c
 
         return texts.mapInArrow(count, _COUNTED)
 
-    frequent = _bitmap(words.where("phrase is not null"))
+    frequent = _bitmap(words.where("phrase is not null")).tobytes()
     pairs = _merged(counted(frequent, None), least, "frequent-pairs")
     longer = _merged(counted(frequent, _bitmap(pairs)), least, "frequent-phrases")
     return words.unionByName(pairs).unionByName(longer)

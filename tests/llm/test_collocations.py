@@ -90,7 +90,7 @@ def test_runs_while_counting(monkeypatch):
     monkeypatch.setattr(c, "_MOST_WORDS", 12)
     full = np.full((1 << c._BITS) // 8, 255, np.uint8)
     texts = [t.encode() for t, lang in _rows() if t and lang == "en"]
-    phrases, found = c._Phrases("en", full, full), Counter()
+    phrases, found = c._Phrases("en", full.tobytes(), full), Counter()
     for text in texts:
         for batch in phrases.add([text]):
             for p, n in zip(batch["phrase"].to_pylist(), batch["times"].to_pylist()):
