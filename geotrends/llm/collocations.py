@@ -6,8 +6,8 @@ and four words whose pairs are frequent. Within a task the phrases of a
 language live in a trie over word ids with a few levels of 16-way nodes and
 hash tables below; a table that grows too large bursts into a node. When a
 task holds too many phrases, the largest subtree below the root is spilled: it
-leaves the task as a sorted run of rows (language, phrase, count). The runs are
-partitioned by the prefix of their phrases (up to three words) and merged there.
+leaves the task as a sorted run of rows (language, prefix of up to three words,
+last word, count). The runs are partitioned by prefix and merged there.
 
 Which parts are frequent is told to the tasks by a bitmap of a fixed number of
 bits, made where the counts are. A false bit only lets a rare phrase be
@@ -16,9 +16,11 @@ counted; its count then drops it. All counts are exact.
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -32,7 +34,7 @@ _BUCKET = 32768  # bits of one row of the bitmap, as Spark's bitmap functions ha
 _BURST = 4096  # phrases of a hash table
 _HELD = 1_000_000  # phrases that a task holds
 _MOST_WORDS = 500_000  # distinct words that a task remembers for a language
-_COUNTED = "lang string, phrase string, times bigint"
+_COUNTED = "lang string, prefix string, last string, times bigint"
 # One byte for each end of a piece, a blank for a tab.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
 
@@ -42,11 +44,10 @@ def pieces_and_words(texts: list[bytes]) -> list[bytes]:
     return b".".join(texts).translate(_PLAIN).replace(b".", b" . ").split()
 
 
-def _rows(lang: str, phrases: pa.Array, times: np.ndarray) -> pa.RecordBatch:
-    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), pa.array([lang])).dictionary_decode()
-    return pa.RecordBatch.from_arrays(
-        [langs, phrases.cast(pa.string(), safe=False), pa.array(times, pa.int64())], ["lang", "phrase", "times"]
-    )
+def _rows(lang: str, prefixes: pa.Array, last: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(prefixes), np.int32)), pa.array([lang])).dictionary_decode()
+    texts = [x.cast(pa.string(), safe=False) for x in (prefixes, last)]
+    return pa.RecordBatch.from_arrays([langs, *texts, pa.array(times, pa.int64())], ["lang", "prefix", "last", "times"])
 
 
 class HatTrie:
@@ -67,8 +68,8 @@ class HatTrie:
             if start < end:
                 leaf = self.leaves[at]
                 before, get = len(leaf), leaf.get
-                for k in range(start, end):
-                    leaf[listed[k]] = get(listed[k], 0) + counted[k]
+                for key, n in zip(listed[start:end], counted[start:end]):
+                    leaf[key] = get(key, 0) + n
                 self.size += len(leaf) - before
                 if len(leaf) > _BURST:
                     full.append(at)
@@ -96,11 +97,14 @@ class HatTrie:
         tops = (self.starts >> np.uint64(60)).astype(int)
         sizes = np.bincount(tops, [len(x) for x in self.leaves], 16)
         which = np.flatnonzero(tops == sizes.argmax()) if len(self.leaves) > 1 else np.array([0])
-        run = sorted(item for at in which for item in self.leaves[at].items())
+        size = sum(len(self.leaves[at]) for at in which)
+        keys = np.fromiter(chain.from_iterable(self.leaves[at] for at in which), np.uint64, size)
+        times = np.fromiter(chain.from_iterable(self.leaves[at].values() for at in which), np.int64, size)
         for at in which:
             self.leaves[at] = {}
-        self.size -= len(run)
-        return np.array([k for k, _ in run], np.uint64), np.array([n for _, n in run], np.int64)
+        self.size -= size
+        order = np.argsort(keys)
+        return keys[order], times[order]
 
 
 def _reversed16(n: np.ndarray) -> np.ndarray:
@@ -190,16 +194,16 @@ class _Phrases:
         self.trie.add(*np.unique(np.concatenate(keys), return_counts=True))
 
     def spill(self) -> Iterator[pa.RecordBatch]:
+        """A run of rows: of pairs the prefix is all, of longer phrases the first three words."""
         keys, times = self.trie.spill()
-        words = self.known.words
+        words = pa.array(self.known.words, pa.binary())
+        shown = 2 if self.pairs is None else 3
         for at in range(0, len(keys), 50_000):
             part = keys[at : at + 50_000]
             ids = [_reversed16(((part >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)).astype(np.int64)) for k in range(LONGEST)]
-            phrases = [words[a] + b" " + words[b] for a, b in zip(ids[0].tolist(), ids[1].tolist())]
-            for column in ids[2:]:
-                if column.any():
-                    phrases = [p + b" " + words[w] if w else p for p, w in zip(phrases, column.tolist())]
-            yield _rows(self.lang, pa.array(phrases, pa.binary()), times[at : at + 50_000])
+            prefixes = pc.binary_join_element_wise(*[words.take(pa.array(x)) for x in ids[:shown]], b" ")
+            last = words.take(pa.array(ids[3], mask=ids[3] == 0))
+            yield _rows(self.lang, prefixes, last, times[at : at + 50_000])
 
     def drain(self) -> Iterator[pa.RecordBatch]:
         while self.trie.size:
@@ -221,7 +225,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
             counts.pop(b".", None)
             ordered = sorted(counts)
-            yield _rows(lang, pa.array([*ordered, None], pa.binary()), np.array([*map(counts.get, ordered), counts.total()]))
+            words = pa.array([*ordered, None], pa.binary())
+            yield _rows(lang, words, pa.nulls(len(words), pa.binary()), np.array([*map(counts.get, ordered), counts.total()]))
         held.clear()
 
     for batch in batches:
@@ -235,11 +240,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merged(runs: DataFrame, least: int, kind: str) -> DataFrame:
     """Sums per (lang, phrase) of at least ``least``; rows without a phrase stay.
 
-    The runs meet in partitions by the first three words of their phrases.
+    The runs meet in partitions by the prefixes of their phrases.
     """
-    prefixed = runs.withColumn("prefix", F.substring_index("phrase", " ", LONGEST - 1))
-    summed = prefixed.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("times").alias("times"))
-    return written(summed.where(F.col("phrase").isNull() | (F.col("times") >= least)).drop("prefix"), kind)
+    summed = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "last").agg(F.sum("times").alias("times"))
+    frequent = summed.where(F.col("prefix").isNull() | (F.col("times") >= least))
+    phrase = F.when(F.col("last").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit(" "), "last"))
+    return written(frequent.select("lang", phrase.alias("phrase"), "times"), kind)
 
 
 def _bitmap(frequent: DataFrame) -> np.ndarray:

@@ -91,17 +91,17 @@ def test_runs_while_counting(monkeypatch):
     full = np.full((1 << c._BITS) // 8, 255, np.uint8)
     texts = [t.encode() for t, lang in _rows() if t and lang == "en"]
     phrases, found = c._Phrases("en", full.tobytes(), full), Counter()
+
+    def take(batches):
+        for batch in batches:
+            for prefix, last, n in zip(*(batch[x].to_pylist() for x in ("prefix", "last", "times"))):
+                found[prefix if last is None else f"{prefix} {last}"] += n
+
     for text in texts:
-        for batch in phrases.add([text]):
-            for p, n in zip(batch["phrase"].to_pylist(), batch["times"].to_pylist()):
-                found[p] += n
+        take(phrases.add([text]))
         if phrases.trie.size > 50:
-            for batch in phrases.spill():
-                for p, n in zip(batch["phrase"].to_pylist(), batch["times"].to_pylist()):
-                    found[p] += n
-    for batch in phrases.drain():
-        for p, n in zip(batch["phrase"].to_pylist(), batch["times"].to_pylist()):
-            found[p] += n
+            take(phrases.spill())
+    take(phrases.drain())
     plain = Counter()
     for text in texts:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.decode().translate(LOWER)):
