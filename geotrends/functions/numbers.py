@@ -1,5 +1,7 @@
 """Number functions: display text, ratios, growth and exact sums."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ _SPLIT = float(2**27 + 1)
 _LONG = 2.0**63
 
 
+def _seldom(c: Column, text: Callable[[Column], Column]) -> Column:
+    """``text(c)`` for rare values, kept out of the generated code.
+
+    A method of generated code may have 64 KB; the rare forms of two columns
+    alone would pass that and switch code generation off for the whole stage. As
+    the body of a lambda they are evaluated for the rows that need them only.
+    """
+    return F.element_at(F.transform(F.array(c), text), 1)
+
+
 def _two_decimals(q: Column) -> Column:
     """Text of a positive ``q`` with two decimals, rounded by its exact binary value.
 
@@ -24,7 +36,12 @@ def _two_decimals(q: Column) -> Column:
     nudge = F.when(product - F.floor(product) == 0.5, F.signum(error) * 0.25).otherwise(0.0)
     hundredths = F.rint(product + nudge).cast("bigint").cast("decimal(18,0)")
     short = (hundredths * F.lit("0.01").cast("decimal(2,2)")).cast("string")
-    # Beyond 2^46 the hundredths are not exact, but whole part and fraction are by themselves.
+    # Beyond 2^46 the hundredths are not exact.
+    return F.when(q < 2.0**46, short).otherwise(_seldom(q, _large_with_decimals))
+
+
+def _large_with_decimals(q: Column) -> Column:
+    # Whole part and fraction are exact by themselves.
     whole = F.when(q < _LONG, q).cast("bigint")
     cents = F.rint((q - whole) * 100).cast("int").cast("string")
     long = F.concat(whole.cast("string"), F.lit("."), F.lpad(cents, 2, "0"))
@@ -33,11 +50,17 @@ def _two_decimals(q: Column) -> Column:
     lower = (q - upper * _LONG).cast("bigint").cast("decimal(20,0)")
     bits = (upper.cast("decimal(16,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + lower).cast("decimal(38,0)")
     huge = F.concat(bits.cast("string"), F.lit(".00"))
-    return F.when(q < 2.0**46, short).when(q < _LONG, long).otherwise(F.coalesce(huge, F.format_string("%.2f", q)))
+    return F.when(q < _LONG, long).otherwise(F.coalesce(huge, F.format_string("%.2f", q)))
 
 
 def _plain_text(c: Column) -> Column:
     """Text of a number: a plain decimal, and with an exponent below 1e-4 and from 1e16 on."""
+    text = c.cast("string")
+    usual = (F.abs(c) < 1e7) & ((F.abs(c) >= 1e-3) | (c == 0))
+    return F.when(usual, text).otherwise(_seldom(c, _long_text))
+
+
+def _long_text(c: Column) -> Column:
     text = F.replace(c.cast("string"), F.lit("Infinity"), F.lit("inf"))
     digits = F.rtrim(text.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
     plain = F.regexp_replace(digits, r"\.$", ".0")
@@ -98,32 +121,47 @@ def human_number(c: Column) -> Column:
     return number_text(c, scale, c / scale["size"])
 
 
+# Limbs of 28 bits from 2^-84 up to 2^112: a 64-bit sum of one holds 6 x 10^10 rows at its largest.
+_LIMB = 28
+_LIMBS = range(-3, 4)
+_LEAST, _MOST = 2.0 ** (_LIMB * _LIMBS[0]), 2.0 ** (_LIMB * (_LIMBS[-1] + 1))
+
+
 def money_sum(c: Column) -> Column:
-    """Exact sum of an amount, as a double.
-
-    Adding doubles gives a result that depends on the order of the rows, which
-    a shuffle does not fix. Each amount is cut into whole ten-thousands, the
-    whole cents of the rest and what is left below a cent, in steps of 1e-9
-    and 1e-17: all 64-bit, so the map side stays about as fast as a plain sum.
-    A rest below the rounding unit of the amount itself is none, so amounts in whole
-    cents stay exact. NaN does not count; infinite and very large amounts are
-    added as doubles.
+    """Sum of doubles that does not depend on the order of the rows.
+
+    Adding doubles gives a result that does, which a shuffle does not fix. A
+    number below 2^43 that is the double next to a whole number of cents counts as
+    those cents, and their sum is that of decimals. Every other number counts by its
+    binary value, cut into signed 28-bit limbs from 2^112 down to 2^-84, each
+    summed exactly in 64 bits; the sums are added at the end, from the lowest up, so the
+    result lies within a unit of its last place. Only what is outside (numbers
+    from 2^112 on, bits below 2^-84) is added as doubles. NaN does not count;
+    infinite values make the sum infinite or NaN.
     """
     x = c.cast("double")
-    usual = F.when(F.abs(x) < 1e22, x)
-    ten_thousands = F.floor(usual / 1e4)
-    within = usual - ten_thousands * 1e4
-    cents = F.rint(within * 100)
-    left = within - cents / 100
-    rest = F.when(F.abs(left) > F.abs(usual) * 2.0**-52, left).otherwise(0.0)
-    coarse = F.rint(rest * 1e9)
-    fine = F.rint((rest - coarse / 1e9) * 1e17)
-    high = F.sum(ten_thousands).cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)")
-    low = F.sum(cents.cast("bigint")).cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")
-    below = F.sum(coarse.cast("bigint")) / F.lit(1e9) + F.sum(fine.cast("bigint")) / F.lit(1e17)
-    parts = (high + low).cast("double") + below
-    others = F.sum(F.when((F.abs(x) >= 1e22) & ~F.isnan(x), x))
-    return F.when(others.isNull(), parts).otherwise(F.coalesce(parts, F.lit(0.0)) + others)
+    cents, size = F.rint(x * 100), F.abs(x)
+    is_money = (size < 2.0**43) & (cents / 100 == x)
+    high = F.floor(cents / 1e6)
+    high_sum = F.sum(F.when(is_money, high)).cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)")
+    low_sum = F.sum(F.when(is_money, (cents - high * 1e6).cast("bigint"))).cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")
+    money = (high_sum + low_sum).cast("double")
+    other = ~is_money & (size < _MOST)
+    base, above = F.lit(2.0**_LIMB), None
+    outside = F.when(other, x - F.rint(x / _LEAST) * _LEAST).when(~is_money & ~F.isnan(x), x)
+    binary = F.sum(F.when(outside != 0, outside))
+    for k in reversed(_LIMBS):
+        # What rounding to the limb above leaves, as a whole number.
+        own = F.rint(x * 2.0 ** (-_LIMB * k))
+        limb = F.sum(F.when(other, (own if above is None else own - above * base).cast("bigint")))
+        above = own
+        parts = [limb] if k == _LIMBS[-1] else [*parts, limb]
+    total = None
+    for k, limb in zip(_LIMBS, reversed(parts)):
+        part = limb * F.lit(2.0 ** (_LIMB * k))
+        total = part if total is None else total + part
+    others = F.when(total.isNull(), binary).otherwise(total + F.coalesce(binary, F.lit(0.0)))
+    return F.when(others.isNull(), money).otherwise(F.coalesce(money, F.lit(0.0)) + others)
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

@@ -144,14 +144,17 @@ def _exploded(raw: DataFrame, x: Extractor) -> DataFrame:
     """One row per element: path keys, ``_position``, ``_element`` and ``_complete``.
 
     The state name is cleaned here, once per document. The check looks at the
-    names as read, so that the filter on it stays cheap.
+    names as read, so that the filter on it stays cheap. A document without
+    keys has no elements.
     """
     _, keyed = DOCUMENT_NODES[x.entity][x.node]
     explode = F.explode if keyed else F.posexplode
     keys = [F.col(PATH)]
     if not x.country:
         keys += [canonical_state(F.col("state")).alias("state"), F.col("year"), F.col("quarter")]
-    rows = raw.filter(_has_keys(x)).select(*keys, explode(_node(x)).alias("_position", "_element"))
+    # No filter on the keys: it would be moved below them and take them from the path again.
+    documents = raw.select(*keys, F.when(_has_keys(x), _node(x)).alias("_node"))
+    rows = documents.select(*[c for c in documents.columns if c != "_node"], explode("_node").alias("_position", "_element"))
     complete = F.lit(True)
     for c in x.fields(F.col("_position"), F.col("_element")).values():
         complete = complete & c.isNotNull()

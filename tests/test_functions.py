@@ -139,6 +139,53 @@ def test_sums_keep_every_digit(spark):
         assert found[k] == (expected if expected is None else pytest.approx(expected, rel=1e-12))
 
 
+def _sums(spark, cases):
+    rows = [(k, v) for k, values in cases.items() for v in values]
+    out = spark.createDataFrame(rows, "k string, x double").repartition(5).groupBy("k").agg(money_sum(F.col("x")).alias("s"))
+    return {r.k: r.s for r in out.collect()}
+
+
+def test_sums_over_the_range_of_doubles(spark):
+    """Numbers that are no whole cents sum to what an exact sum rounds to."""
+    rng = random.Random(11)
+
+    def spread(low, high, n):
+        numbers = [rng.choice([-1, 1]) * 2.0 ** rng.uniform(low, high) for _ in range(n)]
+        return [x for x in numbers if round(x * 100) / 100 != x or abs(x) >= 2.0**43]
+
+    cases = {
+        "squares": [3e10**2] * 200,
+        "twelve": [9e21] * 12,
+        "apart": [1e300, 1e-300],
+        "tiny": [4e-18] * 1000,
+        "tinier": [1e-20] * 3,
+        "third": [1 / 3] * 999,
+        "gone": [2.0**100, 2.0**-80, -(2.0**100)],
+        "large": [1e30, 1.5, -1e30],
+        "halves": [2.0**53 + 2, 1.0, 2.0**-60],
+        "minus": [-(3.7e11**2)] * 77 + [1e-9],
+        "zero": [1 / 3, -1 / 3],
+        **{f"random {i}": spread(-30, 110, 300) for i in range(20)},
+        **{f"near {i}": spread(-5, 40, 500) for i in range(20)},
+        **{f"small {i}": spread(-70, -30, 200) for i in range(10)},
+        **{f"huge {i}": spread(60, 111, 200) for i in range(10)},
+    }
+    found = _sums(spark, cases)
+    exact = {k: math.fsum(v) for k, v in cases.items()}
+    assert {k: found[k] for k in cases if " " not in k and found[k] != exact[k]} == {}
+    assert {k: found[k] for k in cases if abs(found[k] - exact[k]) > math.ulp(exact[k])} == {}
+    again = _sums(spark, {k: v[::-1] for k, v in cases.items()})
+    assert again == found
+
+
+def test_sums_of_cents_are_decimal(spark):
+    cents = {f"{n}": [round(random.Random(n).uniform(-1e9, 1e9) * 100) for _ in range(n)] for n in (1, 10, 1000)}
+    found = _sums(spark, {k: [c / 100 for c in v] for k, v in cents.items()})
+    assert found == {k: sum(v) / 100 for k, v in cents.items()}
+    large = [8.7e12] * 3000 + [0.01]
+    assert _sums(spark, {"x": large})["x"] == (870_000_000_000_000 * 3000 + 1) / 100
+
+
 def test_title_case_keeps_control_characters(spark):
     df = column(spark, ["a\u0001 b", "\u0001c", "x\u0001\u0002y z", "\u0001 \u0001 d-e"], "string")
     assert values_of(df.select(title_case(F.col("x")))) == ["A\u0001 B", "\u0001C", "X\u0001\u0002Y Z", "\u0001 \u0001 D-E"]

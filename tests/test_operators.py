@@ -125,6 +125,31 @@ def test_hierarchy_children_sum_to_their_parent(tables):
             assert all(math.isclose(s, 1.0) for s in sums.values())
 
 
+def test_hierarchy_of_large_amounts(spark):
+    rows = [("a", f"d{i % 7}", 3e10) for i in range(200)] + [("b", "d0", 2.5e-7), ("b", "d0", 1e12 + 1 / 3)]
+    df = spark.createDataFrame(rows, "s string, d string, v double").repartition(5)
+    nodes = {(n.level, n.s, n.d): n for n in hierarchy_rollup(df, ["s", "d"], "v").collect()}
+    of = lambda s: [v for x, _, v in rows if s in (None, x)]
+    for key, s in (((0, None, None), None), ((1, "a", None), "a"), ((1, "b", None), "b")):
+        value = math.fsum(of(s))
+        assert nodes[key].value == pytest.approx(value, rel=1e-15)
+        assert nodes[key].weighted == pytest.approx(math.fsum(v * v for v in of(s)) / value, rel=1e-14)
+
+
+def test_hierarchy_reads_its_rows_once(spark, tmp_path):
+    from geotrends.operators.hierarchy import _nodes
+
+    path = str(tmp_path / "rows.parquet")
+    spark.range(50).selectExpr("id % 3 as a", "id % 5 as b", "id % 2 as c", "id / 7 as v").write.parquet(path)
+    nodes = _nodes(spark.read.parquet(path), ["a", "b", "c"], "v")
+    nodes.collect()
+    plan = nodes._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("Expand") == 1
+    assert hierarchy_rollup(spark.read.parquet(path).limit(0), ["a", "b", "c"], "v").count() == 0
+    one = hierarchy_rollup(spark.read.parquet(path), ["a"], "v").collect()
+    assert sorted((r.level, r.a) for r in one if r.a is not None) == [(1, 0), (1, 1), (1, 2)] and len(one) == 4
+
+
 def test_hierarchy_keeps_null_keys_apart_from_totals(spark):
     df = spark.createDataFrame([("a", None, 2), ("a", "x", 3), (None, "y", 5)], "s string, d string, v bigint")
     nodes = {(n.level, n.s, n.d): (n.value, n.pct_parent) for n in hierarchy_rollup(df, ["s", "d"], "v").collect()}

@@ -421,16 +421,15 @@ def _(t):
 # --- hierarchies -------------------------------------------------------------
 
 
-def hierarchy_sql(path: list[str], source: str) -> str:
-    """Rollup with shares; the parent of a node is the node one key shorter."""
+def hierarchy_sql(path: list[str], source: str, value: str, square: str) -> str:
+    """Rollup with shares; the parent of a node is the node one key shorter. ``value`` and ``square`` are sums."""
     n = len(path)
     keys = ", ".join(path)
     match = " AND ".join(
         f"p.{c} IS NOT DISTINCT FROM CASE WHEN c.level > {i} THEN c.{c} END" for i, c in enumerate(path, start=1)
     )
-    return f"""WITH nodes AS (SELECT {n} - bit_count(GROUPING({keys})) AS level, {keys},
-      CAST(sum(transaction_count) AS BIGINT) AS value,
-      CAST(sum(transaction_count * transaction_count) AS DOUBLE) / nullif(CAST(sum(transaction_count) AS DOUBLE), 0) AS weighted
+    return f"""WITH nodes AS (SELECT {n} - bit_count(GROUPING({keys})) AS level, {keys}, {value} AS value,
+      CAST({square} AS DOUBLE) / nullif(CAST({value} AS DOUBLE), 0) AS weighted
       FROM {source} GROUP BY ROLLUP ({keys}))
     SELECT CAST(c.level AS INTEGER) AS level, {", ".join(f"c.{k}" for k in path)}, c.value, c.weighted,
       c.value / CAST(CASE WHEN c.level = 0 THEN c.value ELSE p.value END AS DOUBLE) AS pct_parent,
@@ -438,8 +437,12 @@ def hierarchy_sql(path: list[str], source: str) -> str:
     FROM nodes c LEFT JOIN nodes p ON p.level = c.level - 1 AND {match}"""
 
 
-def _hierarchy(path, where=""):
-    body = hierarchy_sql(path, f"(SELECT * FROM map_transaction {where})")
+_COUNTS = ("CAST(sum(transaction_count) AS BIGINT)", "sum(transaction_count * transaction_count)")
+_CENTS = "CAST(transaction_amount AS DECIMAL(18,2))"
+
+
+def _hierarchy(path, where="", sums=_COUNTS):
+    body = hierarchy_sql(path, f"(SELECT * FROM map_transaction {where})", *sums)
     # The nodes join the other CTEs.
     nodes, rest = body.removeprefix("WITH nodes AS (").split("\n    SELECT CAST(c.level", 1)
     return over("map_transaction", "SELECT CAST(c.level" + rest, nodes=nodes.rstrip()[:-1])
@@ -453,6 +456,16 @@ def _(t):
     return hierarchy_rollup(t.map_transaction, _FULL_PATH, "transaction_count")
 
 
+# Squares of amounts differ in their last digits between decimals and doubles.
+_AMOUNTS = _hierarchy(_FULL_PATH, sums=(money_sql("transaction_amount"), f"sum({_CENTS} * {_CENTS})"))
+
+
+@query("agg28_hierarchy_of_amount", _AMOUNTS.replace("c.value, c.weighted", "c.value, round(c.weighted, 3) AS weighted"))
+def _(t):
+    nodes = hierarchy_rollup(t.map_transaction, _FULL_PATH, "transaction_amount")
+    return nodes.withColumn("weighted", F.round("weighted", 3))
+
+
 @query("agg29_hierarchy_of_district", _hierarchy(_FULL_PATH[1:], f"WHERE state = '{STATE}'"))
 def _(t):
     return hierarchy_rollup(t.map_transaction.filter(F.col("state") == STATE), _FULL_PATH[1:], "transaction_count")
