@@ -29,7 +29,7 @@ from geotrends.llm.shared_store import bound_batches, written
 # than the tokenizer does, which only leaves some pieces longer.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _BLOCK_CHARS = 1 << 20
-_MOST_PIECES = 500_000
+_MOST_PIECES = 1_500_000
 _JOINED = 1000
 
 
@@ -56,28 +56,34 @@ class Pieces:
         self.odd = np.empty(0, bool)
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts in one row, and where each text ends in it."""
         if len(self.odd) > _MOST_PIECES:
             self._reset()
-        numbers = []
-        for text in texts:
-            parts = (text or "").split(" ")
-            found = [self.whole[parts[0]], *map(self.inner.__getitem__, parts[1:])] if text else []
-            numbers.append(np.array(found, np.int64))
+        parts = [text.split(" ") if text else [] for text in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(counts)
+        # Through the few pieces of this block: looking each place up among all known ones misses the processor's caches.
+        block = dict.fromkeys(chain.from_iterable(parts))
+        block.update(zip(block, map(self.inner.__getitem__, block)))
+        numbers = np.fromiter(map(block.__getitem__, chain.from_iterable(parts)), np.int32, int(ends[-1]) if len(ends) else 0)
+        heads = np.flatnonzero(counts)
+        for k, at in zip(heads.tolist(), (ends - counts)[heads].tolist()):
+            numbers[at] = self.whole[parts[k][0]]  # no blank stands before the first one
         self._encode_new()
-        for k, text in enumerate(texts):
-            if text and self.odd[numbers[k]].any():  # blanks side by side
-                numbers[k] = np.array([self.whole[p] for p in _CUT.split(text)], np.int64)
-        self._encode_new()
-        lengths = np.diff(self.starts)
-        out = []
-        for found in numbers:
-            size = lengths[found]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.arange(total) + np.repeat(self.starts[found] - (ends - size), size)
-            out.append(self.flat[at])
-        return out
+        odd = self.odd[numbers]
+        if odd.any():  # blanks side by side
+            rows = np.split(numbers, ends[:-1])
+            for k in np.unique(np.searchsorted(ends, np.flatnonzero(odd), "right")).tolist():
+                rows[k] = np.array([self.whole[p] for p in _CUT.split(texts[k])], np.int32)
+            self._encode_new()
+            numbers = np.concatenate(rows)
+            ends = np.cumsum([len(r) for r in rows])
+        sizes = np.diff(self.starts)[numbers]
+        token_ends = np.cumsum(sizes)
+        total = int(token_ends[-1]) if len(token_ends) else 0
+        at = np.arange(total) + np.repeat(self.starts[numbers] - (token_ends - sizes), sizes)
+        return self.flat[at], np.concatenate([[0], token_ends])[ends]
 
     def _encode_new(self) -> None:
         """Ids of the new pieces. Those that stand between single blanks are encoded as one text
@@ -108,6 +114,16 @@ class Pieces:
         self.new, self.apart = [], []
 
 
+_PIECES: dict[str, Pieces] = {}
+
+
+def pieces_of(path: str) -> Pieces:
+    """One per Python worker and tokenizer: partitions after the first find the tokenizer read and most pieces known."""
+    if path not in _PIECES:
+        _PIECES[path] = Pieces(path)
+    return _PIECES[path]
+
+
 class _Numbers(dict):
     """Numbers the pieces it is asked for; ``lead`` stands before each of them."""
 
@@ -218,7 +234,7 @@ def pack(
     """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(tokenizer)
+        pieces = pieces_of(tokenizer)
         packer = Packer(window, max_open, min_cut, TaskContext.get().partitionId() * _SPAN)
         held: dict[int, list[tuple]] = {}  # rows of open windows
         for batch in batches:
@@ -229,12 +245,16 @@ def pack(
                 while at + len(block) < len(keys) and (not block or chars < _BLOCK_CHARS):
                     block.append(column[at + len(block)].as_py())
                     chars += len(block[-1] or "")
-                done = []
-                for key, ids in zip(keys[at : at + len(block)], pieces.encode(block)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for s, n, number, offset in packer.place(len(ids)):
-                        row = (key, s, n, ids[s : s + n].tobytes(), len(ids), number, offset, 0)
+                done, begin = [], 0
+                ids, ends = pieces.encode(block)
+                # The last id of each document stands after its own ones.
+                ids = np.insert(ids, ends, np.uint32(end_id)).astype("<u4", copy=False)
+                for key, end in zip(keys[at : at + len(block)], (ends + np.arange(1, len(ends) + 1)).tolist()):
+                    size = end - begin
+                    for s, n, number, offset in packer.place(size):
+                        row = (key, s, n, ids[begin + s : begin + s + n].tobytes(), size, number, offset, 0)
                         held.setdefault(number, []).append(row)
+                    begin = end
                     for number in packer.closed:
                         done += held.pop(number)
                     packer.closed.clear()
