@@ -8,8 +8,8 @@ The windows still open at the end of a partition are leftovers: they are merged
 in groups of a fixed number of partitions, so no task ever gets all of them.
 
 Token ids come from a public tokenizer. Its splitting pattern never joins two
-words over a blank that stands between two non-blanks, so each text is cut
-there and each distinct piece is encoded once per batch of texts.
+words over a blank or line end that stands between two non-blanks, so each text
+is cut there and each distinct piece is encoded once, as long as it is remembered.
 """
 
 import os
@@ -28,8 +28,10 @@ from geotrends.llm.shared_store import bound_batches, written
 # Before a blank between two non-blanks. Python counts more characters as blank
 # than the tokenizer does, which only leaves some pieces longer.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_WORD = re.compile(r" [A-Za-z]+[,.;:!?]?\Z")
+_BLANK = "\u0120"  # how a byte-level model writes a blank
 _BLOCK_CHARS = 1 << 20
-_MOST_PIECES = 1_500_000
+_MOST_PIECES = 500_000
 _JOINED = 1000
 
 
@@ -47,6 +49,8 @@ class Pieces:
         self.size_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.size_of[number] = len(token)
+        self.model = self.tokenizer.model
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",.;:!?"}
         self._reset()
 
     def _reset(self) -> None:
@@ -56,51 +60,58 @@ class Pieces:
         self.odd = np.empty(0, bool)
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts in one row, and where each text ends in it."""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.odd) > _MOST_PIECES:
             self._reset()
-        parts = [text.split(" ") if text else [] for text in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(counts)
-        # Through the few pieces of this block: looking each place up among all known ones misses the processor's caches.
-        block = dict.fromkeys(chain.from_iterable(parts))
-        block.update(zip(block, map(self.inner.__getitem__, block)))
-        numbers = np.fromiter(map(block.__getitem__, chain.from_iterable(parts)), np.int32, int(ends[-1]) if len(ends) else 0)
-        heads = np.flatnonzero(counts)
-        for k, at in zip(heads.tolist(), (ends - counts)[heads].tolist()):
-            numbers[at] = self.whole[parts[k][0]]  # no blank stands before the first one
+        numbers = []
+        for text in texts:
+            parts = (text or "").replace("\n", " \n").split(" ")
+            found = [self.whole[parts[0]], *map(self.inner.__getitem__, parts[1:])] if text else []
+            numbers.append(np.array(found, np.int64))
         self._encode_new()
-        odd = self.odd[numbers]
-        if odd.any():  # blanks side by side
-            rows = np.split(numbers, ends[:-1])
-            for k in np.unique(np.searchsorted(ends, np.flatnonzero(odd), "right")).tolist():
-                rows[k] = np.array([self.whole[p] for p in _CUT.split(texts[k])], np.int32)
-            self._encode_new()
-            numbers = np.concatenate(rows)
-            ends = np.cumsum([len(r) for r in rows])
-        sizes = np.diff(self.starts)[numbers]
-        token_ends = np.cumsum(sizes)
-        total = int(token_ends[-1]) if len(token_ends) else 0
-        at = np.arange(total) + np.repeat(self.starts[numbers] - (token_ends - sizes), sizes)
-        return self.flat[at], np.concatenate([[0], token_ends])[ends]
+        for k, text in enumerate(texts):
+            if text and self.odd[numbers[k]].any():  # blanks side by side
+                numbers[k] = np.array([self.whole[p] for p in _CUT.split(text)], np.int64)
+        self._encode_new()
+        lengths = np.diff(self.starts)
+        out = []
+        for found in numbers:
+            size = lengths[found]
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else 0
+            at = np.arange(total) + np.repeat(self.starts[found] - (ends - size), size)
+            out.append(self.flat[at])
+        return out
+
+    def _word_ids(self, piece: str) -> list[int]:
+        letters = piece[1:] if piece[-1].isalpha() else piece[1:-1]
+        ids = [t.id for t in self.model.tokenize(_BLANK + letters)]
+        return ids if piece[-1].isalpha() else ids + self.marks[piece[-1]]
 
     def _encode_new(self) -> None:
-        """Ids of the new pieces. Those that stand between single blanks are encoded as one text
+        """Ids of the new pieces. Most are words; others between single blanks are encoded as one text
         of many; the bytes that each token stands for tell where a piece ends."""
         if not self.new:
             return
         odd = np.array([not p.strip(" ") or p[-1].isspace() or p[1:2].isspace() for p in self.new])
         apart = odd | np.array(self.apart)
-        joined = np.flatnonzero(~apart).tolist()
+        # A blank and letters are one word of the pattern, a mark after them another: the model takes them as they are.
+        words = [] if apart.all() else [i for i in np.flatnonzero(~apart).tolist() if _WORD.match(self.new[i])]
+        word_ids = [self._word_ids(self.new[i]) for i in words]
+        others = ~apart
+        others[words] = False
+        joined = np.flatnonzero(others).tolist()
         order = [*np.flatnonzero(apart).tolist(), *joined]
         strings = [self.new[i] for i in order[: len(order) - len(joined)]]
-        strings += ["".join(self.new[i] for i in joined[k : k + _JOINED]) for k in range(0, len(joined), _JOINED)]
+        strings += ["".join([self.new[i] for i in joined[k : k + _JOINED]]) for k in range(0, len(joined), _JOINED)]
         encoded = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.uint32)
-        byte_ends = np.cumsum([len(self.new[i].encode()) for i in order])
+        byte_ends = np.cumsum([len(self.new[i].encode()) for i in order], dtype=np.int64)
         token_ends = np.where(byte_ends, np.searchsorted(np.cumsum(self.size_of[ids]), byte_ends, "left") + 1, 0)
-        sizes = np.diff(token_ends, prepend=0)
+        sizes = np.concatenate([np.diff(token_ends, prepend=0), [len(x) for x in word_ids]]).astype(np.int64)
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(word_ids), np.uint32)])
+        order += words
+        token_ends = np.cumsum(sizes)
         # Back to the order in which the pieces were numbered.
         own_sizes = np.empty(len(order), np.int64)
         own_sizes[order] = sizes
@@ -118,14 +129,14 @@ _PIECES: dict[str, Pieces] = {}
 
 
 def pieces_of(path: str) -> Pieces:
-    """One per Python worker and tokenizer: partitions after the first find the tokenizer read and most pieces known."""
+    """One per Python worker and tokenizer: only the first partition reads the tokenizer's file."""
     if path not in _PIECES:
         _PIECES[path] = Pieces(path)
     return _PIECES[path]
 
 
 class _Numbers(dict):
-    """Numbers the pieces it is asked for; ``lead`` stands before each of them."""
+    """Numbers the pieces it is asked for; ``lead`` stands before each of them that begins no line."""
 
     def __init__(self, pieces: Pieces, lead: str):
         self.pieces, self.lead = pieces, lead
@@ -133,7 +144,7 @@ class _Numbers(dict):
     def __missing__(self, part: str) -> int:
         p = self.pieces
         number = self[part] = len(p.odd) + len(p.new)
-        p.new.append(self.lead + part)
+        p.new.append(part if part[:1] == "\n" else self.lead + part)
         p.apart.append(not self.lead)
         return number
 
@@ -245,16 +256,12 @@ def pack(
                 while at + len(block) < len(keys) and (not block or chars < _BLOCK_CHARS):
                     block.append(column[at + len(block)].as_py())
                     chars += len(block[-1] or "")
-                done, begin = [], 0
-                ids, ends = pieces.encode(block)
-                # The last id of each document stands after its own ones.
-                ids = np.insert(ids, ends, np.uint32(end_id)).astype("<u4", copy=False)
-                for key, end in zip(keys[at : at + len(block)], (ends + np.arange(1, len(ends) + 1)).tolist()):
-                    size = end - begin
-                    for s, n, number, offset in packer.place(size):
-                        row = (key, s, n, ids[begin + s : begin + s + n].tobytes(), size, number, offset, 0)
+                done = []
+                for key, ids in zip(keys[at : at + len(block)], pieces.encode(block)):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    for s, n, number, offset in packer.place(len(ids)):
+                        row = (key, s, n, ids[s : s + n].tobytes(), len(ids), number, offset, 0)
                         held.setdefault(number, []).append(row)
-                    begin = end
                     for number in packer.closed:
                         done += held.pop(number)
                     packer.closed.clear()
