@@ -1,7 +1,9 @@
-"""Sinks: CSV, catalog tables and JDBC."""
+"""Sinks: document trees, CSV, catalog tables and JDBC."""
 
+from geotrends.sinks.json_tree import write_tree
 from geotrends.sinks.tables import (
     create_tables,
+    drop_tables,
     normalize_columns,
     refresh,
     register_view,
@@ -12,10 +14,12 @@ from geotrends.sinks.tables import (
 
 __all__ = [
     "create_tables",
+    "drop_tables",
     "normalize_columns",
     "refresh",
     "register_view",
     "with_surrogate_id",
     "write_csv",
     "write_jdbc",
+    "write_tree",
 ]

@@ -1,8 +1,10 @@
 """Writing the flat tables."""
 
-from collections.abc import Mapping, Sequence
+import re
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,9 +14,6 @@ from geotrends.schemas import SCHEMAS
 from geotrends.session import materialize
 
 
-_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV parts, each with a header; quotes inside a value are doubled, blanks stay."""
     options = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -31,42 +30,116 @@ def _partitioned(table: str) -> bool:
     return "year" in SCHEMAS[table].names
 
 
+def _name(*parts: str) -> str:
+    return ".".join("`" + p.replace("`", "``") + "`" for p in parts)
+
+
+def _versions(spark: SparkSession, db: str) -> set[str]:
+    """The databases that hold versions of the tables of ``db``."""
+    return {r[0] for r in spark.sql("SHOW DATABASES").collect() if r[0].startswith(f"{db}__v")}
+
+
+def _new_version(spark: SparkSession, db: str, tables: Iterable[str]) -> str:
+    """A database beside the present one with empty tables; those with a year are partitioned by it."""
+    version = f"{db}__v{uuid.uuid4().hex[:12]}"
+    described = {r[0]: r[1] for r in spark.sql(f"DESCRIBE DATABASE {_name(db)}").collect()}
+    location = f"{described['Location'].rstrip('/')}/versions/{version}"
+    quoted = location.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE DATABASE {_name(version)} LOCATION '{quoted}'")
+    for table in tables:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[table].fields)
+        by = " PARTITIONED BY (year)" if _partitioned(table) else ""
+        spark.sql(f"CREATE TABLE {_name(version, table)} ({columns}) USING parquet{by}")
+    return version
+
+
+def _version_of(spark: SparkSession, db: str, table: str) -> str | None:
+    """The version that a table of ``db`` shows, if there is such a table."""
+    if not spark.catalog.tableExists(_name(db, table)):
+        return None
+    rows = {r[0]: r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_name(db, table)}").collect()}
+    found = re.search(r" FROM `((?:[^`]|``)+)`\.", rows.get("View Text") or "")
+    if found is None:
+        raise ValueError(f"{db}.{table} is not a view of a version")
+    return found[1].replace("``", "`")
+
+
+def _show(spark: SparkSession, db: str, table: str, version: str | None) -> None:
+    if version is None:
+        spark.sql(f"DROP VIEW IF EXISTS {_name(db, table)}")
+        return
+    columns = ", ".join(_name(c) for c in SCHEMAS[table].names)
+    spark.sql(f"CREATE OR REPLACE VIEW {_name(db, table)} AS SELECT {columns} FROM {_name(version, table)}")
+
+
+def _switch(spark: SparkSession, db: str, tables: Iterable[str], version: str) -> set[str]:
+    """Let ``tables`` show a new version, or all their old ones if that fails; the versions shown before."""
+    before = {table: _version_of(spark, db, table) for table in tables}
+    done = []
+    try:
+        for table in before:
+            done.append(table)
+            _show(spark, db, table, version)
+    except BaseException:
+        for table in done:
+            _show(spark, db, table, before[table])
+        raise
+    return {v for v in before.values() if v}
+
+
 def create_tables(spark: SparkSession, db: str, location: str | None = None) -> None:
     """Create the database and its 14 tables where they are missing.
 
-    Tables with a year are partitioned by it, so year filters skip files.
+    A table is a view of the present version of its rows, which lie in a database of
+    their own below the location of ``db``.
     """
-    name = "`" + db.replace("`", "``") + "`"
     where = " LOCATION '" + location.replace("\\", "\\\\").replace("'", "\\'") + "'" if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}{where}")
-    for table, schema in SCHEMAS.items():
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        by = " PARTITIONED BY (year)" if _partitioned(table) else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name}.`{table}` ({columns}) USING parquet{by}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_name(db)}{where}")
+    missing = [table for table in SCHEMAS if not spark.catalog.tableExists(_name(db, table))]
+    if missing:
+        _switch(spark, db, missing, _new_version(spark, db, missing))
 
 
-def refresh(spark: SparkSession, db: str, tables: Mapping[str, DataFrame]) -> None:
-    """Replace all rows of each table, whatever the session's overwrite mode; columns are matched by name.
+def drop_tables(spark: SparkSession, db: str) -> None:
+    """Drop the database and all versions of its tables."""
+    spark.sql(f"DROP DATABASE IF EXISTS {_name(db)} CASCADE")
+    for version in _versions(spark, db):
+        spark.sql(f"DROP DATABASE IF EXISTS {_name(version)} CASCADE")
 
-    Every frame is checked before the first table is touched. The rebalance
-    step groups a year into files of a fair size and splits a year that holds
-    most of the rows over several tasks.
+
+def refresh(spark: SparkSession, db: str, tables: Mapping[str, DataFrame]) -> None:
+    """Replace all rows of all given tables in one step; columns are matched by name.
+
+    Every frame is checked before anything is written. The new rows are written
+    beside the present ones and counted; only then are the tables switched to them,
+    which moves no data. If anything fails before, all tables show their old rows. The
+    version shown before is kept until the next refresh, for queries that still read
+    it. The rebalance step groups a year into files of a fair size and splits a
+    year that holds most of the rows over several tasks.
     """
-    name = "`" + db.replace("`", "``") + "`"
     frames = {}
     for table, df in tables.items():
         frame = normalize_columns(df)
         check_schema(frame, SCHEMAS[table])
         frames[table] = normalize_columns(frame, table)
-    before = spark.conf.get(_OVERWRITE)
-    spark.conf.set(_OVERWRITE, "static")
+    version = _new_version(spark, db, frames)
     try:
         for table, frame in frames.items():
+            target = _name(version, table)
+            seen = Observation()
             spread = frame.hint("rebalance", "year") if _partitioned(table) else frame.hint("rebalance")
-            target = f"{name}.`{table}`"
-            spread.select(*spark.table(target).columns).write.mode("overwrite").insertInto(target)
-    finally:
-        spark.conf.set(_OVERWRITE, before)
+            counted = spread.observe(seen, F.count(F.lit(1)).alias("rows"))
+            counted.select(*spark.table(target).columns).write.insertInto(target)
+            rows = spark.table(target).count()
+            if rows != seen.get["rows"]:
+                raise RuntimeError(f"{rows} rows of {seen.get['rows']} were written to {target}")
+        before = _switch(spark, db, frames, version)
+    except BaseException:
+        spark.sql(f"DROP DATABASE IF EXISTS {_name(version)} CASCADE")
+        raise
+    shown = {_version_of(spark, db, table) for table in SCHEMAS}
+    for old in _versions(spark, db) - before - shown:
+        spark.sql(f"DROP DATABASE IF EXISTS {_name(old)} CASCADE")
 
 
 def write_jdbc(

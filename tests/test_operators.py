@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geotrends.fixed_values import SEGMENTS
+from geotrends.operators.quality import row_digest
 from geotrends.operators import (
     app_open_rate,
     check_schema,
@@ -108,6 +109,18 @@ def test_middle_keeps_null_places(spark):
     assert [r.place for r in middle_slice(df, "count", ["place"]).collect()] == [None]
 
 
+def test_duplicates_by_digest_compare_whole_rows(spark):
+    """Different rows of one digest are no duplicates."""
+    rows = [(1, "a", None), (1, "a", None), (2, None, "a"), (None, "a", "a"), (1, None, "a"), (1, "a", "a")] + [(7, "hot", "row")] * 20
+    df = spark.createDataFrame(rows, "x int, `y.z` string, n string").repartition(4)
+    columns = [F.col("x"), F.col("`y.z`")]
+    for digest in (None, row_digest(df), [F.lit(1)], [F.xxhash64(*columns), F.lit(0)]):
+        assert duplicate_count(df, digest).first()[0] == 20
+    assert duplicate_count(df.limit(0), row_digest(df)).first()[0] == 0
+    wide = df.select("*", *[F.lit(i).alias(f"c{i}") for i in range(12)])
+    assert duplicate_count(wide).first()[0] == 20
+
+
 def test_hierarchy_children_sum_to_their_parent(tables):
     path = ["state", "district", "year", "quarter"]
     nodes = hierarchy_rollup(tables.map_transaction, path, "transaction_count").collect()

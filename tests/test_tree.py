@@ -4,11 +4,12 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from geotrends.fixed_values import DOCUMENT_PATHS
 from geotrends.plans import extract_tables, profile_tables, refresh_from_tree
 from geotrends.schemas import SCHEMAS
-from geotrends.sinks import create_tables, refresh
+from geotrends.sinks import create_tables, drop_tables, refresh, tables, write_tree
 from geotrends.sources import (
     extract,
     read_boundaries,
@@ -152,8 +153,8 @@ def test_unparsable_documents(spark, damaged):
 def test_refresh_twice_gives_the_same(spark, tree, tmp_path):
     for _ in range(2):
         refresh_from_tree(spark, str(tree), "refreshed", str(tmp_path / "db"), str(tmp_path / "csv"))
-    tables = {name: read_table(spark, name, "refreshed").select(*s.names) for name, s in SCHEMAS.items()}
-    profile = profile_tables(tables)
+    loaded = {name: read_table(spark, name, "refreshed").select(*s.names) for name, s in SCHEMAS.items()}
+    profile = profile_tables(loaded)
     assert {r.table: r.duplicates for r in profile["duplicates"].collect()} == {
         name: 0 for name in SCHEMAS
     }
@@ -162,7 +163,7 @@ def test_refresh_twice_gives_the_same(spark, tree, tmp_path):
     assert {r.rows for r in info if r.table == "map_insurance"} == {18}
     for name, schema in SCHEMAS.items():
         back = read_csv(spark, str(tmp_path / "csv" / name), schema)
-        assert back.exceptAll(tables[name]).count() == 0 and back.count() == tables[name].count()
+        assert back.exceptAll(loaded[name]).count() == 0 and back.count() == loaded[name].count()
 
 
 def test_refresh_checks_before_it_writes(spark, tmp_path):
@@ -175,6 +176,69 @@ def test_refresh_checks_before_it_writes(spark, tmp_path):
     assert read_table(spark, "map_user", "checked").count() == 1
 
 
+def _users(spark, n):
+    return spark.createDataFrame([("a", 2020 + i, "Q1", "x", n, 2) for i in range(3)], SCHEMAS["map_user"])
+
+
+def _amounts(spark, n):
+    return spark.createDataFrame([("a", 2020, "Q1", "x", n, 2.5)], SCHEMAS["map_insurance"])
+
+
+def _counts(spark, db):
+    users = read_table(spark, "map_user", db).select("registered_users").distinct().collect()
+    return [r[0] for r in users], [r.insurance_count for r in read_table(spark, "map_insurance", db).collect()]
+
+
+def test_refresh_that_fails_midway_changes_nothing(spark, tmp_path):
+    """All tables show their old rows if one cannot be written, or if the switch itself fails."""
+    db = "stepwise"
+    create_tables(spark, db, str(tmp_path / "db"))
+    refresh(spark, db, {"map_user": _users(spark, 1), "map_insurance": _amounts(spark, 1)})
+    reader = read_table(spark, "map_user", db)
+    broken = _amounts(spark, 2).withColumn("insurance_count", F.raise_error(F.lit("broken row")).cast("bigint"))
+    with pytest.raises(PySparkException, match="broken row"):
+        refresh(spark, db, {"map_user": _users(spark, 2), "map_insurance": broken})
+    assert _counts(spark, db) == ([1], [1])
+    show = tables._show
+
+    def failing(spark, db, table, version):
+        if table == "map_insurance" and version and version not in known:
+            raise RuntimeError("no switch")
+        show(spark, db, table, version)
+
+    known = tables._versions(spark, db)
+    tables._show = failing
+    try:
+        with pytest.raises(RuntimeError, match="no switch"):
+            refresh(spark, db, {"map_user": _users(spark, 2), "map_insurance": _amounts(spark, 2)})
+    finally:
+        tables._show = show
+    assert _counts(spark, db) == ([1], [1]) and tables._versions(spark, db) == known
+    refresh(spark, db, {"map_user": _users(spark, 3), "map_insurance": _amounts(spark, 3)})
+    assert _counts(spark, db) == ([3], [3])
+    assert reader.count() == 3  # a frame of the old rows still finds its files
+    refresh(spark, db, {"map_user": _users(spark, 4)})
+    assert _counts(spark, db) == ([4], [3])
+    assert read_table(spark, "aggregated_user", db).count() == 0
+    drop_tables(spark, db)
+    assert not tables._versions(spark, db) and not spark.catalog.databaseExists(db)
+
+
+def test_written_tree_is_read_back(spark, tmp_path):
+    folder = DOCUMENT_PATHS["map_user"]
+    body = lambda n: json.dumps({"data": {"hoverData": {"foo é district": {"registeredUsers": n, "appOpens": 2 * n}}}})
+    rows = [(f"{folder}/state/goa+one two/2020/{q}.json", body(q)) for q in (1, 2, 3)] + [(f"{folder}/state/a-&-b/2021/1.json", body(9))]
+    frame = spark.createDataFrame([*rows, (None, "x"), ("x.json", None)], "path string, document string").repartition(3)
+    for _ in range(2):  # a second run writes the same files
+        write_tree(frame, str(tmp_path / "out"))
+    assert (tmp_path / "out" / rows[0][0]).read_text() == body(1)
+    flat = extract(read_tree(spark, str(tmp_path / "out"), "map_user"), "map_user").collect()
+    assert sorted((r.state, r.year, r.quarter, r.district, r.registered_users) for r in flat) == [
+        ("A & B", 2021, "Q1", "Foo É", 9), *[("Goa+One Two", 2020, f"Q{q}", "Foo É", q) for q in (1, 2, 3)],
+    ]
+    write_tree(frame.limit(0), str(tmp_path / "none"))
+
+
 def test_year_filter_prunes_partitions(spark, tmp_path):
     create_tables(spark, "pruned", str(tmp_path / "db"))
     rows = [("a", y, "Q1", "x", 1, 2) for y in (2019, 2020)]

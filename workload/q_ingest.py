@@ -120,10 +120,24 @@ _SOURCES = {
 }
 
 
+LOCATIONS = ("state_level_location_metrics", "india_level_location_metrics")
+
+
+def table_documents(t, table: str) -> DataFrame:
+    """The documents of any of the 14 tables."""
+    if table not in LOCATIONS:
+        return documents(getattr(t, _SOURCES[table][0]), table)
+    label = _raw_district()
+    if EXTRACTORS[table].country:
+        label = F.concat(F.replace(F.lower("state"), F.lit("_"), F.lit("-")), F.lit("-&-isles"))
+    return documents(_location_rows(t), table, _tuple(label))
+
+
 def round_trip(t, table: str) -> DataFrame:
     """Flat rows to documents and back."""
-    docs = documents(getattr(t, _SOURCES[table][0]), table)
-    return extract(with_path_keys(parse_documents(docs, EXTRACTORS[table].entity)), table)
+    x = EXTRACTORS[table]
+    keyed = with_country_path_keys if x.country else with_path_keys
+    return extract(keyed(parse_documents(table_documents(t, table), x.entity)), table)
 
 
 for _number, (_table, (_view, _columns)) in enumerate(_SOURCES.items(), start=1):
@@ -149,7 +163,7 @@ def _location_rows(t) -> DataFrame:
     )
 
 
-_LOCATION_SQL = """(SELECT state, district, n_nationkey + length(district) / 16.0::DOUBLE AS latitude,
+LOCATION_SQL = """(SELECT state, district, n_nationkey + length(district) / 16.0::DOUBLE AS latitude,
 68 + length(district) / 4.0::DOUBLE AS longitude, CAST(count(*) AS DOUBLE) AS metric
 FROM order_places GROUP BY state, n_nationkey, year, quarter, district)"""
 
@@ -162,28 +176,25 @@ def _tuple(label: Column) -> Column:
     "ext13_state_location",
     over(
         "order_places",
-        f"SELECT {STATE_SQL} AS state, {DISTRICT_SQL} AS district, latitude, longitude, metric FROM {_LOCATION_SQL}",
+        f"SELECT {STATE_SQL} AS state, {DISTRICT_SQL} AS district, latitude, longitude, metric FROM {LOCATION_SQL}",
     ),
 )
 def _(t):
-    table = "state_level_location_metrics"
-    docs = documents(_location_rows(t), table, _tuple(_raw_district()))
-    return extract(with_path_keys(parse_documents(docs, "location")), table)
+    return round_trip(t, "state_level_location_metrics")
+
+
+COUNTRY_STATE_SQL = "replace(state, 'NATION_', 'Nation ') || ' and Isles'"
 
 
 @query(
     "ext14_country_location",
     over(
         "order_places",
-        f"""SELECT replace(state, 'NATION_', 'Nation ') || ' and Isles' AS state, latitude, longitude, metric
-        FROM {_LOCATION_SQL}""",
+        f"SELECT {COUNTRY_STATE_SQL} AS state, latitude, longitude, metric FROM {LOCATION_SQL}",
     ),
 )
 def _(t):
-    table = "india_level_location_metrics"
-    label = F.concat(F.replace(F.lower("state"), F.lit("_"), F.lit("-")), F.lit("-&-isles"))
-    docs = documents(_location_rows(t), table, _tuple(label))
-    return extract(with_country_path_keys(parse_documents(docs, "location")), table)
+    return round_trip(t, "india_level_location_metrics")
 
 
 @query(

@@ -9,9 +9,27 @@ from pyspark.sql import functions as F
 from geotrends.operators import check_schema, column_list, duplicate_count, null_counts, profile_info
 from geotrends.plans import profile_tables
 from geotrends.schemas import SCHEMAS
-from geotrends.sinks import create_tables, normalize_columns, refresh, register_view, with_surrogate_id, write_csv
-from geotrends.sources import literal_rows, read_boundaries, read_csv, read_table
-from workload.q_ingest import STATE_SQL, _SOURCES, round_trip
+from geotrends.sinks import create_tables, drop_tables, normalize_columns, refresh, register_view, with_surrogate_id, write_csv, write_tree
+from geotrends.sources import (
+    EXTRACTORS,
+    extract,
+    literal_rows,
+    read_boundaries,
+    read_country_tree,
+    read_csv,
+    read_table,
+    read_tree,
+)
+from workload.q_ingest import (
+    _SOURCES,
+    COUNTRY_STATE_SQL,
+    DISTRICT_SQL,
+    LOCATION_SQL,
+    LOCATIONS,
+    STATE_SQL,
+    round_trip,
+    table_documents,
+)
 from workload.registry import query
 from workload.views import over
 
@@ -34,7 +52,7 @@ def _clean() -> None:
         if context._jsc is None or context._jsc.sc().isStopped():
             continue
         if db:
-            spark.sql(f"DROP DATABASE IF EXISTS `{db}` CASCADE")
+            drop_tables(spark, db)
         else:
             folder = context._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
@@ -102,39 +120,51 @@ def _(t):
     return df
 
 
-_PROFILED = {
-    "agg_user": "aggregated_user",
-    "agg_transaction": "aggregated_transaction",
-    "agg_insurance": "aggregated_insurance",
-    "map_user": "map_user",
-    "map_transaction": "map_transaction",
-    "top_user_pincode": "top_user_pincodewise",
-    "top_transaction_pincode": "top_transaction_pincodewise",
+# All 14 tables -> the view that has their rows.
+_PROFILED = {table: source[0] for table, source in _SOURCES.items()} | {
+    "state_level_location_metrics": "location",
+    "india_level_location_metrics": "country_location",
 }
+_VIEWS = " ".join(dict.fromkeys(_PROFILED.values()))
+
+
+def _some(table: str) -> str:
+    return "quarter = 'Q4'" if "quarter" in SCHEMAS[table].names else "state < 'NATION_2'"
 
 
-def _doubled(t, view: str) -> DataFrame:
-    """A table in which the rows of the fourth quarter stand twice."""
-    rows = getattr(t, view)
-    return rows.unionByName(rows.filter("quarter = 'Q4'"))
+def _doubled(t, table: str) -> DataFrame:
+    """A table of which some rows stand twice: those of the fourth quarter, or of some states."""
+    rows = getattr(t, _PROFILED[table])
+    return rows.unionByName(rows.filter(_some(table)))
 
 
-_DOUBLED_SQL = {v: f"(SELECT * FROM {v} UNION ALL SELECT * FROM {v} WHERE quarter = 'Q4')" for v in _PROFILED}
+_DOUBLED_SQL = {n: f"(SELECT * FROM {v} UNION ALL SELECT * FROM {v} WHERE {_some(n)})" for n, v in _PROFILED.items()}
 
 
 @query(
     "dq06_table_duplicates",
     over(
-        " ".join(_PROFILED),
+        _VIEWS,
         " UNION ALL ".join(
-            f"""SELECT '{n}' AS "table", (SELECT count(*) FROM {_DOUBLED_SQL[v]}) - (SELECT count(*) FROM (SELECT DISTINCT *
-            FROM {_DOUBLED_SQL[v]})) AS duplicates"""
-            for v, n in _PROFILED.items()
+            f"""SELECT '{n}' AS "table", (SELECT count(*) FROM {_DOUBLED_SQL[n]}) - (SELECT count(*) FROM (SELECT DISTINCT *
+            FROM {_DOUBLED_SQL[n]})) AS duplicates"""
+            for n in _PROFILED
         ),
     ),
 )
 def _(t):
-    return profile_tables({n: _doubled(t, v) for v, n in _PROFILED.items()})["duplicates"]
+    return profile_tables({n: _doubled(t, n) for n in _PROFILED})["duplicates"]
+
+
+_WIDE_SQL = """(SELECT * FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL
+SELECT * FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 2)"""
+
+
+@query("dq02_wide_duplicates", f"SELECT (SELECT count(*) FROM {_WIDE_SQL}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_WIDE_SQL})) AS duplicates")
+def _(t):
+    """Lines with their orders, those of the second line twice: compared by digests first."""
+    rows = t.base("lineitem").join(t.base("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return duplicate_count(rows.unionByName(rows.filter("l_linenumber = 2")))
 
 
 _PROFILED_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE"}
@@ -143,17 +173,17 @@ _PROFILED_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "d
 @query(
     "dq02_table_profiles",
     over(
-        " ".join(_PROFILED),
+        _VIEWS,
         " UNION ALL ".join(
             f"""SELECT '{n}' AS "table", '{f.name}' AS "column", '{f.dataType.simpleString()}' AS dtype,
             count({f.name}) AS non_null, count(*) AS rows, count(*) - count({f.name}) AS nulls FROM {v}"""
-            for v, n in _PROFILED.items()
+            for n, v in _PROFILED.items()
             for f in SCHEMAS[n].fields
         ),
     ),
 )
 def _(t):
-    return profile_tables({n: getattr(t, v) for v, n in _PROFILED.items()})["info"]
+    return profile_tables({n: getattr(t, v) for n, v in _PROFILED.items()})["info"]
 
 
 @query(
@@ -254,7 +284,7 @@ def _(t):
     return joined.groupBy("quarter", "half").agg(F.sum("transaction_count").alias("count"))
 
 
-# Each table's measure; all twelve tables that have a year.
+# Each table's measure.
 _MEASURES = {
     "aggregated_user": "user_count",
     "aggregated_transaction": "transaction_count",
@@ -268,33 +298,72 @@ _MEASURES = {
     "top_transaction_pincodewise": "transaction_count",
     "top_insurance_districtwise": "insurance_count",
     "top_insurance_pincodewise": "insurance_count",
+    "state_level_location_metrics": "metric",
+    "india_level_location_metrics": "metric",
 }
 
 
+def _loaded_sql(table: str) -> str:
+    total = f"count(*) AS rows, CAST(sum({_MEASURES[table]}) AS BIGINT) AS total"
+    if table in LOCATIONS:
+        state = COUNTRY_STATE_SQL if EXTRACTORS[table].country else STATE_SQL
+        return f"""SELECT '{table}' AS "table", {state} AS state, CAST(NULL AS INTEGER) AS year, {total} FROM {LOCATION_SQL} GROUP BY ALL"""
+    return f"""SELECT '{table}' AS "table", {STATE_SQL} AS state, year, {total} FROM {_SOURCES[table][0]} GROUP BY ALL"""
+
+
 @query(
     "ana13_refresh",
     over(
-        " ".join(dict.fromkeys(_SOURCES[table][0] for table in _MEASURES)),
-        " UNION ALL ".join(
-            f"""SELECT '{table}' AS "table", {STATE_SQL} AS state, year, count(*) AS rows,
-            CAST(sum({measure}) AS BIGINT) AS total FROM {_SOURCES[table][0]} GROUP BY ALL"""
-            for table, measure in _MEASURES.items()
-        ),
+        " ".join(dict.fromkeys(["order_places", *(source[0] for source in _SOURCES.values())])),
+        " UNION ALL ".join(map(_loaded_sql, _MEASURES)),
     ),
 )
 def _(t):
-    """Documents into tables, twice; the second load replaces the first."""
+    """Documents into all 14 tables, twice; the second load replaces the first."""
     frames = {table: round_trip(t, table) for table in _MEASURES}
     db = _refreshed(t, frames)
     refresh(t.spark, db, frames)
-    totals = [
-        read_table(t.spark, table, db)
-        .groupBy("state", "year")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(measure).alias("total"))
-        .select(F.lit(table).alias("table"), "*")
-        for table, measure in _MEASURES.items()
-    ]
-    result = totals[0]
-    for df in totals[1:]:
-        result = result.unionByName(df)
+    result = None
+    for table, measure in _MEASURES.items():
+        rows = read_table(t.spark, table, db)
+        year = F.col("year") if "year" in rows.columns else F.lit(None).cast("int")
+        totals = rows.groupBy("state", year.alias("year")).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(measure).cast("bigint").alias("total")
+        )
+        totals = totals.select(F.lit(table).alias("table"), "*")
+        result = totals if result is None else result.unionByName(totals)
     return result
+
+
+def _tree(t, table: str) -> str:
+    """The documents of a table as a tree of files, written by tasks into a shared folder; its root."""
+    root = scratch(t)
+    write_tree(table_documents(t, table).withColumn("path", F.substring_index("file_path", "file:/data/", -1)), root)
+    return root
+
+
+@query(
+    "src01_tree_files",
+    over("agg_transaction", f"SELECT {STATE_SQL} AS state, year, quarter, transaction_type, transaction_count, transaction_amount FROM agg_transaction"),
+)
+def _(t):
+    root = _tree(t, "aggregated_transaction")
+    return extract(read_tree(t.spark, root, "aggregated_transaction"), "aggregated_transaction")
+
+
+@query(
+    "src01_tree_files_of_a_year",
+    over("map_user", f"SELECT {STATE_SQL} AS state, year, quarter, {DISTRICT_SQL} AS district, registered_users, appopen_count FROM map_user WHERE year = 1996"),
+)
+def _(t):
+    """A glob for the year opens fewer files."""
+    return extract(read_tree(t.spark, _tree(t, "map_user"), "map_user", year="1996"), "map_user")
+
+
+@query(
+    "src03_country_files",
+    over("order_places", f"SELECT {COUNTRY_STATE_SQL} AS state, latitude, longitude, metric FROM {LOCATION_SQL}"),
+)
+def _(t):
+    table = "india_level_location_metrics"
+    return extract(read_country_tree(t.spark, _tree(t, table), "location"), table)
