@@ -79,59 +79,68 @@ class Learner:
 def train(labelled: DataFrame, settings: Settings = Settings(), text: str = "text", label: str = "label", key: str = "key") -> np.ndarray:
     """Weights from rows (key, text, label 0 or 1); rows with a null label or key are left out.
 
-    The result depends on the rows alone, not on how they are partitioned.
-    Without any row all weights are 0. Repeated rows count as often as they
+    Each shard holds the rows of its keys' hashes and learns them in one call; the
+    weights are averaged over the shards that have rows. So the result depends on the
+    rows alone, not on partitions or settings. Without any row all weights are 0. Repeated rows count as often as they
     stand in the sample.
     """
     bound_batches(labelled.sparkSession)
     rows = labelled.select(
         F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(label).cast("double").alias("label")
     ).where("key is not null and label is not null")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(settings.shards)).cast("int"))
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, data, y in zip(batch["key"].to_pylist(), batch["text"].cast(pa.binary()), batch["label"].to_pylist()):
-                slots, values = features(data.as_py(), settings.bits)
-                examples.append((key, y, len(slots), slots.astype(np.int32), values.astype(np.float32)))
-        if not examples:
-            return
-        examples.sort(key=lambda e: (mix(word_hashes([e[0].encode()]))[0], e[1], e[2]))
+            each = [features(data.as_py(), settings.bits) for data in batch["text"].cast(pa.binary())]
+            packed = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in zip(zip(*each), ("<i4", "<f4"))]
+            if packed:
+                yield pa.RecordBatch.from_arrays([batch["shard"], batch["key"], batch["label"], *packed], ["shard", "key", "label", "slots", "values"])
+
+    def fit(shard: pa.Table) -> pa.Table:
+        examples = list(zip(*(shard[c].to_pylist() for c in ("key", "label", "slots", "values"))))
+        examples.sort(key=lambda e: (mix(word_hashes([e[0].encode()]))[0], *e))
+        examples = [(np.frombuffer(x, "<i4"), np.frombuffer(v, "<f4"), y) for _, y, x, v in examples]
         learner = Learner(settings)
         for _ in range(settings.epochs):
-            for _key, y, _n, slots, values in examples:
+            for slots, values, y in examples:
                 learner.learn(slots, values.astype(np.float64), y)
         w = learner.weights(slice(None))
         kept = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kept), pa.array(w[kept]), pa.array(np.ones(len(kept), np.int64))], ["slot", "weight", "one"]
-        )
+        # Slot -1 counts the shards that learned.
+        return pa.table({"slot": np.append(kept, -1), "weight": np.append(w[kept], 1.0)})
 
-    # Each shard is one task: at most max_rows / shards texts or so.
-    shards = rows.repartition(settings.shards, F.pmod(F.xxhash64("key"), F.lit(settings.shards)))
+    # One call for each shard, wherever it lies: at most max_rows / shards rows or so.
     averaged = (
-        shards.mapInArrow(fit, "slot bigint, weight double, one bigint")
+        rows.mapInArrow(extract, "shard int, key string, label double, slots binary, values binary")
+        .groupBy("shard")
+        .applyInArrow(fit, "slot bigint, weight double")
         .groupBy("slot")
         .agg(F.sort_array(F.collect_list("weight")).alias("each"))
         .select("slot", F.aggregate("each", F.lit(0.0), lambda a, w: a + w).alias("weight"))
         .toPandas()
     )
     weights = np.zeros(2**settings.bits + 1)
-    weights[averaged["slot"].to_numpy(np.int64)] = averaged["weight"].to_numpy() / settings.shards
+    learned = averaged["slot"].to_numpy(np.int64) >= 0
+    if len(averaged):
+        weights[averaged["slot"].to_numpy(np.int64)[learned]] = averaged["weight"].to_numpy()[learned] / averaged["weight"].to_numpy()[~learned][0]
     return weights
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Settings(), key: str = "doc_id") -> DataFrame:
-    """(key, text, label) of at most ``max_rows`` labelled rows, chosen by the hash of their key."""
+    """(key, text, label) of at most ``max_rows`` labelled rows, chosen by the hash of their key.
+
+    A key that several rows of ``docs`` share stands for the smallest of their texts.
+    """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-        .select(F.col(key).alias("key"), F.col(label).alias("label"))
-        .orderBy(F.xxhash64("key"), "key", "label")
+        .groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"))
+        .orderBy(F.xxhash64("key"), "key")
         .limit(settings.max_rows)
-    )
+    )
     # At most max_rows rows: the broadcast is bounded, and only their texts move.
     texts = docs.select(F.col(key).alias("key"), "text")
-    return texts.join(F.broadcast(chosen), "key")
+    return texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
 
 
 def score(text: Column | str, weights: np.ndarray, spark) -> Column:

@@ -146,27 +146,29 @@ def _ranks(index: Index, unit: np.ndarray) -> np.ndarray:
 
 
 def clean_vectors(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(key, label, dim, digest, vec) of the vectors that can be linked; ``vec`` is packed doubles."""
+    """(key, label, dim, digest, vec) of every row; ``vec`` is packed doubles, and with ``digest`` null where nothing can be linked."""
     vec = F.col(f"`{vec_col}`").cast("array<double>")
-    usable = rows.select(
-        F.col(f"`{id_col}`").cast("bigint").alias("key"), F.col(f"`{label_col}`").cast("string").alias("label"), vec.alias("v")
-    ).where(
+    usable = (
         F.col("label").isNotNull()
         & (F.size("v") > 0)
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
+    all_rows = rows.select(
+        F.col(f"`{id_col}`").cast("bigint").alias("key"), F.col(f"`{label_col}`").cast("string").alias("label"), vec.alias("v")
+    ).select("key", "label", F.when(usable, F.col("v")).alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [(np.array(v, np.float64) + 0.0).tobytes() for v in batch["v"].to_pylist()]
+            packed = [None if v is None else (np.array(v, np.float64) + 0.0).tobytes() for v in batch["v"].to_pylist()]
+            digests = [None if p is None else hashlib.blake2b(p, digest_size=16).digest() for p in packed]
+            dims = [None if p is None else len(p) // 8 for p in packed]
             yield pa.RecordBatch.from_arrays(
-                [batch["key"], batch["label"], pa.array([len(p) // 8 for p in packed], pa.int32()),
-                 pa.array([hashlib.blake2b(p, digest_size=16).digest() for p in packed], pa.binary()), pa.array(packed, pa.binary())],
+                [batch["key"], batch["label"], pa.array(dims, pa.int32()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())],
                 ["key", "label", "dim", "digest", "vec"],
-            )
+            )
 
-    return usable.mapInArrow(pack, CLEAN)
+    return all_rows.mapInArrow(pack, CLEAN)
 
 
 def fit_indexes(classes: DataFrame, s: Settings) -> dict[int, Index]:
@@ -313,33 +315,35 @@ def near_vectors(
     threshold; ``n_links`` counts the other vectors linked directly, copies
     included. A vector that is null, empty, zero or holds a null or non-finite
     number, or has no label, links with nothing. Found links are exact; the share of links
-    found is about ``recall`` or more. Rows that repeat an id count as
-    vectors of their own. Other columns are left out.
+    found is about ``recall`` or more. Rows that repeat an id are vectors of their
+    own, and so are rows without one; ``component_id`` is the smallest id of the
+    component, null if it has none. Other columns are left out.
     """
-    clean = written(clean_vectors(rows, id_col, vec_col, label_col), "vectors")
+    every = written(clean_vectors(rows, id_col, vec_col, label_col), "vectors")
     same = ["label", "digest"]
+    # Equal vectors are a class with a number of its own; ids come back at the end.
     groups = written(
-        clean.where("key is not null").groupBy(*same, "dim").agg(
-            F.min("key").alias("key"), F.count(F.lit(1)).alias("times"), F.first("vec").alias("vec")
-        ), "vector-classes",
+        every.where("digest is not null").groupBy(*same, "dim").agg(
+            F.min("key").alias("first_id"), F.count(F.lit(1)).alias("times"), F.first("vec").alias("vec")
+        ).withColumn("key", F.monotonically_increasing_id()), "vector-classes",
     )
     links = materialize(linked_pairs(groups.select("key", "label", "dim", "digest", "vec"), settings))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    times = groups.groupBy("key").agg(F.sum("times").alias("times"))
-    near = both.join(times.select(F.col("key").alias("b"), "times"), "b").groupBy("a").agg(F.sum("times").alias("others"))
-    found = connected_components(links)
-    named = (
-        groups.select(*same, "key", "times")
+    times = groups.select(F.col("key").alias("b"), "times")
+    near = both.join(times, "b").groupBy("a").agg(F.sum("times").alias("others"))
+    found = connected_components(links).select(F.col("node").alias("key"), "component")
+    classes = (
+        groups.select(*same, "key", "times", "first_id")
         .join(near.select(F.col("a").alias("key"), "others"), "key", "left")
-        .join(found.select(F.col("node").alias("key"), "component"), "key", "left")
-        .select(
-            *same, F.coalesce("component", "key").alias("component"), (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("links")
-        )
+        .join(found, "key", "left")
+        .withColumn("component", F.coalesce("component", "key"))
+    )
+    smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = classes.join(smallest, "component").select(
+        *same, "component_id", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("links")
     )
-    own = clean.where("key is not null").select("key", *same).join(named, same)
-    per_key = own.groupBy("key").agg(F.max("links").alias("links"), F.min("component").alias("component"))
-    out = rows.select(F.col(f"`{id_col}`").cast("bigint").alias("key")).join(per_key, "key", "left")
-    component = F.coalesce("component", "key")
+    out = every.select("key", *same).join(named, same, "left")
+    component = F.when(F.col("links").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(
         F.col("key").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
         F.col("key").eqNullSafe(component).alias("kept"),

@@ -4,6 +4,9 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import xxhash
+
 
 def words(text, lower=False):
     data = (text or "").encode()
@@ -98,3 +101,40 @@ def overlapped(text, items, min_match=12):
             if v and best >= min(min_match, len(v)):
                 out.add(k)
     return out
+
+
+def follow_the_regularised_leader(rows, s):
+    """Weights of (key, text, label), shard by shard and feature by feature."""
+    from geotrends.llm.quality import features
+    from geotrends.llm.words import mix, word_hashes
+
+    def signed(h):
+        return h - 2**64 if h >= 2**63 else h
+
+    shards = {}
+    for key, text, label in rows:
+        # Spark's xxhash64 of a string: XXH64 with seed 42.
+        shards.setdefault(signed(xxhash.xxh64_intdigest(key.encode(), 42)) % s.shards, []).append((key, text, label))
+    total = np.zeros(2**s.bits + 1)
+    for members in shards.values():
+        members.sort(key=lambda r: (mix(word_hashes([r[0].encode()]))[0], r[2]))
+        z, n = {}, {}
+
+        def weight(i):
+            if abs(z.get(i, 0.0)) <= s.l1:
+                return 0.0
+            return (math.copysign(s.l1, z[i]) - z[i]) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+        for _ in range(s.epochs):
+            for _, text, label in members:
+                slots, values = features((text or "").encode(), s.bits)
+                x = [*zip(slots.tolist(), values.astype(np.float32).astype(float).tolist()), (2**s.bits, 1.0)]
+                w = {i: weight(i) for i, _ in x}
+                p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x)))
+                for i, v in x:
+                    g = (p - label) * v
+                    step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / s.alpha
+                    z[i], n[i] = z.get(i, 0.0) + g - step * w[i], n.get(i, 0.0) + g * g
+        for i in z:
+            total[i] += weight(i)
+    return total / len(shards)

@@ -1,11 +1,12 @@
 import zlib
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from geotrends.llm.q_quality import op7_quality, quality_scores
-from geotrends.llm.quality import Settings, features, score, train
+from geotrends.llm.quality import Settings, features, score, train, training_sample
 
 
 def _labelled(spark):
@@ -17,9 +18,24 @@ def _labelled(spark):
 
 def test_training_does_not_depend_on_partitions(spark):
     rows = _labelled(spark)
-    a, b = train(rows.repartition(7)), train(rows.coalesce(1))
-    assert np.array_equal(a, b) and np.any(a)
+    plain = brute.follow_the_regularised_leader(
+        [(r["key"], r["text"], r["label"]) for r in rows.collect() if r["key"] and r["label"] is not None], Settings()
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for parts in (4, 7, 211):
+            for adaptive in ("true", "false"):
+                spark.conf.set("spark.sql.shuffle.partitions", parts)
+                spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+                weights = train(rows.repartition(3))
+                assert np.allclose(weights, plain, rtol=1e-9, atol=1e-12) and np.any(weights)
+                assert np.array_equal(weights, train(rows.coalesce(1)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert not np.any(train(rows.limit(0)))
+    few = rows.where("key = 'k1'")  # one shard learns, the others have no rows
+    assert np.allclose(train(few), train(few, Settings(shards=1)))
 
 
 def test_scores(spark, make_docs):
@@ -54,6 +70,11 @@ def test_held_out_labels_have_no_effect(spark, tmp_path):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
-def test_training_bound():
-    """The bound that README states."""
+def test_training_bound(spark):
+    """The sample has no more rows than README states, also where ids repeat."""
     assert Settings().max_rows == 20_000
+    docs = spark.range(300).selectExpr("id % 100 as doc_id", "concat('text ', id) as text")
+    labels = spark.range(400).selectExpr("id % 200 as doc_id", "cast(id % 2 as int) as quality")
+    sample = training_sample(docs, labels, "quality", Settings(max_rows=60)).collect()
+    assert len(sample) <= 60 and len({r["key"] for r in sample}) == len(sample) > 10
+    assert all(r["text"] == min(f"text {r['key'] + d}" for d in (0, 100, 200)) for r in sample)

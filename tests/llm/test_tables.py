@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 
+import brute
 import numpy as np
 import pytest
 
@@ -154,6 +155,27 @@ def test_near_vectors(spark, settings):
         assert {k: (r["component_id"], r["kept"]) for k, r in out.items()} == {k: (c, c == k) for k, c in reach.items()}
 
 
+def test_vectors_without_an_id_or_with_a_used_one(spark):
+    """Links and components by brute force over rows, not over ids."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(6, 12))
+    rows = [(int(i), (centers[i % 6] + 0.05 * rng.normal(size=12)).tolist(), 1) for i in range(10, 40)]
+    rows += [(None, centers[k].tolist(), 1) for k in (0, 0, 1, 5)] + [(None, (-centers[3]).tolist(), 1), (None, None, 1), (None, [0.0] * 12, 1)]
+    rows += [(11, centers[2].tolist(), 1), (11, centers[2].tolist(), 1), (11, (-centers[4]).tolist(), 1), (11, None, 1), (12, centers[0].tolist(), None)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<double>, label int, digest string").repartition(4)
+    unit = [np.array(v) / np.linalg.norm(v) if label and v and any(v) else None for _, v, label in rows]
+    linked = lambda a, b: unit[a] is not None and unit[b] is not None and unit[a] @ unit[b] >= 0.93
+    links = [(a, b) for a in range(len(rows)) for b in range(len(rows)) if a != b and linked(a, b)]
+    component = brute.components(len(rows), links)
+    expected = []
+    for a, (i, _, _) in enumerate(rows):
+        ids = [rows[b][0] for b in range(len(rows)) if component[b] == component[a] and rows[b][0] is not None]
+        smallest = min(ids, default=None)
+        expected.append((i, sum(1 for x, _ in links if x == a), smallest, i == smallest))
+    found = [tuple(r) for r in near_vectors(frame).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+
+
 def _low_rank(rng, n):
     """Neighbours differ along the few directions in which all vectors lie."""
     return rng.normal(size=(n, 4)) @ rng.normal(size=(4, 32)) + 0.01 * rng.normal(size=(n, 32))
