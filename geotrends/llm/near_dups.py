@@ -92,8 +92,11 @@ def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
 def without_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """``rows`` whose id is not in the stored frame ``ids`` (key); a short list is broadcast, rows with a null id stay."""
     few = ids.count() <= _BROADCAST_IDS
-    ids = ids.select(F.col("key").alias("_dropped_id"))
-    return rows.join(F.broadcast(ids) if few else ids, F.col(f"`{id_col}`") == F.col("_dropped_id"), "left_anti")
+    dropped = "_dropped_id"
+    while dropped in rows.columns:
+        dropped += "_"
+    ids = ids.select(F.col("key").alias(dropped))
+    return rows.join(F.broadcast(ids) if few else ids, F.col(f"`{id_col}`") == F.col(dropped), "left_anti")
 
 
 def estimated(a: Column, b: Column, k: int) -> Column:

@@ -6,6 +6,7 @@ import os
 import brute
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from geotrends.llm.q_packing import packed
@@ -88,6 +89,22 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
     )
 
 
+def test_pipeline_passes_further_columns(spark):
+    """Whatever their names are, and whatever the stages call their own columns."""
+    names = ["quality_score", "_dropped_id", "a.b", "key", "row", "_row", "component_id", "carried", "kept", "Text 2", "further_column_1"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("doc_id < 60")
+    more = docs.select("*", *[F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")).alias(n) for i, n in enumerate(names)])
+    stages = dict(corpus_pipeline.STAGES)
+    plain = docs
+    for name in ("quality", "near_dedup", "substring_dedup", "decontamination"):
+        plain, more = (written(stages[name](spark, d, SF_DIR).toDF(*[f"c{i}" for i in range(len(d.columns))]), "t6").toDF(*d.columns) for d in (plain, more))
+        assert more.columns == [*docs.columns, *names]
+        rows = [tuple(r) for r in more.collect()]
+        assert all(r[5:] == tuple(f"{i}-{r[0]}" for i in range(len(names))) for r in rows)
+        assert sorted(r[:5] for r in rows) == sorted(tuple(r) for r in plain.collect())
+    assert stages["packing"](spark, more, SF_DIR).count() > 0
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
