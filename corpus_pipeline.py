@@ -2,10 +2,14 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor kept;
 all but the last return the columns of ``documents``. An empty ``docs`` gives an
-empty result. Columns beyond those of ``documents`` pass through the stages;
-every row is judged by its own text, also where ids repeat or are null.
+empty result. Columns beyond those of ``documents`` pass through the stages,
+whatever their names; every row is judged by its own text, also where ids repeat
+or are null.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +23,29 @@ from geotrends.llm.shared_store import written
 from geotrends.session import materialize
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _any_columns(stage: Stage) -> Stage:
+    """Give further columns names that meet none of the stage's own while it runs."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.toDF(*[c if c in _DOCUMENTS else f"further_column_{i}" for i, c in enumerate(docs.columns)])
+        return stage(spark, plain, sf_dir).toDF(*docs.columns)
+
+    return run_stage
+
+
+@_any_columns
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; null and empty texts are judged by its bias."""
     scored = quality_scores(spark, docs, sf_dir)
     return scored.where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
 
 
+@_any_columns
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exactly one row of each group of near-duplicates: that of the smallest id, a null id last.
 
@@ -34,8 +55,6 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a group the one with the smallest hash of its text stays. Texts without words all stay.
     """
     row = "_row"
-    while row in docs.columns:
-        row += "_"
     # Stored once: the numbers must be the same wherever they are read.
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-dedup-rows")
     near = near_duplicates(rows, row).where("n_shingles > 0").select(F.col(row).alias("key"), "component_id")
@@ -46,6 +65,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_ids(rows, row, materialize(dropped)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_any_columns
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat; a text that loses nothing stays as it is.
 
@@ -59,6 +79,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.select(*[columns.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
 
 
+@_any_columns
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item; one of fewer than five words must be the whole document."""
     blocks = blocks_of(table(spark, sf_dir, "benchmark"), "item_id", "text", MASKS, 12, BLOCK_CHARS)
