@@ -55,6 +55,7 @@ class Pieces:
 
     def _reset(self) -> None:
         self.inner, self.whole = _Numbers(self, " "), _Numbers(self, "")
+        self.letters: dict[str, list[int]] = {}
         self.new: list[str] = []
         self.apart: list[bool] = []
         self.odd = np.empty(0, bool)
@@ -84,9 +85,13 @@ class Pieces:
         return out
 
     def _word_ids(self, piece: str) -> list[int]:
-        letters = piece[1:] if piece[-1].isalpha() else piece[1:-1]
-        ids = [t.id for t in self.model.tokenize(_BLANK + letters)]
-        return ids if piece[-1].isalpha() else ids + self.marks[piece[-1]]
+        """Ids of a blank, letters and perhaps a mark; the letters are encoded once for all marks."""
+        mark = piece[-1] if piece[-1] in self.marks else ""
+        letters = piece[1:-1] if mark else piece[1:]
+        ids = self.letters.get(letters)
+        if ids is None:
+            ids = self.letters[letters] = [t.id for t in self.model.tokenize(_BLANK + letters)]
+        return ids + self.marks[mark] if mark else ids
 
     def _encode_new(self) -> None:
         """Ids of the new pieces. Most are words; others between single blanks are encoded as one text
