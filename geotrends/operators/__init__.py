@@ -3,6 +3,7 @@
 from geotrends.operators.aggregates import (
     centroid,
     children_by_parent,
+    children_parts,
     conditional_growth,
     distinct_sorted,
     grand_total,
@@ -55,6 +56,7 @@ __all__ = [
     "centroid",
     "check_schema",
     "children_by_parent",
+    "children_parts",
     "column_list",
     "conditional_growth",
     "distinct_sorted",

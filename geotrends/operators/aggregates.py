@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from geotrends.fixed_values import ALL, GROSS, GROWTH_BASE_YEAR, GROWTH_YEAR
 from geotrends.functions.numbers import money_sum, number_scale, number_text, pct_change, round2
 from geotrends.operators.scope import filter_scope
+from geotrends.session import materialize
 
 # Column -> output name; a list keeps the names.
 Measures = dict[str, str] | Sequence[str]
@@ -149,12 +150,32 @@ def children_by_parent(df: DataFrame, parent: str = "state", child: str = "distr
 
     Duplicates go first, spread over both keys, so a parent with most of the
     rows only brings its distinct children to one place. Where a parent can have very
-    many, use the sorted pairs of :func:`distinct_sorted` instead.
+    many, use :func:`children_parts` instead.
     """
     pairs = df.select(parent, child).dropna().distinct()
     return pairs.groupBy(parent).agg(F.sort_array(F.collect_list(child)).alias(f"{child}s"))
 
 
+def children_parts(df: DataFrame, parent: str = "state", child: str = "district", size: int = 10_000) -> DataFrame:
+    """``parent, part, <child>s``: sorted lists of distinct children, at most ``size`` in a row.
+
+    The parts of a parent are numbered from 0 in the order of their children.
+    The distinct pairs are numbered in a range sort, which splits a parent with very
+    many children over tasks, and ``size`` consecutive numbers make a part.
+    """
+    from geotrends.sinks.tables import with_surrogate_id
+
+    pairs = df.select(F.col(parent).alias("_parent"), F.col(child).alias("_child")).dropna().distinct()
+    numbered = with_surrogate_id(pairs, ["_parent", "_child"], "_id")
+    at = F.floor((F.col("_id") - 1) / F.lit(size))
+    lists = numbered.groupBy("_parent", at.alias("_at")).agg(F.sort_array(F.collect_list("_child")).alias("_children"))
+    lists = materialize(lists)
+    first = lists.groupBy("_parent").agg(F.min("_at").alias("_first"))
+    return lists.join(first, "_parent").select(
+        F.col("_parent").alias(parent), (F.col("_at") - F.col("_first")).cast("int").alias("part"), F.col("_children").alias(f"{child}s")
+    )
+
+
 def value_range(df: DataFrame, column: str) -> DataFrame:
     """Smallest and largest value; empty cells do not count."""
     c = F.col(column)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrends.fixed_values import ALL, UNDERUTILIZED_MAX_RATE, UNDERUTILIZED_MIN_USERS
+from geotrends.session import computed_once
 
 
 def filter_scope(df: DataFrame, state: str = ALL, year: int | str = ALL, quarter: str = ALL) -> DataFrame:
@@ -32,6 +33,7 @@ def latest_rows(df: DataFrame, by: str = "year", how: str = "max") -> DataFrame:
 
     The bound is a scalar subquery: one row, computed once, no join.
     """
+    df = computed_once(df)
     pick = {"max": F.max, "min": F.min}[how]
     return df.filter(F.col(by) == df.agg(pick(by)).scalar())
 

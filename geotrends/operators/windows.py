@@ -10,6 +10,7 @@ from geotrends.fixed_values import MARKER_SIZES, RISING_MAX_PREVIOUS, RISING_MIN
 from geotrends.functions.numbers import pct_change
 from geotrends.functions.text import place_year_label
 from geotrends.operators.aggregates import exact_sum, sum_columns
+from geotrends.session import computed_once
 
 # Keys whose number of values is bounded by the calendar: a four-digit year and
 # a one-character quarter tag. Only totals per such a key are broadcast.
@@ -47,13 +48,14 @@ def with_total(df: DataFrame, measures: dict[str, str], by: str | None = None) -
 
     Frame totals are scalar subqueries. Period totals are one row per period
     and are broadcast, so the rows themselves are not shuffled, sorted or
-    gathered by period.
+    gathered by period. A computed frame is stored, so that its input is read once.
     """
+    if by is not None and by not in PERIOD_KEYS:
+        raise ValueError(f"totals are per {PERIOD_KEYS}, not per {by}")
+    df = computed_once(df)
     if by is None:
         every = df.agg(F.struct(*sum_columns(df, measures)).alias("every")).scalar()
         return df.withColumns({name: every[name] for name in measures.values()})
-    if by not in PERIOD_KEYS:
-        raise ValueError(f"totals are per {PERIOD_KEYS}, not per {by}")
     totals = df.groupBy(by).agg(*sum_columns(df, measures))
     return df.join(F.broadcast(totals), by, "left")
 
@@ -65,6 +67,7 @@ def with_log(df: DataFrame, column: str) -> DataFrame:
 
 def rescale(df: DataFrame, column: str, name: str, lo: float = MARKER_SIZES[0], hi: float = MARKER_SIZES[1]) -> DataFrame:
     """Map the range of a column linearly to ``lo .. hi``; a single value maps to ``hi``."""
+    df = computed_once(df)
     x = F.col(column).cast("double")
     ends = df.agg(F.struct(F.min(x).alias("low"), F.max(x).alias("high"))).scalar()
     low, high = ends["low"], ends["high"]

@@ -1,5 +1,7 @@
 """Session helpers: settings that every job relies on."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -50,3 +52,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """A frame for a plan that refers to it twice.
+
+    One that is grouped, joined or sorted is stored, so its input is read
+    once. A plain scan stays one: each reference reads only the columns and
+    partitions it needs, which is less than storing all rows.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return materialize(df) if re.search(r"\b(Aggregate|Join|Window|Sort|Expand|Generate)\b", plan) else df

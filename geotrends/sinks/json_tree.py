@@ -3,6 +3,8 @@
 import posixpath
 from collections.abc import Iterator
 from dataclasses import dataclass
+from threading import Lock
+from weakref import WeakSet
 
 import pyarrow as pa
 from pyarrow import fs
@@ -12,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 _FORMAT = "json_tree"
+_LOCK, _REGISTERED = Lock(), WeakSet()  # of sessions that know the format
 
 
 @dataclass
@@ -71,6 +74,9 @@ def write_tree(df: DataFrame, root: str, path: str = "path", document: str = "do
     The root is a folder that all executors reach.
     """
     spark = df.sparkSession
-    spark.dataSource.register(_Tree)
+    with _LOCK:
+        if spark not in _REGISTERED:
+            spark.dataSource.register(_Tree)
+            _REGISTERED.add(spark)
     rows = df.select(F.col(path).cast("string").alias("path"), F.col(document).cast("string").alias("document")).dropna()
     rows.write.format(_FORMAT).mode("append").save(root)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from geotrends.fixed_values import SEGMENTS
 from geotrends.operators.quality import row_digest
+from geotrends.operators.scope import latest_rows
+from geotrends.operators.aggregates import children_parts
+from geotrends.operators.windows import rescale, with_total
 from geotrends.operators import (
     app_open_rate,
     check_schema,
@@ -109,6 +112,28 @@ def test_middle_keeps_null_places(spark):
     assert [r.place for r in middle_slice(df, "count", ["place"]).collect()] == [None]
 
 
+def test_children_in_parts(spark):
+    rows = [("a", f"c{i:04d}") for i in range(1000)] * 3 + [("b", "x"), ("c", None), (None, "y"), ("d", "q"), ("d", "p")]
+    parts = children_parts(spark.createDataFrame(rows, "s string, d string").repartition(6), "s", "d", size=64).collect()
+    assert all(1 <= len(r.ds) <= 64 for r in parts)
+    by_parent = {}
+    for r in sorted(parts, key=lambda r: (r.s, r.part)):
+        assert r.part == len(by_parent.setdefault(r.s, []))
+        by_parent[r.s].append(r.ds)
+    flat = {s: [c for part in lists for c in part] for s, lists in by_parent.items()}
+    assert flat == {"a": [f"c{i:04d}" for i in range(1000)], "b": ["x"], "d": ["p", "q"]}
+
+
+def test_computed_frames_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "rows.parquet")
+    spark.range(40).selectExpr("id % 4 as year", "id as v", "id % 3 as k").write.parquet(path)
+    grouped = spark.read.parquet(path).groupBy("year", "k").agg(F.sum("v").alias("v"))
+    for frame in (latest_rows(grouped), rescale(grouped, "v", "size"), with_total(grouped, {"v": "total"}), with_total(grouped, {"v": "total"}, "year")):
+        assert "FileScan" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert frame.count() > 0
+    assert latest_rows(spark.read.parquet(path)).count() == 10
+
+
 def test_duplicates_by_digest_compare_whole_rows(spark):
     """Different rows of one digest are no duplicates."""
     rows = [(1, "a", None), (1, "a", None), (2, None, "a"), (None, "a", "a"), (1, None, "a"), (1, "a", "a")] + [(7, "hot", "row")] * 20

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from geotrends.operators import (
     centroid,
     children_by_parent,
+    children_parts,
     conditional_growth,
     distinct_sorted,
     grand_total,
@@ -442,3 +443,18 @@ def _(t):
     thirds = t.location.withColumn("longitude", F.col("longitude") / 3)
     sums = regroup_sum(thirds, ["state"], ["latitude", "longitude"])
     return sums.withColumn("latitude", F.col("latitude") / 3).withColumns(_six("latitude", "longitude"))
+
+
+@query(
+    "agg24_children_in_parts",
+    over(
+        "top_transaction_pincode",
+        """SELECT state, CAST(place - min(place) OVER (PARTITION BY state) AS INTEGER) AS part, pincodes FROM (
+          SELECT state, place, array_to_string(list(pincode ORDER BY pincode), ' ') AS pincodes FROM (
+            SELECT state, pincode, (row_number() OVER (ORDER BY state, pincode) - 1) // 16 AS place
+            FROM (SELECT DISTINCT state, pincode FROM top_transaction_pincode)) GROUP BY state, place)""",
+    ),
+)
+def _(t):
+    parts = children_parts(t.top_transaction_pincode, "state", "pincode", size=16)
+    return parts.withColumn("pincodes", F.array_join("pincodes", " "))
