@@ -1,21 +1,19 @@
 """Benchmark decontamination with spaced seeds.
 
 A seed is a fixed mask over consecutive words: the words under its ones are
-hashed, those under its zeros may differ. Equal hashes of a document and a
-benchmark item are hits. Each hit fixes how the two lie side by side; from it
-the best-scoring stretch without gaps is taken (a word that agrees counts 1,
-one that differs -2), so replaced words are tolerated and inserted ones end it.
-
-The benchmark is handled in blocks of at most ``block_chars`` characters, each
-broadcast; a larger benchmark takes more passes over the documents, not a larger
-broadcast. Documents are not shuffled.
+hashed, those under its zeros may differ. Seeds of the benchmark and of the
+documents are rows that are joined on the hash. Each hit fixes how the two lie
+side by side; from it the best-scoring stretch without gaps is taken (a word that
+agrees counts 1, one that differs -2), so replaced words are tolerated and
+inserted ones end it.
+
+Only document seeds that a bitmap of the benchmark's hashes admits become rows. The
+bitmap has a fixed largest size; a benchmark that outgrows it lets more rows into the
+join, whose result stays the same. Texts of documents without such a seed stay in
+place, and the driver sees neither texts nor seeds.
 """
 
-import math
-import operator
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +21,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotrends.llm.licenses import normalized
-from geotrends.llm.shared_store import bound_batches
+from geotrends.llm.shared_store import bound_batches, written
 from geotrends.llm.words import mix, word_hashes
+from geotrends.session import materialize
 
-# Each mask spans 12 words and reads 7; two replaced words in any 24 leave a hit under one of them.
-MASKS = ("110100110101", "101110010011", "111011001001")
-BLOCK_CHARS = 4 << 20
+# The first three span 12 words and read 7: two replaced words in any 24 leave a hit under one of them.
+# The last finds what they miss: a passage in which every fourth, fifth or later word is replaced.
+MASKS = ("110100110101", "101110010011", "111011001001", "11101101")
 # An item with fewer words than this is too common to reject a text that only contains it.
 SHORT_WORDS = 5
-OVERLAP = "key bigint, item bigint, doc_start bigint, item_start bigint, n_words bigint, n_matched bigint"
+# Rows of one hash beyond which they are dealt to several tasks.
+HOT_ROWS = 1 << 18
+SEEDED = "key bigint, words binary, seeds array<struct<hash:bigint,low:bigint,high:bigint>>"
+OVERLAP = "key bigint, row bigint, item bigint, item_row bigint, item_words bigint, doc_words bigint, doc_start bigint, item_start bigint, n_words bigint, n_matched bigint"
+_SEED = pa.struct([("hash", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 _DIFFERS = -2
-_TABLE_BITS = 22
+_BITMAP_BITS = (1 << 26, 1 << 29)
+_BUCKET_BYTES = 4096
 _BATCH_BYTES = 1 << 20
+_BROADCAST_HASHES = 1_000_000
 
 
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
@@ -42,7 +47,7 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     n = len(h) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, int(mask, 2), np.uint64)
     for k, bit in enumerate(mask):
         if bit == "1":
             out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k]
@@ -55,63 +60,6 @@ def text_hashes(data: bytes | None) -> np.ndarray:
     return word_hashes(normalized(lower.encode()).split())
 
 
-@dataclass
-class Block:
-    """Seeds of some benchmark items, sorted by hash per mask."""
-
-    ids: list
-    words: list[np.ndarray]
-    masks: tuple[str, ...]
-    min_match: int
-
-    def __post_init__(self):
-        self.seeds, self.short = [], {}
-        for mask in self.masks:
-            found = [seed_hashes(w, mask) for w in self.words]
-            hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
-            item = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            at = np.concatenate([np.arange(len(x)) for x in found]) if found else item
-            order = np.argsort(hashes, kind="stable")
-            likely = np.zeros(1 << _TABLE_BITS, bool)
-            likely[hashes >> np.uint64(64 - _TABLE_BITS)] = True
-            self.seeds.append((hashes[order], item[order], at[order], likely))
-        # Items with fewer words than a mask are looked for as a whole.
-        for k, w in enumerate(self.words):
-            if 0 < len(w) < max(map(len, self.masks)):
-                self.short.setdefault(len(w), {}).setdefault(w.tobytes(), []).append(k)
-
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, document position minus item position) of all hits in many words."""
-        out = set()
-        for mask, (hashes, item, at, likely) in zip(self.masks, self.seeds):
-            own = seed_hashes(h, mask)
-            where = np.flatnonzero(likely[own >> np.uint64(64 - _TABLE_BITS)])
-            low = np.searchsorted(hashes, own[where], "left")
-            high = np.searchsorted(hashes, own[where], "right")
-            for p, a, b in zip(where[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-                out.update(zip(item[a:b].tolist(), (p - at[a:b]).tolist()))
-        return out
-
-    def overlaps(self, h: np.ndarray, hits: set[tuple[int, int]]) -> dict[int, tuple[int, int, int, int]]:
-        """item -> (doc_start, item_start, n_words, n_matched) of its longest verified overlap."""
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for k, shift in hits:
-            w = self.words[k]
-            low, high = max(0, -shift), min(len(w), len(h) - shift)
-            same = h[low + shift : high + shift] == w[low:high]
-            a, b, matched = best_stretch(same)
-            if matched >= min(self.min_match, len(w)):
-                found = (a + low + shift, a + low, b - a, matched)
-                if k not in best or (-found[3], found) < (-best[k][3], best[k]):
-                    best[k] = found
-        for size, known in self.short.items():
-            firsts = {np.frombuffer(x, np.uint64)[0] for x in known}
-            for p in np.flatnonzero(np.isin(h[: max(0, len(h) - size + 1)], list(firsts))).tolist():
-                for k in known.get(h[p : p + size].tobytes(), ()):
-                    best.setdefault(k, (p, 0, size, size))
-        return best
-
-
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     """(from, to, agreeing words) of the stretch with the highest score; the first of equal ones."""
     if not len(same):
@@ -123,46 +71,171 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return a, b, int(same[a:b].sum())
 
 
-def rejects(block: Block, found: dict[int, tuple[int, int, int, int]], n_words: int) -> bool:
-    """Whether the overlaps of a text of ``n_words`` words reject it: an item of ``SHORT_WORDS`` or more, or the whole text."""
-    return any(len(block.words[k]) >= SHORT_WORDS or n == n_words for k, (_, _, n, _) in found.items())
+def _masks_for(n_words: int, masks: tuple[str, ...]) -> tuple[str, ...]:
+    """An item with fewer words than the longest mask is looked for as a whole."""
+    return masks if n_words >= max(map(len, masks)) else ("1" * n_words,) if n_words else ()
+
+
+def _admitted(own: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Positions of the hashes of which both bits are set."""
+    last, byte, bit = np.uint64(8 * len(bitmap) - 1), np.uint64(3), np.uint64(7)
+    at = np.arange(len(own))
+    for shift in (0, 32):
+        place = (own[at] >> np.uint64(shift)) & last
+        at = at[(bitmap[place >> byte] >> (place & bit).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def _runs(doc: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, hash, low, high): equal hashes at consecutive places of a text become one run, by text."""
+    order = np.lexsort((at, hashes, doc))
+    doc, hashes, at = doc[order], hashes[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return doc[first], hashes[first], at[first], at[last]
+
+
+def _block_seeds(hashes: list[np.ndarray], masks: tuple[str, ...], whole: tuple[str, ...], bitmap: np.ndarray | None):
+    """The seeds of many texts as runs. Of a mask in ``whole`` each text's first place is enough."""
+    ends = np.cumsum([len(h) for h in hashes])
+    joined = np.concatenate(hashes)
+    found = []
+    for mask in (*masks, *whole):
+        own = seed_hashes(joined, mask)
+        at = np.arange(len(own)) if bitmap is None else _admitted(own, bitmap)
+        doc = np.searchsorted(ends, at, "right")
+        inside = at + len(mask) <= ends[doc]
+        at, doc = at[inside], doc[inside]
+        own = own[at]
+        if mask in whole:
+            order = np.lexsort((at, own, doc))
+            once = np.ones(len(order), bool)
+            once[1:] = (doc[order][1:] != doc[order][:-1]) | (own[order][1:] != own[order][:-1])
+            at, doc, own = (x[order][once] for x in (at, doc, own))
+        found.append((doc, own, at - (ends - [len(h) for h in hashes])[doc]))
+    return _runs(*(np.concatenate(x) for x in zip(*found))) if found else (np.empty(0, np.int64),) * 4
+
+
+def _seeded(texts: DataFrame, masks: tuple[str, ...], whole: tuple[str, ...] = (), bitmap=None) -> DataFrame:
+    """``SEEDED`` rows of (key, text); with a bitmap only texts with an admitted seed."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if bitmap is None else bitmap.value
+        for batch in batches:
+            keys, column, at = batch["key"], batch["text"].cast(pa.binary()), 0
+            while at < len(column):
+                hashes, size, start = [], 0, at
+                while at < len(column) and (not hashes or size < _BATCH_BYTES):
+                    data = column[at].as_py()
+                    hashes.append(text_hashes(data))
+                    size, at = size + len(data or b""), at + 1
+                if known is None:  # items: each with the masks of its length
+                    parts = [_block_seeds([h], _masks_for(len(h), masks), (), None) for h in hashes]
+                    doc = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+                    _, own, low, high = (np.concatenate(x) for x in zip(*parts))
+                    kept = np.arange(len(hashes))
+                else:
+                    doc, own, low, high = _block_seeds(hashes, masks, whole, known)
+                    kept = np.unique(doc)
+                offsets = np.append(np.searchsorted(doc, kept), len(doc)).astype(np.int32)
+                columns = [own.astype(np.uint64).view(np.int64), low.astype(np.int64), high.astype(np.int64)]
+                seeds = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(_SEED))
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(start, len(hashes)).take(pa.array(kept)), pa.array([hashes[k].tobytes() for k in kept], pa.binary()), pa.ListArray.from_arrays(offsets, seeds)],
+                    ["key", "words", "seeds"],
+                )
+
+    return texts.mapInArrow(rows, SEEDED)
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Two bits per hash, in at most ``_BITMAP_BITS[1]`` bits (64 MB), built by tasks in parts of 4 KB."""
+    fewest, most = _BITMAP_BITS
+    bits = fewest
+    n = seeds.count()
+    while bits < min(64 * n, most):
+        bits *= 2
+    places = F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(F.lit(bits - 1)) + 1 for s in (0, 32)])
+    places = seeds.select(F.explode(places).alias("place"))
+    parts = places.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    out = np.zeros(bits // 8, np.uint8)
+    for part in parts.toLocalIterator():
+        out[(part["part"] - 1) * _BUCKET_BYTES : part["part"] * _BUCKET_BYTES] = np.frombuffer(part["bits"], np.uint8)
+    return out
+
 
+def _hits(probes: DataFrame, targets: DataFrame, hot_rows: int) -> DataFrame:
+    """Distinct (row, item_row, shift) of equal hashes; a hash with over ``hot_rows`` rows is dealt to several tasks."""
+    counts = probes.groupBy("hash").count().where(F.col("count") > hot_rows)
+    hot = materialize(counts.select("hash", F.ceil(F.col("count") / hot_rows).alias("parts")))
+    hot = F.broadcast(hot) if hot.count() <= _BROADCAST_HASHES else hot
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    dealt = probes.join(hot, "hash", "left").withColumn("part", F.pmod(F.xxhash64("row", "low"), parts)).drop("parts")
+    copies = targets.join(hot, "hash", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    shifts = F.sequence(F.col("low") - F.col("item_high"), F.col("high") - F.col("item_low"))
+    return dealt.join(copies, ["hash", "part"]).select("row", "item_row", F.explode(shifts).alias("shift")).distinct()
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...], min_match: int, block_chars: int) -> list[Block]:
-    """The benchmark in blocks; each collects at most about ``block_chars`` characters to the driver."""
-    items = benchmark.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(2 * size / block_chars)) if size > block_chars else 1
-    out = []
-    for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) if n > 1 else items
-        rows = sorted(part.collect(), key=lambda r: (r["item"] is None, r["item"] or 0, r["text"]))
-        words = [text_hashes(r["text"].encode("utf-8", "surrogatepass")) for r in rows]
-        out.append(Block([r["item"] for r in rows], words, masks, min_match))
-    return out
 
+def _verified(pairs: DataFrame, min_match: int) -> DataFrame:
+    """The best stretch of each (…, shift, item_part, doc_part) with enough agreeing words."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, places = [], []
+            for k, (low, shift, n, a, b) in enumerate(zip(*(batch[c].to_pylist() for c in ("from", "shift", "item_words", "item_part", "doc_part")))):
+                start, end, matched = best_stretch(np.frombuffer(a, np.uint64) == np.frombuffer(b, np.uint64))
+                if matched >= min(min_match, n):
+                    kept.append(k)
+                    places.append((start + low + shift, start + low, end - start, matched))
+            same = [batch[c].take(pa.array(kept, pa.int64())) for c in ("key", "row", "item", "item_row", "item_words", "doc_words")]
+            found = [pa.array(c, pa.int64()) for c in (zip(*places) if places else [[]] * 4)]
+            yield pa.RecordBatch.from_arrays([*same, *found], [c.split()[0] for c in OVERLAP.split(", ")])
 
-def _found(texts: list, block: Block) -> Iterator[tuple[dict, int]]:
-    """The overlaps of each text and its number of words; hits are searched in many texts at once."""
-    at = 0
-    while at < len(texts):
-        hashes, size = [], 0
-        while at + len(hashes) < len(texts) and (not hashes or size < _BATCH_BYTES):
-            data = texts[at + len(hashes)]
-            hashes.append(text_hashes(data.as_py()))
-            size += len(data.as_py() or b"")
-        ends = np.cumsum([len(h) for h in hashes])
-        joined = np.concatenate(hashes)
-        hits: dict[int, set] = {}
-        for k, shift in block.hits(joined):
-            # The hit's own text: the one that holds the shifted item's words; seeds over two texts verify nowhere.
-            first = int(np.searchsorted(ends, max(shift, 0), "right"))
-            last = int(np.searchsorted(ends, min(shift + len(block.words[k]), len(joined)) - 1, "right"))
-            for doc in range(first, min(last, len(hashes) - 1) + 1):
-                hits.setdefault(doc, set()).add((k, shift - int(ends[doc] - len(hashes[doc]))))
-        for doc, h in enumerate(hashes):
-            yield block.overlaps(h, hits.get(doc, set())) if doc in hits or block.short else {}, len(h)
-        at += len(hashes)
+    return pairs.mapInArrow(verify, OVERLAP)
+
+
+def _overlaps(texts: DataFrame, items: DataFrame, masks: tuple[str, ...], min_match: int, hot_rows: int) -> DataFrame:
+    """``OVERLAP`` rows, the best per row of ``texts`` (key, text) and row of ``items`` (key, text)."""
+    spark = texts.sparkSession
+    bound_batches(spark)
+    known = _seeded(items, masks).withColumnsRenamed({"key": "item", "words": "item_text"})
+    known = written(known.withColumn("item_row", F.monotonically_increasing_id()), "benchmark-seeds")
+    targets = known.select("item_row", F.explode("seeds").alias("s")).select(
+        "item_row", "s.hash", F.col("s.low").alias("item_low"), F.col("s.high").alias("item_high")
+    )
+    n_words = (F.length("item_text") / 8).cast("bigint")
+    longest = max(map(len, masks))
+    sizes = known.select(n_words.alias("n")).where((F.col("n") > 0) & (F.col("n") < longest)).distinct().collect()
+    whole = tuple("1" * r["n"] for r in sizes)
+    bitmap = spark.sparkContext.broadcast(_bitmap(targets.select("hash")))
+    found = _seeded(texts, masks, whole, bitmap).withColumn("row", F.monotonically_increasing_id())
+    found = written(found, "document-seeds")
+    probes = found.select("row", F.explode("seeds").alias("s")).select("row", "s.*")
+    hits = _hits(probes, targets, hot_rows)
+    sides = hits.join(known.select("item_row", "item", "item_text", n_words.alias("item_words")), "item_row").join(
+        found.select("row", "key", "words", (F.length("words") / 8).cast("bigint").alias("doc_words")), "row"
+    )
+    low = F.greatest(F.lit(0), -F.col("shift"))
+    size = F.least("item_words", F.col("doc_words") - F.col("shift")) - low
+
+    def part(text: str, start: Column) -> Column:
+        return F.col(text).substr((8 * start + 1).cast("int"), (8 * size).cast("int"))
+
+    pairs = sides.select(
+        "key", "row", "item", "item_row", "item_words", "doc_words", "shift", low.alias("from"),
+        part("item_text", low).alias("item_part"), part("words", low + F.col("shift")).alias("doc_part"),
+    )
+    place = F.struct((-F.col("n_matched")).alias("order"), "doc_start", "item_start", "n_words", "n_matched")
+    same = ["key", "row", "item", "item_row", "item_words", "doc_words"]
+    return _verified(pairs, min_match).groupBy(*same).agg(F.min(place).alias("best")).select(*same, "best.*").drop("order")
+
+
+def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.select(F.col(f"`{id_col}`").cast("bigint").alias("key"), F.col(f"`{text_col}`").alias("text"))
 
 
 def benchmark_overlaps(
@@ -174,7 +247,7 @@ def benchmark_overlaps(
     item_text: str = "text",
     masks: tuple[str, ...] = MASKS,
     min_match: int = 12,
-    block_chars: int = BLOCK_CHARS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(``id_col``, ``item_col``, doc_start, item_start, n_words, n_matched) of verified overlaps.
 
@@ -182,44 +255,27 @@ def benchmark_overlaps(
     one stretch (all words of an item with fewer); of several stretches that with most
     agreeing words, then the first. Null and empty texts and items overlap
     with nothing; an empty benchmark gives no rows. Repeated rows are judged
-    each. Items with fewer words than a mask must stand there unchanged.
+    each. Items with fewer words than the longest mask must stand there unchanged.
     """
-    bound_batches(docs.sparkSession)
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("key"), F.col(f"`{text_col}`").alias("text"))
-    out = None
-    for block in blocks_of(benchmark, item_col, item_text, masks, min_match, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, rows = batch["key"].to_pylist(), []
-                for key, (found, _) in zip(keys, _found(batch["text"].cast(pa.binary()), shared.value)):
-                    rows += [(key, shared.value.ids[k], *place) for k, place in sorted(found.items())]
-                names = ("key", "item", "doc_start", "item_start", "n_words", "n_matched")
-                columns = zip(*rows) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-        part = texts.mapInArrow(find, OVERLAP)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnsRenamed({"key": id_col, "item": item_col})
+    found = _overlaps(_keyed(docs, id_col, text_col), _keyed(benchmark, item_col, item_text), masks, min_match, hot_rows)
+    return found.select(F.col("key").alias(id_col), F.col("item").alias(item_col), "doc_start", "item_start", "n_words", "n_matched")
 
 
-def overlaps_benchmark(text: Column | str, blocks: list[Block], spark) -> Column:
-    """Whether a text has a verified overlap with an item of any block; false for null and empty texts.
+def overlapping_rows(
+    rows: DataFrame,
+    row_col: str,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+    masks: tuple[str, ...] = MASKS,
+    min_match: int = 12,
+) -> DataFrame:
+    """(key) of the rows, numbered by ``row_col``, whose text has a verified overlap with an item.
 
     An item with fewer than ``SHORT_WORDS`` words counts only if it is the
     whole text: such words stand in many texts that are not contaminated.
     ``benchmark_overlaps`` lists them all the same.
     """
-    bound_batches(spark)
-
-    def judged(shared) -> Column:
-        @F.arrow_udf("boolean")
-        def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                block = shared.value
-                yield pa.array([rejects(block, x, n) for x, n in _found(batch.cast(pa.binary()), block)], pa.bool_())
-
-        return found(text)
-
-    return reduce(operator.or_, [judged(spark.sparkContext.broadcast(b)) for b in blocks])
+    found = _overlaps(_keyed(rows, row_col, text_col), _keyed(benchmark, item_col, item_text), masks, min_match, HOT_ROWS)
+    return found.where((F.col("item_words") >= SHORT_WORDS) | (F.col("n_words") == F.col("doc_words"))).select("key").distinct()

@@ -1,11 +1,13 @@
 """Operators on whole texts against plain versions."""
 
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
 
 from geotrends.llm.backoff import backoff_scores
-from geotrends.llm.decontaminate import MASKS, benchmark_overlaps, blocks_of, overlaps_benchmark
+from geotrends.llm.decontaminate import best_stretch, benchmark_overlaps, overlapping_rows, text_hashes
 from geotrends.llm.near_dups import near_duplicates
 from geotrends.llm.repeats import remove_repeats
 
@@ -110,26 +112,24 @@ def _contaminated():
     ]
 
 
-@pytest.mark.parametrize("block_chars", [60, 4 << 20])
-def test_decontamination(spark, make_docs, block_chars):
+@pytest.mark.parametrize("hot_rows", [1, 1 << 18])
+def test_decontamination(spark, make_docs, hot_rows):
     texts = _contaminated()
     items = [(i, t) for i, t in ITEMS if t]
-    out = benchmark_overlaps(make_docs(texts), _benchmark(spark), block_chars=block_chars).collect()
+    out = benchmark_overlaps(make_docs(texts), _benchmark(spark), hot_rows=hot_rows).collect()
     expected = {(d, k) for d, t in enumerate(texts) for k in brute.overlapped(t, items)}
     assert {(r["doc_id"], r["item_id"]) for r in out} == expected
     assert {d for d, _ in expected} == {1, 2, 3, 4, 6, 10}
     place = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in out}
     assert place[1, 1] == (9, 0, 30, 30) and place[2, 1] == (50, 0, 30, 28) and place[4, 1] == (3, 10, 14, 14)
-    blocks = blocks_of(_benchmark(spark), "item_id", "text", MASKS, 12, block_chars)
-    flagged = make_docs(texts).where(overlaps_benchmark("text", blocks, spark)).select("doc_id").collect()
+    flagged = overlapping_rows(make_docs(texts), "doc_id", _benchmark(spark)).collect()
     assert {r[0] for r in flagged} == {d for d, _ in expected}
 
 
 def test_very_short_items_reject_whole_texts_only(spark, make_docs):
     items = spark.createDataFrame([(1, "the"), (2, "in the"), (3, "one two three four five")], "item_id bigint, text string")
     texts = ["This is the end", "cats in the house", "The!", "IN  the", "in the the", "zero one two three four five six", None, ""]
-    blocks = blocks_of(items, "item_id", "text", MASKS, 12, 4 << 20)
-    flagged = make_docs(texts).where(overlaps_benchmark("text", blocks, spark)).select("doc_id").collect()
+    flagged = overlapping_rows(make_docs(texts), "doc_id", items).collect()
     assert {r[0] for r in flagged} == {2, 3, 5}
     found = {(r["doc_id"], r["item_id"]) for r in benchmark_overlaps(make_docs(texts), items).collect()}
     assert found == {(0, 1), (1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (5, 3)}
@@ -139,5 +139,36 @@ def test_decontamination_edges(spark, make_docs):
     nothing = _benchmark(spark).where("false")
     assert benchmark_overlaps(make_docs(["a b"]), nothing).count() == 0
     assert benchmark_overlaps(make_docs([]), _benchmark(spark)).count() == 0
-    blocks = blocks_of(nothing, "item_id", "text", MASKS, 12, 100)
-    assert make_docs(["a b", None]).where(~overlaps_benchmark(F.col("text"), blocks, spark)).count() == 2
+    assert overlapping_rows(make_docs(["a b", None]), "doc_id", nothing).count() == 0
+
+
+def test_decontamination_replaced_words(spark, make_docs):
+    """Every k-th word replaced, at every phase, and random replacements, against the best stretch of each diagonal."""
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(1000)}" for _ in range(120)]
+    texts = [" ".join("x" if i % k == p else w for i, w in enumerate(item)) for k in (4, 5, 6, 7) for p in range(k)]
+    texts += [" ".join("x" if rng.random() < 0.15 else w for w in item[s : s + 30]) for s in range(60)]
+    # Runs of equal words, in which every word meets every other.
+    texts += ["so " * 300 + " ".join(item[:9]), " ".join(item[:20]) * 2]
+    items = [(1, " ".join(item)), (2, "so " * 40), (None, " ".join(item[:20])), (1, " ".join(item[:20]))]
+    out = benchmark_overlaps(make_docs(texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    expected = []
+    for d, text in enumerate(texts):
+        h = text_hashes(text.encode())
+        for i, t in items:
+            w, best = text_hashes(t.encode()), None
+            for shift in range(1 - len(w), len(h)):
+                low, high = max(0, -shift), min(len(w), len(h) - shift)
+                a, b, matched = best_stretch(h[low + shift : high + shift] == w[low:high])
+                place = (-matched, a + low + shift, a + low, b - a, matched)
+                best = place if matched >= 12 and (best is None or place < best) else best
+            if best:
+                expected.append((d, i, *best[1:]))
+    assert sorted(map(tuple, out), key=str) == sorted(expected, key=str)
+    assert {d for d, *_ in expected} >= set(range(22))
+
+
+def test_decontamination_repeated_rows(spark, make_docs):
+    texts = ["pre " + ITEMS[0][1]] * 3
+    out = benchmark_overlaps(make_docs(texts, [7, 7, None]), _benchmark(spark)).collect()
+    assert sorted(((r["doc_id"], r["doc_start"]) for r in out), key=str) == [(7, 1), (7, 1), (None, 1)]
