@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrends.llm.decontaminate import MASKS, BLOCK_CHARS, blocks_of, overlaps_benchmark
+from geotrends.llm.decontaminate import overlapping_rows
 from geotrends.llm.near_dups import near_duplicates, without_ids
 from geotrends.llm.q_packing import packed
 from geotrends.llm.q_quality import THRESHOLD, quality_scores
@@ -82,8 +82,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_any_columns
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item; one of fewer than five words must be the whole document."""
-    blocks = blocks_of(table(spark, sf_dir, "benchmark"), "item_id", "text", MASKS, 12, BLOCK_CHARS)
-    return docs.where(~overlaps_benchmark("text", blocks, spark))
+    row = "_row"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination-rows")
+    gone = materialize(overlapping_rows(rows, row, table(spark, sf_dir, "benchmark")))
+    return without_ids(rows, row, gone).select(*docs.columns)
+
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
