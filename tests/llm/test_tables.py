@@ -8,12 +8,13 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geotrends.llm.components import connected_components
 from geotrends.llm.shared_store import new_folder
 from geotrends.llm.url_rules import judge_urls
 from geotrends.llm.vectors import Settings, nearest_cells, near_vectors
-from geotrends.llm.warc import page_records, read_archive, read_index, write_archive
+from geotrends.llm.warc import NO_DATE, SAME_PAYLOAD, page_records, read_archive, read_index, warc_records, write_archive
 
 PAGES = [
     (1, "http://a/1", "<p>é</p>", "x"), (7, "http://a/7", "same", "x"), (3, "http://a/3\r\nWARC-Type: no", "same", "x"), (5, None, "same", "x"),
@@ -49,6 +50,46 @@ def test_warc_round_trip(spark, min_bytes):
     assert sorted((bytes(r[0]), bytes(r[1])) for r in whole) == sorted((bytes(r[0]), bytes(r[1])) for r in before)
 
 
+def _parse_warc(data):
+    """The records of a WARC file by its grammar alone: version, named fields, block of the stated length, two line ends."""
+    out = []
+    while data:
+        head, data = data.split(b"\r\n\r\n", 1)
+        version, *lines = head.decode().split("\r\n")
+        assert version == "WARC/1.1"
+        fields = dict(line.split(": ", 1) for line in lines)
+        n = int(fields["Content-Length"])
+        out.append((fields, data[:n]))
+        assert data[n : n + 4] == b"\r\n\r\n" and len(fields) == len(lines)
+        data = data[n + 4 :]
+    return out
+
+
+def test_warc_file(spark):
+    """The records one after another are a WARC file, also where payloads hold header-like text."""
+    tricky = "a\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\nb"
+    pages = [*PAGES, (90, "http://x/90", tricky, None), (91, "http://x/91", tricky, "2020-05-06T07:08:09Z")]
+    folder = new_folder(spark, "test-warc")
+    write_archive(*page_records(_pages(spark, pages), date=F.when(F.col("sha256").contains("Z"), F.col("sha256"))), folder)
+    records = _parse_warc(b"".join(bytes(r[0]) for r in warc_records(spark, folder).collect()))
+    assert len(records) == len(pages)
+    for fields, _ in records:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type"} <= fields.keys()
+        assert (fields["WARC-Type"] == "revisit") == (fields.get("WARC-Profile") == SAME_PAYLOAD) == ("WARC-Refers-To" in fields)
+    named = {f["WARC-Record-ID"]: (f, block) for f, block in records if f["WARC-Type"] == "response"}
+    for fields, block in records:
+        if fields["WARC-Type"] == "revisit":
+            original, payload = named[fields["WARC-Refers-To"]]
+            assert block == b"" and original["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"]
+        else:
+            payload = block
+        assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    dates = {f["WARC-Record-ID"]: f["WARC-Date"] for f, _ in records}
+    assert dates["<urn:page:90>"] == NO_DATE and dates["<urn:page:91>"] == "2020-05-06T07:08:09Z"
+    ids = [(r["page_id"], r["refers_to"]) for r in read_index(spark, folder).collect()]
+    assert sorted(map(str, (i for i, _ in ids))) == sorted(map(str, (p[0] for p in pages))) and (91, 90) in ids
+
+
 def test_warc_edges(spark):
     folder = new_folder(spark, "test-warc")
     write_archive(*page_records(_pages(spark, []).limit(0)), folder)
