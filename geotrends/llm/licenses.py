@@ -34,15 +34,24 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Public wording of usual notices and short licenses, with markup.
+# Public wording of usual notices and short licenses, with markup.
 TEMPLATES = {
     "gpl-notice": """<<beginOptional>>This <<var;match="4">> is<<endOptional>> licensed under
         <<beginOptional>>the terms of<<endOptional>> the GNU General Public License
         <<beginOptional>>version <<var;match="2">><<endOptional>>
         <<beginOptional>>or any later version<<endOptional>>""",
-    "gpl-header": """This program is free software <<beginOptional>>you<<endOptional>> you can redistribute it and or
-        modify it under the terms of the GNU General Public License as published by the Free Software Foundation""",
+    "gpl-header": """This program is free software you can redistribute it and or modify it under the terms of the
+        GNU General Public License as published by the Free Software Foundation either version <<var;match="2">> of the
+        License or at your option any later version This program is distributed in the hope that it will be useful but
+        WITHOUT ANY WARRANTY without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE
+        See the GNU General Public License for more details""",
     "apache-2.0-notice": """Licensed under the Apache License Version 2.0 <<beginOptional>>the License<<endOptional>>""",
+    "apache-2.0-header": """Licensed under the Apache License Version 2.0 the License you may not use this file except in
+        compliance with the License You may obtain a copy of the License at
+        <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> www apache org licenses LICENSE 2.0 Unless required by
+        applicable law or agreed to in writing software distributed under the License is distributed on an AS IS BASIS
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND either express or implied See the License for the specific language
+        governing permissions and limitations under the License""",
     "cc-by-notice": """<<beginOptional>>This <<var;match="3">> is<<endOptional>> licensed under
         <<beginOptional>>a<<endOptional>> CC BY <<beginOptional>>NC<<endOptional>>
         <<beginOptional>>SA<<endOptional>> <<beginOptional>>ND<<endOptional>> 4.0""",
@@ -51,11 +60,43 @@ TEMPLATES = {
         <<beginOptional>>this<<endOptional>> software and associated documentation files the Software to deal in the
         Software without restriction including without limitation the rights to use copy modify merge publish
         distribute sublicense and or sell copies of the Software and to permit persons to whom the Software is
-        furnished to do so subject to the following conditions""",
-    "isc": """Permission to use copy modify and or distribute this software for any purpose with or without fee is
-        hereby granted provided that the above copyright notice and this permission notice appear in all copies""",
-    "bsd": """Redistribution and use in source and binary forms with or without modification are permitted provided
-        that the following conditions are met""",
+        furnished to do so subject to the following conditions The above copyright notice and this permission notice
+        <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of
+        the Software THE SOFTWARE IS PROVIDED AS IS WITHOUT WARRANTY OF ANY KIND EXPRESS OR IMPLIED INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT IN NO EVENT
+        SHALL <<var;match="12">> BE LIABLE FOR ANY CLAIM DAMAGES OR OTHER LIABILITY WHETHER IN AN ACTION OF CONTRACT TORT
+        OR OTHERWISE ARISING FROM OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE""",
+    "isc": """Permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or
+        without fee is hereby granted provided that the above copyright notice and this permission notice appear in all
+        copies THE SOFTWARE IS PROVIDED AS IS AND <<var;match="8">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS IN NO EVENT SHALL <<var;match="8">> BE LIABLE FOR
+        ANY SPECIAL DIRECT INDIRECT OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE DATA OR
+        PROFITS WHETHER IN AN ACTION OF CONTRACT NEGLIGENCE OR OTHER TORTIOUS ACTION ARISING OUT OF OR IN CONNECTION WITH
+        THE USE OR PERFORMANCE OF THIS SOFTWARE""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms with or without modification are permitted provided
+        that the following conditions are met <<var;match="1">> Redistributions of source code must retain the above
+        copyright notice this list of conditions and the following disclaimer <<var;match="1">> Redistributions in binary
+        form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+        documentation and or other materials provided with the distribution THIS SOFTWARE IS PROVIDED BY
+        <<var;match="12">> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES INCLUDING BUT NOT LIMITED TO THE IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED IN NO EVENT SHALL <<var;match="12">> BE
+        LIABLE FOR ANY DIRECT INDIRECT INCIDENTAL SPECIAL EXEMPLARY OR CONSEQUENTIAL DAMAGES INCLUDING BUT NOT LIMITED TO
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES LOSS OF USE DATA OR PROFITS OR BUSINESS INTERRUPTION HOWEVER CAUSED AND
+        ON ANY THEORY OF LIABILITY WHETHER IN CONTRACT STRICT LIABILITY OR TORT INCLUDING NEGLIGENCE OR OTHERWISE ARISING
+        IN ANY WAY OUT OF THE USE OF THIS SOFTWARE EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms with or without modification are permitted provided
+        that the following conditions are met <<var;match="1">> Redistributions of source code must retain the above
+        copyright notice this list of conditions and the following disclaimer <<var;match="1">> Redistributions in binary
+        form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+        documentation and or other materials provided with the distribution <<var;match="1">>
+        Neither the name of <<var;match="12">> nor the names of <<var;match="3">> contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission THIS SOFTWARE IS PROVIDED BY
+        <<var;match="12">> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES INCLUDING BUT NOT LIMITED TO THE IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED IN NO EVENT SHALL <<var;match="12">> BE
+        LIABLE FOR ANY DIRECT INDIRECT INCIDENTAL SPECIAL EXEMPLARY OR CONSEQUENTIAL DAMAGES INCLUDING BUT NOT LIMITED TO
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES LOSS OF USE DATA OR PROFITS OR BUSINESS INTERRUPTION HOWEVER CAUSED AND
+        ON ANY THEORY OF LIABILITY WHETHER IN CONTRACT STRICT LIABILITY OR TORT INCLUDING NEGLIGENCE OR OTHERWISE ARISING
+        IN ANY WAY OUT OF THE USE OF THIS SOFTWARE EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE""",
 }
 
 

@@ -45,10 +45,42 @@ def test_automata():
 
 def test_every_template_accepts_its_own_wording(make_docs):
     plain = {k: re.sub(r"<<.*?>>", " ", t) for k, t in TEMPLATES.items()}
-    mandatory = {k: re.sub(r"<<beginOptional>>(?:(?!<<beginOptional>>).)*?<<endOptional>>", " ", t, flags=re.S) for k, t in TEMPLATES.items()}
+    optional = r"<<beginOptional>>(?:(?!<<beginOptional>>).)*?<<endOptional>>"
+    mandatory = {k: re.sub(r"<<.*?>>", " ", re.sub(optional, " ", t, flags=re.S)) for k, t in TEMPLATES.items()}
     for texts in (plain, mandatory):
         rows = scan_licenses(make_docs(list(texts.values()))).collect()
         for label, r in zip(texts, sorted(rows, key=lambda r: r["doc_id"])):
             assert label in r["license"]["labels"].split(",") and r["license"]["score"] == 1.0
     assert scan_licenses(make_docs([])).count() == 0
     assert brute.plain_words("A b") == ["a", "b"]
+
+
+GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+    "is furnished to do so, subject to the following conditions:\n\n"
+)
+REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    '\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {} BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+    "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n"
+)
+
+
+def test_altered_conditions_are_rejected(make_docs):
+    """A license counts only with all its mandatory wording; names in the replaceable places may differ."""
+    holders = "THE AUTHORS OR COPYRIGHT HOLDERS"
+    clause = next(t for k, t in TEMPLATES.items() if k == "bsd-3-clause")
+    bsd3 = re.sub(r"<<.*?>>", "3", clause)
+    bsd2 = re.sub(r"<<.*?>>", "2", TEMPLATES["bsd-2-clause"])
+    texts = [
+        f"Copyright (c) A\n\n{GRANT}{REST.format(holders)}", GRANT + REST.format("ACME INC"),
+        GRANT + "The Software may not be sold. " + REST.format(holders), GRANT + REST.format(holders).replace("ANY CLAIM", "CLAIMS"),
+        GRANT, bsd3, bsd2, bsd2.replace("binary", "compiled"),
+    ]
+    rows = sorted(scan_licenses(make_docs(texts)).collect(), key=lambda r: r["doc_id"])
+    found = [(r["license"]["labels"], r["license"]["score"]) for r in rows]
+    assert found == [("mit", 1.0)] * 2 + [("", 0.0)] * 3 + [("bsd-3-clause", 1.0), ("bsd-2-clause", 1.0), ("", 0.0)]
